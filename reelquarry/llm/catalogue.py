@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, minhash, quality_rules
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": quality_rules.op9_quality_rules}
+    return {
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op5_bpe": bpe.op5_bpe,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,3 +45,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes and rows of one Arrow batch that Python workers get; a batch holds at least one whole row.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits where they are higher, so that batches of long texts fit a worker. Results don't depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None) or "0"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
