@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, quality_rules
+from . import bpe, line_dedup, minhash, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_mix_sources": mixing.op2_mix_sources,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,

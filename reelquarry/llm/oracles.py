@@ -1 +1,116 @@
+"""SQL for DuckDB that states each query's result plainly, without its method."""
+
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL["op1_line_dedup"] = rf"""
+WITH lines AS (
+  SELECT doc_id, i, ls[i] AS line, CAST('0x' || substr(md5(ls[i]), 1, 8) AS BIGINT) AS h,
+         len({_WORDS.format('ls[i]')}) >= 20 AS long
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), cut AS (
+  SELECT *, i = 1 OR long OR lag(long) OVER w
+         OR (lag(h) OVER w * 31 + coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS begins
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM cut
+), chunks AS (
+  SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, count(*) > 1 OR bool_or(long) AS whole
+  FROM numbered GROUP BY doc_id, c
+), judged AS (
+  SELECT *, whole AND row_number() OVER (PARTITION BY chunk, whole ORDER BY doc_id, c) > 1 AS gone FROM chunks
+)
+SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS text,
+       CAST(sum(n) AS BIGINT) AS n_lines,
+       CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_lines_removed,
+       CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_chunks_removed
+FROM judged GROUP BY doc_id
+"""
+
+SQL["op2_mix_sources"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({_WORDS.format('text')}) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), coalesce(text, ''))), 1, 13) AS BIGINT) AS hash
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(nth - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM sources
+), levels AS (
+  SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed
+), plan AS (
+  SELECT source, source_size, least(cap, w * (SELECT min_by(level, k) FROM levels WHERE level * w <= cap)) AS target FROM levels
+), budget AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds,
+         target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS budget FROM plan
+), run AS (
+  SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.rounds, b.budget,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.hash) AS tied
+  FROM sized d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, source, size, source_size, target,
+  CAST(size * (rounds + CASE WHEN upto <= budget OR (upto - tied <= budget AND upto - budget < budget - (upto - tied)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run
+"""
+
+SQL["op4_minhash_near_dedup"] = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM worded
+), sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shingled),
+one AS (SELECT doc_id, unnest(s) AS x FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+  JOIN sized m ON m.doc_id = a.doc_id JOIN sized n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, min(r.b) = s.doc_id AS kept
+FROM sized s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
+SQL["op9_quality_rules"] = rf"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM worded)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM hit) GROUP BY doc_id
+), stutter AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN 0 ELSE len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) END AS n FROM worded
+), facts AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    len(ls) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
+    (length(text) - length(replace(text, '!!', ''))) // 2 AS n_shouts, length(text) - length(replace(text, chr(65533), '')) AS n_broken,
+    len(list_filter(w, lambda x: list_contains(['loser', 'idiot', 'pathetic', 'scum', 'worthless', 'moron', 'trash', 'clown', 'disgusting', 'stupid'],
+      lower(trim(x, '.,;:!?"''()'))))) AS n_toxic, s.n AS n_stutters
+  FROM worded d LEFT JOIN repeats r ON r.doc_id = d.doc_id JOIN stutter s ON s.doc_id = d.doc_id
+), judged AS (
+  SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 100 * n_dup_lines > 30 * n_lines AND n_dup_lines > 1 AS r2,
+    100 * n_symbols > 10 * n_words AS r3, word_chars < 2 * n_words OR word_chars > 15 * n_words AS r4, 100 * n_upper > 40 * word_chars AS r5,
+    100 * n_shouts > 20 * n_words AND n_words > 0 AS r6, 1000 * n_broken > word_chars AS r7, n_toxic >= 2 AS r8, 100 * n_stutters > 20 * n_words AS r9
+  FROM facts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed,
+  NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6 OR r7 OR r8 OR r9) AS kept,
+  CAST(r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT + 128 * r7::INT + 256 * r8::INT + 512 * r9::INT AS BIGINT) AS failed_bits
+FROM judged
+"""
