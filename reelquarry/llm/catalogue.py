@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, mixing, quality_rules
+from . import bpe, kneser_ney, language_id, line_dedup, minhash, mixing, quality_rules, top_k
 
 
 def queries() -> dict:
@@ -11,7 +11,10 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op5_bpe": bpe.op5_bpe,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_exact_top_k": top_k.op8_exact_top_k,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
 
 
