@@ -5,10 +5,12 @@ in packed bit planes, and hash the minima in 32 bands of 4 rows. Documents that
 similarity of candidates is estimated from the count of equal b-bit values, corrected for chance collisions.
 Candidates whose estimate could belong to a pair over the threshold are confirmed on their full sets.
 
-Equal sets are one node from the start. To avoid all pairs of a large group, star rounds come first: in each
+Equal sets are one node from the start. To avoid all pairs of a large group, a round of stars comes first: in each
 bucket every node meets one centre, drawn at random by bucket, and confirmed links merge labels. What remains
-is exact: in buckets that still hold more than one label, all pairs of different labels are met, in blocks of
-bounded size, so no candidate pair is left out by the stars.
+is exact: in buckets that still hold more than one label, all pairs of different labels are met, so no candidate
+pair is left out by the stars. Small buckets are joined with themselves. Large ones meet in blocks of bounded size,
+where a worker counts common shingles of whole blocks at once and returns the best links between two labels
+instead of pairs; these are confirmed as well.
 
 A pair at the threshold is missed by banding with probability (1 - 0.75**4)**32 = 5e-6 and by the estimate with
 about 1e-7; both fall fast as similarity rises.
@@ -33,8 +35,10 @@ from .shared import bound_batches, keep
 
 PERMUTATIONS, BANDS, PLANES, WIDTH = 128, 32, 4, 5
 ROWS = PERMUTATIONS // BANDS
-#: Nodes of a bucket that meet in one task of the last round.
-BLOCK = 256
+#: Nodes up to which a bucket is joined with itself, and nodes of a block of a larger one.
+SMALL, BLOCK = 48, 2048
+#: Links that a block returns for two labels: the most similar ones by 32-bit hashes.
+SPARE = 3
 U = np.uint64
 _RNG = np.random.RandomState(7)
 MULTIPLY = (_RNG.randint(0, 1 << 31, PERMUTATIONS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -200,34 +204,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _link(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the nodes that have a link."""
+    """(node, label) of the nodes that have a candidate."""
     least = least_matches(percent)
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = F.xxhash64("node", "key")
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("c")).where("n > 1")
     entries = keep(entries.join(counts, "key"), "entries")
-    wanted = entries.select(F.col("node").alias("doc_id")).distinct()
-    some = keep(texts.join(wanted, "doc_id"), "texts")
+    known = entries.select("node").distinct()
+    some = keep(texts.join(known.select(F.col("node").alias("doc_id")), "doc_id"), "texts")
     planes = nodes.select("node", "planes")
-    links = None
-    labels = entries.select("node").distinct().withColumn("label", F.col("node"))
-    for seed in (1, 2):
-        here = entries.join(labels, "node")
-        order = F.xxhash64(F.col("node"), F.col("key"), F.lit(seed))
-        centres = here.groupBy("key").agg(F.min_by("node", order).alias("c"), F.min_by("label", order).alias("c_label"))
-        met = here.join(centres, "key").where("label != c_label").select(F.col("node").alias("a"), F.col("c").alias("b"), "label", "c_label").distinct()
-        scored = _scored(met, planes, least)
-        if seed == 1:  # the best centres of each node
-            best = scored.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, 2).alias("x"))
-            pairs = best.select("a", F.explode("x").alias("x")).select("a", "x.b")
-        else:  # the best pair of each two labels
-            two = [F.least("label", "c_label"), F.greatest("label", "c_label")]
-            pairs = scored.groupBy(*two).agg(F.max_by("a", "m").alias("a"), F.max_by("b", "m").alias("b")).select("a", "b")
-        found = keep(_confirm(pairs, some, percent), "links")
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        labels = keep(entries.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "all-labels")
-    links = links.union(_confirm(_rest(entries, labels, planes, least), some, percent))
-    return components(links)
+    met = entries.where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct()
+    best = _scored(met, planes, least).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, 2).alias("x"))
+    stars = best.select("a", F.explode("x").alias("x")).select("a", "x.b")
+    joined = components(keep(_confirm(stars, some, percent), "links"))
+    labels = keep(known.join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "all-labels")
+    left = _mixed(entries, labels, planes)
+    more = keep(_confirm(_small(left, least).unionByName(_large(left, some, least, percent)).distinct(), some, percent), "links")
+    to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    again = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    named = labels.join(again.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left")
+    return named.select("node", F.coalesce("lower", "label").alias("label"))
 
 
 def _scored(met: DataFrame, planes: DataFrame, least: int) -> DataFrame:
@@ -235,19 +231,78 @@ def _scored(met: DataFrame, planes: DataFrame, least: int) -> DataFrame:
     return met.join(a, "a").join(b, "b").withColumn("m", matches(F.col("pa"), F.col("pb"))).where(F.col("m") >= least).drop("pa", "pb")
 
 
-def _rest(entries: DataFrame, labels: DataFrame, planes: DataFrame, least: int) -> DataFrame:
-    """All candidate pairs whose labels still differ, met in blocks."""
-    here = entries.join(labels, "node")
+def _mixed(entries: DataFrame, labels: DataFrame, planes: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold more than one label."""
+    here = entries.select("node", "key", "n").join(labels, "node")
     mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    left = keep(here.join(mixed, "key").join(planes, "node"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    x = own.select("key", F.col("own").alias("p"), other.alias("q"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("planes").alias("pa"))
-    y = own.select("key", F.col("own").alias("q"), other.alias("p"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("planes").alias("pb"))
+    return keep(here.join(mixed, "key").join(planes, "node"), "mixed")
+
+
+def _small(left: DataFrame, least: int) -> DataFrame:
+    """Pairs of different labels in buckets of up to SMALL nodes."""
+    rows = left.where(F.col("n") <= SMALL)
+    x = rows.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("planes").alias("pa"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("planes").alias("pb"))
     near = (F.col("x.a") < F.col("y.b")) & (F.col("x.la") != F.col("y.lb")) & (matches(F.col("x.pa"), F.col("y.pb")) >= least)
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    return keep(x.alias("x").join(y.alias("y"), same & near).select("a", "b").distinct(), "pairs")
+    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & near).select("a", "b").distinct()
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as sorted 32-bit hashes: half the size, near enough to find the pairs that are then confirmed."""
+    for b in batches:
+        sets = [np.unique((shingles(t.as_py()) >> U(32)).astype("<u4")).tobytes() for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "found"])
+
+
+def _large(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
+    """Likely links between different labels in buckets of more than SMALL nodes."""
+    rows = left.where(F.col("n") > SMALL)
+    wanted = texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = keep(wanted.mapInArrow(_hashes, "node long, found binary").dropDuplicates(["node", "found"]), "hashes")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    # A node's block meets the blocks from its own on, and is met by those up to its own.
+    x = rows.select("key", own.alias("p"), F.explode(F.sequence(own, blocks - 1)).alias("q"), "node", "label", "planes").join(sets, "node")
+    y = rows.select("key", F.explode(F.sequence(F.lit(0), own)).alias("p"), own.alias("q"), "node", "label", "planes").join(sets, "node")
+    y = y.select(*[F.col(c).alias(c) for c in y.columns])  # columns of its own for the cogroup
+    keys = ["key", "p", "q"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(lambda s, t: _between(s, t, least, percent), "a long, b long")
+
+
+def _between(x: pa.Table, y: pa.Table, least: int, percent: int) -> pa.Table:
+    """The best links between each two labels of two blocks."""
+    best: dict[tuple[int, int], list] = {}
+    if x.num_rows and y.num_rows:
+        def read(t: pa.Table) -> tuple:
+            sets = [np.frombuffer(b, "<u4") for b in t["found"].to_pylist()]
+            planes = np.array(t["planes"].to_pylist(), np.int64).view(U).reshape(-1, PLANES, PERMUTATIONS // 64)
+            return t["node"].to_numpy(), t["label"].to_numpy(), planes, sets
+
+        near = lambda p, q: PERMUTATIONS - np.bitwise_count(np.bitwise_or.reduce(p[None] ^ q, axis=1)).sum(axis=1)
+        xs, ys = read(x), read(y)
+        ask = np.zeros((len(xs[0]), len(ys[0])), bool)
+        for i in range(len(xs[0])):
+            ask[i] = (xs[1][i] != ys[1]) & (near(xs[2][i], ys[2]) >= least)
+        if ask.any(axis=0).sum() < ask.any(axis=1).sum():  # the side with fewer nodes to ask leads
+            xs, ys, ask = ys, xs, ask.T
+        sizes = np.fromiter(map(len, ys[3]), np.int64, len(ys[3]))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        words, place = np.unique(np.concatenate(ys[3]), return_inverse=True)
+        for i in np.flatnonzero(ask.any(axis=1)):
+            at = np.minimum(np.searchsorted(words, xs[3][i]), len(words) - 1)
+            has = np.zeros(len(words), np.int32)
+            has[at[words[at] == xs[3][i]]] = 1
+            common = np.add.reduceat(has[place], starts) + 2
+            united = len(xs[3][i]) + sizes - common + 2
+            for j in np.flatnonzero(ask[i] & (100 * common >= percent * united)):
+                labels = (int(min(xs[1][i], ys[1][j])), int(max(xs[1][i], ys[1][j])))
+                found = best.setdefault(labels, [])
+                found.append((common[j] / united[j], int(xs[0][i]), int(ys[0][j])))
+                found.sort(reverse=True)
+                del found[SPARE:]
+    links = [(min(a, b), max(a, b)) for found in best.values() for _, a, b in found]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
