@@ -1,6 +1,6 @@
 """Quality selection by importance resampling.
 
-Words and word pairs are hashed into 32,768 buckets. Two generative bag-of-n-grams models are counted in Spark: one of the target
+Words and word pairs are hashed into 262,144 buckets. Two generative bag-of-n-grams models are counted in Spark: one of the target
 (documents labelled good and not toxic) and one of all raw texts. A document's log weight is the sum over its n-grams
 of log p_target - log p_raw. Sampling without replacement by these weights is Gumbel top-k: the k documents with the largest
 log weight plus Gumbel noise. The noise comes from a hash of id and text, so a rerun draws the same sample.
@@ -26,42 +26,39 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, keep
 
-BITS = 15
+BITS = 18
 SIZE = 1 << BITS
 U = np.uint64
 #: Words that are hashed at once, so that very long texts need no more memory.
 STRETCH = 1 << 20
 
 
-def counts(text: str | None) -> np.ndarray:
-    """Hashed counts of the text's lower-case words and pairs of neighbours."""
+def buckets(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of the text's lower-case words and pairs of neighbours, a stretch at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.zeros(SIZE, np.int64)
     with np.errstate(over="ignore"):
         for at in range(0, len(words), STRETCH):
             some = words[at : at + STRETCH + 1]  # one more for the last pair
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, some), U, len(some))
             pairs = (h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) * U(0xD6E8FEB86659FD93)
-            for x in (h[:STRETCH], pairs[:STRETCH]):
-                out += np.bincount((x >> U(64 - BITS)).astype(np.int64), minlength=SIZE)
-    return out
+            yield (np.concatenate([h[:STRETCH], pairs[:STRETCH]]) >> U(64 - BITS)).astype(np.int64)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE, np.int64)
     for b in batches:
-        for text in b.column(0):
-            total += counts(text.as_py())
+        found = [x for text in b.column(0) for x in buckets(text.as_py())]
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=SIZE)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
 
 def model(texts: DataFrame) -> np.ndarray:
     """Smoothed log probabilities of the buckets."""
-    rows = texts.mapInArrow(_sum, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 32,768 rows at most
+    found = texts.mapInArrow(_sum, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket at most
     n = np.ones(SIZE)
-    for r in rows:
-        n[r.bucket] += r.n
+    n[found["bucket"].to_numpy()] += found["n"].to_numpy()
     return np.log(n / n.sum())
 
 
@@ -69,9 +66,9 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
     for b in batches:
         sizes, logs = [], []
         for text in b.column(0):
-            found = counts(text.as_py())
-            sizes.append(int(found.sum()))
-            logs.append(float(found @ ratio))
+            found = [ratio[x] for x in buckets(text.as_py())]
+            sizes.append(sum(map(len, found)))
+            logs.append(float(sum(x.sum() for x in found)))
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())], [*b.schema.names[1:], "n_ngrams", "log_weight"])
 
 
@@ -112,7 +109,7 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     raw = model(texts.select("text"))
     target = model(texts.join(judged.where("good").select("doc_id"), "doc_id", "left_semi").select("text"))
     n_good, n_judged = judged.agg(F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
-    ratio = docs.sparkSession.sparkContext.broadcast(target - raw if n_good else np.zeros(SIZE))  # 32,768 numbers
+    ratio = docs.sparkSession.sparkContext.broadcast(target - raw if n_good else np.zeros(SIZE))  # a number for each bucket
     own = [c for c in docs.columns if c not in ("text", "n_ngrams", "log_weight", "gumbel_key", "kept")]
     noise = F.xxhash64("doc_id", "text").alias("__noise")
     rows = docs.select(F.col("text").cast("string").alias("text"), *own, noise)
