@@ -1,0 +1 @@
+"""Operators over the tables of assets: DataFrame in, DataFrame out."""
