@@ -26,6 +26,11 @@ def prefix_sum(df: DataFrame, order: str, value: Column, name: str, step: int =
     return rows.withColumn("__i", inside).join(starts, "__b").withColumn(name, (F.col("__s") + F.col("__i")).cast("long")).drop("__v", "__b", "__i", "__s")
 
 
+def fixed(x: Column, digits: int = 3) -> Column:
+    """x to so many digits, halves up, by arithmetic that other engines repeat exactly."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def numbered(df: DataFrame, key: str, order: list[str], name: str = "n") -> DataFrame:
     """df with each row's position in its stream, from 0."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
@@ -76,7 +81,7 @@ def pad_blocks(df: DataFrame, key: str, sample: str, size: int) -> DataFrame:
 
 def crop(df: DataFrame, key: str, sample: str, start: int, length: int) -> DataFrame:
     """Samples start .. start + length - 1 of each stream, silence where the stream has none: key, n, sample."""
-    spine = df.select(key).distinct().select(key, F.explode(F.sequence(F.lit(start), F.lit(start + length - 1))).cast("long").alias("n"))
+    spine = df.select(key).distinct().select(key, F.explode(F.sequence(F.lit(start).cast("long"), F.lit(start + length - 1).cast("long"))).alias("n"))
     inside = df.where(F.col("n").between(start, start + length - 1)).select(key, "n", F.col(sample).alias("__s"))
     return spine.join(inside, [key, "n"], "left").select(key, (F.col("n") - start).alias("n"), F.coalesce("__s", F.lit(0.0)).alias("sample"))
 

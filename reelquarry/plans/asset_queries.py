@@ -1 +1,282 @@
-QUERIES = {}
+"""Queries of the asset operators over the driver's tables, which stand in for archives, streams, images and sound metadata."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import binary, sound
+from ..operators import images, layout, metadata, ordered
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def _entries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text", "n_chars")
+    name = F.lower(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", name.alias("name"), F.octet_length("text").cast("long").alias("size"), F.col("n_chars").alias("packed_size"))
+
+
+def _stream(spark, sf_dir):
+    """Each user's events as a stream of samples numbered by n."""
+    return ordered.numbered(table(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"])
+
+
+def q01_archive_layout(spark, sf_dir):
+    return layout.layout(_entries(spark, sf_dir).select("doc_id", "name", "size"), "doc_id")
+
+
+def q02_compress_policy(spark, sf_dir):
+    kind = F.get(F.array(*[F.lit(x) for x in (".txt", ".snd", ".asset", ".VP6")]), (F.col("doc_id") % 4).cast("int"))
+    named = _entries(spark, sf_dir).withColumn("name", F.concat(F.regexp_replace("name", r"\.txt$", ""), kind))
+    return layout.with_policy(named, 30).select("name", "size", "packed_size", "compressed", "stored")
+
+
+def q03_natural_order(spark, sf_dir):
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    label = F.concat("p_brand", F.lit(" a"), F.col("p_partkey").cast("string"), F.lit("b"), (F.col("p_partkey") % 7).cast("string"))
+    keyed = parts.select("p_partkey", "p_brand", label.alias("label"), layout.natural_key(label).alias("natural_key"))
+    return keyed.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy("natural_key", "p_partkey")).cast("long"))
+
+
+def q04_sniff_best(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    lead = F.get(F.array(*[F.lit(x) for x in ("RIFF0000WAVE", "GSTR", "ID3", "0", "")]), (F.col("page_id") % 5).cast("int"))
+    tail = F.when(F.col("page_id") % 3 == 0, ".snr").otherwise(".bin")
+    files = pages.select("page_id", F.concat(lead, F.substring("html", 1, 80)).alias("head"), F.concat(F.lit("f"), F.col("page_id").cast("string"), tail).alias("name"))
+    out = metadata.sniff(files, F.col("head"), F.length("head"), F.col("name"), F.col("page_id") % 2 == 0)
+    return out.select("page_id", "name", "score", "format_id")
+
+
+def q05_predictor_select(spark, sf_dir):
+    out = ordered.best_predictor(ordered.predictor_errors(_stream(spark, sf_dir), "user_id", "value"))
+    return out.select("user_id", "blk", "n_valid", "predictor", ordered.fixed(F.col("error")).alias("error"))
+
+
+def q06_shift_select(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_id", "value")
+    return rows.select("event_id", ordered.shift_for(F.col("value") * 60).alias("shift"))
+
+
+def q07_block_pad(spark, sf_dir):
+    out = ordered.pad_blocks(_stream(spark, sf_dir), "user_id", "value", 28)
+    return out.select("user_id", "blk", "n_valid", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.element_at("samples", 28).alias("last"))
+
+
+def q08_s16_clamp_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    sample = sound.to_s16((F.col("l_extendedprice") - 30000) * (1 + F.col("l_discount")))
+    rows = rows.select("l_orderkey", "l_linenumber", sample.alias("sample"))
+    return rows.withColumn("coded", sound.pcm16_be_round_trip(F.col("sample")))
+
+
+def q09_rate_snap(spark, sf_dir):
+    rate = F.floor(F.col("o_totalprice") / 5).cast("long")
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", rate.alias("rate"), sound.next_of(rate, sound.RATES).alias("snapped"))
+
+
+def q10_bitrate_snap(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
+    asked = (F.col("l_quantity") * 7).cast("long")
+    snapped = F.when(F.col("l_linestatus") == "F", sound.next_of(asked, sound.BITRATES_FULL)).otherwise(sound.next_of(asked, sound.BITRATES_LOW))
+    return rows.select("l_orderkey", "l_linenumber", asked.alias("asked"), snapped.alias("kbit"))
+
+
+def q11_crop_pad(spark, sf_dir):
+    return ordered.crop(_stream(spark, sf_dir), "user_id", "value", -8, 64)
+
+
+def _frames(spark, sf_dir, channels):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return rows.select("vec_id", (F.col("i") % channels).alias("channel"), F.floor(F.col("i") / channels).cast("int").alias("n"), F.round(F.col("v").cast("double"), 6).alias("sample"))
+
+
+#: Order of the channels of 4- and 6-channel sound in files, by channel in memory.
+REMAP = {4: (0, 2, 1, 3), 6: (0, 2, 1, 4, 5, 3)}
+
+
+def q12_channel_remap(spark, sf_dir):
+    to = F.get(F.array(*[F.lit(x) for x in REMAP[4]]), F.col("channel"))
+    return _frames(spark, sf_dir, 4).withColumn("channel", to)
+
+
+def q13_interleave(spark, sf_dir):
+    planar = _frames(spark, sf_dir, 2)
+    packed = planar.groupBy("vec_id", "channel").agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("s"))
+    return packed.select("vec_id", "channel", F.size("s").cast("long").alias("n_frames"), F.element_at("s", 1)["sample"].alias("first"), F.element_at("s", -1)["sample"].alias("last"))
+
+
+def _pixels(spark, sf_dir, width=8):
+    return images.from_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), width)
+
+
+def q14_alpha_guess(spark, sf_dir):
+    stats = images.alpha_stats(_pixels(spark, sf_dir))
+    wanted = F.when(F.col("image_id") % 11 == 0, "DXT3").otherwise("DXT1")
+    out = images.guess_format(stats, wanted, F.col("image_id") % 7 != 0)
+    return out.select("image_id", "constant", "one_bit", "least", "format", images.power_of_two(F.col("max_x") + 1).alias("valid"))
+
+
+def q15_volume_slice(spark, sf_dir):
+    return images.slices(_pixels(spark, sf_dir, 32).select("image_id", "x", "y", "r"), 2)
+
+
+def q16_mip_chain(spark, sf_dir):
+    level = _pixels(spark, sf_dir)
+    out = None
+    for k in range(1, 4):
+        level = images.next_mip(level)
+        this = level.select("image_id", F.lit(k).alias("level"), "x", "y", "r", "g", "b", "a")
+        out = this if out is None else out.unionByName(this)
+    return out
+
+
+def q17_loudness_hist(spark, sf_dir):
+    return ordered.loudness_gain(ordered.loudness_buckets(_stream(spark, sf_dir), ["user_id"], "value", 10), ["user_id"])
+
+
+def q18_album_rollup(spark, sf_dir):
+    rows = _stream(spark, sf_dir).withColumn("album", F.col("user_id") % 10)
+    buckets = ordered.loudness_buckets(rows, ["album", "user_id"], "value", 10)
+    return buckets.rollup("album", "user_id").agg(F.sum("windows").alias("windows"), F.max("bucket").alias("top"), F.grouping_id().cast("long").alias("level"))
+
+
+def q19_crossfade(spark, sf_dir):
+    rows = _stream(spark, sf_dir).withColumn("other", F.col("value") * -0.5)
+    return ordered.cross_fade(rows, "user_id", "value", "other", 16).withColumn("mixed", ordered.fixed(F.col("mixed")))
+
+
+def q20_hermite(spark, sf_dir):
+    return ordered.hermite_half(_stream(spark, sf_dir), "user_id", "value").select("user_id", "n", ordered.fixed(F.col("between")).alias("between"))
+
+
+def q21_export_validate(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    pick = lambda values, c: F.get(F.array(*[F.lit(x) for x in values]), (F.col(c) % len(values)).cast("int"))
+    sounds = rows.select(
+        "l_orderkey", "l_linenumber", pick((1, 34, 35, 39, 7), "l_partkey").alias("format_id"), pick((0, 1, 11, 29, 31), "l_suppkey").alias("encoding"),
+        (F.col("l_partkey") % 9).cast("int").alias("channels"), (F.col("l_partkey") * 37 % 110000).cast("int").alias("rate"), F.col("l_quantity").cast("int").alias("n_frames"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.col("l_linenumber").cast("int")).alias("loop_start"), F.lit(20).alias("loop_end"),
+    )
+    return metadata.validate_export(sounds, metadata.formats(spark)).select("l_orderkey", "l_linenumber", "format_id", "encoding", "error")
+
+
+def q22_tag_width(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    value = (F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 41)) - 8400000).cast("long")
+    small = F.when(F.col("o_orderkey") % 3 == 0, value % 300).otherwise(value)
+    out = rows.select("o_orderkey", small.alias("value"))
+    return out.select("o_orderkey", "value", binary.tag_width(F.col("value"), F.lit(0)).alias("width"), F.hex(binary.tag_bytes(130, F.col("value"), F.lit(0))).alias("tag"))
+
+
+def _mpeg_words(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    word = F.lit(0xFFE00000) + (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 2097152
+    return rows.select("l_orderkey", "l_linenumber", word.cast("long").alias("word"))
+
+
+def q23_mpeg_header(spark, sf_dir):
+    rows = _mpeg_words(spark, sf_dir)
+    return rows.select("*", *[c.alias(n) for n, c in sound.mpeg_header(F.col("word")).items()])
+
+
+def q24_bit_header(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    word = (F.col("o_orderkey") * 2654435761 + F.col("o_custkey") * 40503) % 4294967296
+    rows = rows.select("o_orderkey", word.cast("long").alias("word"))
+    fields, at = [], 0
+    for name, width in (("version", 4), ("codec", 4), ("channels", 6), ("rate", 18)):
+        value = binary.bits(F.col("word"), 32, at, width)
+        fields.append((value + 1 if name == "channels" else value).alias(name))
+        at += width
+    return rows.select("o_orderkey", "word", *fields)
+
+
+def q25_chunk_schedule(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select(
+        "o_orderkey", (F.col("o_custkey") % 40000 + 8000).alias("rate"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("n_frames")
+    )
+    return ordered.chunk_schedule(rows, F.col("rate"), 15, F.col("n_frames"), 28).select("o_orderkey", "chunk", "start", "stop")
+
+
+def q26_sticky_manifest(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    switch = F.when(F.col("role") == "system", F.lit("-pack1")).when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.lit("-pack0"))
+    return layout.sticky(rows, ["conv_id"], "turn", switch, "mode")
+
+
+def q27_pair_join(spark, sf_dir):
+    headers = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderkey", "stem")
+    chunks = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").where("l_returnflag <> 'N'").select(
+        F.col("l_orderkey").alias("stem"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_quantity").cast("long").alias("n_bytes")
+    )
+    return metadata.pair(headers, chunks, "stem")
+
+
+def q28_tag_overlay(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_id", "props")
+    tags = F.from_json("props", "map<string,string>")
+    full = metadata.tag_overlay({"k": "-1", "rate": "44100", "channels": "1"}, F.when(F.col("event_id") % 5 > 0, tags))
+    rows = rows.select("event_id", full.alias("m"))
+    return rows.select("event_id", *[F.element_at("m", k).cast("long").alias(k) for k in ("k", "rate", "channels")])
+
+
+def q29_lz_roundtrip(spark, sf_dir):
+    from ..functions.codecs.lz import lz_pack, lz_unpack
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    back = lz_unpack(lz_pack(F.encode("text", "UTF-8")))
+    return docs.select("doc_id", F.decode(back, "UTF-8").alias("text"))
+
+
+def q30_lz_ratio(spark, sf_dir):
+    from ..functions.codecs.lz import lz_pack
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), lz_pack(F.encode("text", "UTF-8")).alias("p"))
+    return sizes.select("doc_id", "size", F.octet_length("p").cast("long").alias("packed_size"), binary.be_uint(F.col("p"), 2, 3).alias("announced"), F.hex(F.substring("p", 1, 2)).isin("10FB", "90FB").alias("signed"))
+
+
+def _coded(spark, sf_dir, kind):
+    from ..functions.codecs import frames
+
+    streams = frames.pack_streams(_stream(spark, sf_dir).withColumn("value", sound.to_s16(F.col("value") * 50)), "user_id", "value")
+    return streams.select("user_id", "samples", *frames.round_trip(kind, F.col("samples")))
+
+
+def q31_xas_roundtrip(spark, sf_dir):
+    return _coded(spark, sf_dir, "xas").select("user_id", F.size("samples").cast("long").alias("n"), "n_bytes", F.round("snr", 3).alias("snr"))
+
+
+def q32_xa_roundtrip(spark, sf_dir):
+    return _coded(spark, sf_dir, "xa").select("user_id", F.size("samples").cast("long").alias("n"), "n_bytes", F.round("snr", 3).alias("snr"))
+
+
+def q33_resample(spark, sf_dir):
+    from ..functions.codecs import frames
+
+    streams = frames.pack_streams(_stream(spark, sf_dir), "user_id", "value")
+    out = streams.select("user_id", F.size("samples").cast("long").alias("n"), frames.resample(F.col("samples"), F.lit(44100), F.lit(22050)).alias("r"))
+    return out.select("user_id", "n", F.size("r").cast("long").alias("resampled"), F.round(F.array_max("r"), 3).alias("peak"))
+
+
+def q34_stream_state(spark, sf_dir):
+    from ..streaming.blocks import stream_blocks
+
+    return stream_blocks(spark, f"{sf_dir}/events.parquet", 28)
+
+
+def q35_seek_index(spark, sf_dir):
+    rows = ordered.numbered(table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_quantity"])
+    return ordered.seek_table(rows.withColumn("bytes", F.col("l_quantity").cast("long")), "l_suppkey", "bytes")
+
+
+def q36_histograms(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity")
+    kbit = sound.next_of((F.col("l_quantity") * 7).cast("long"), sound.BITRATES_FULL)
+    return rows.groupBy(kbit.alias("kbit"), "l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

@@ -1 +1,164 @@
-SQL = {}
+"""SQL for DuckDB of the asset queries, written from the definition of each operator."""
+
+from __future__ import annotations
+
+_STREAM = "(SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)"
+_ENTRIES = "(SELECT doc_id, lower(source || '/' || doc_id || '.txt') AS name, CAST(strlen(text) AS BIGINT) AS size, n_chars AS packed_size FROM documents)"
+_RATES = "[8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000]"
+_FULL = "[32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]"
+_LOW = "[8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]"
+
+
+def _next(value: str, table: str) -> str:
+    return f"coalesce(list_filter({table}, lambda t: t >= {value})[1], {table}[-1])"
+
+
+def _pixels(width: int) -> str:
+    grey = "CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.55) * 231.8), 0), 255) AS INTEGER)"
+    return f"""(
+      SELECT image_id, x, y, g0 AS r, g0 >> 1 AS g, 255 - g0 AS b,
+        CASE image_id % 4 WHEN 0 THEN 255 WHEN 1 THEN 128 WHEN 2 THEN CASE WHEN g0 > 127 THEN 255 ELSE 0 END ELSE g0 END AS a
+      FROM (SELECT image_id, CAST(i % {width} AS INTEGER) AS x, CAST(i // {width} AS INTEGER) AS y, {grey} AS g0
+            FROM (SELECT vec_id AS image_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)))"""
+
+
+def _frames(channels: int) -> str:
+    return f"""(SELECT vec_id, CAST(i % {channels} AS INTEGER) AS channel, CAST(i // {channels} AS INTEGER) AS n, round(CAST(v AS DOUBLE), 6) AS sample
+      FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings))"""
+
+
+_ERRORS = f"""(
+  SELECT user_id, n // 28 AS blk, count(*) AS n_valid, max(abs(value)) AS e0, max(abs(value - 240 * x1 / 256.0)) AS e1,
+    max(abs(value - (460 * x1 - 208 * x2) / 256.0)) AS e2, max(abs(value - (392 * x1 - 220 * x2) / 256.0)) AS e3
+  FROM (SELECT *, coalesce(lag(value, 1) OVER w, 0) AS x1, coalesce(lag(value, 2) OVER w, 0) AS x2 FROM {_STREAM} WINDOW w AS (PARTITION BY user_id ORDER BY n))
+  GROUP BY ALL)"""
+
+_SHIFT = "CASE " + " ".join(f"WHEN (e + {(16384 >> s) >> 3}) & {16384 >> s} <> 0 THEN {s}" for s in range(12)) + " ELSE 12 END"
+
+_WINDOWS = """(
+  SELECT {keys}, least(greatest(CAST(trunc(1000 * log10(0.5 * ms + 1e-37)) AS BIGINT), 0), 11999) AS bucket, count(*) AS windows
+  FROM (SELECT {keys}, n // 10 AS win, sum(value * value) / count(*) AS ms FROM {source} GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _mips() -> str:
+    step = "SELECT image_id, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, CAST(sum(r) // count(*) AS INTEGER) AS r, CAST(sum(g) // count(*) AS INTEGER) AS g, CAST(sum(b) // count(*) AS INTEGER) AS b, CAST(sum(a) // count(*) AS INTEGER) AS a FROM {0} GROUP BY image_id, x // 2, y // 2"
+    return f"WITH m1 AS ({step.format(_pixels(8))}), m2 AS ({step.format('m1')}), m3 AS ({step.format('m2')}) " + " UNION ALL ".join(f"SELECT image_id, {k} AS level, x, y, r, g, b, a FROM m{k}" for k in (1, 2, 3))
+
+
+def _mpeg() -> str:
+    word = "CAST(4292870144 + (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 2097152 AS BIGINT)"
+    layer1 = "[32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448]"
+    layer2 = "[32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384]"
+    layer1_low = "[32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256]"
+    return f"""
+    WITH f AS (SELECT l_orderkey, l_linenumber, {word} AS word FROM lineitem),
+    b AS (SELECT *, (word >> 19) & 3 AS v, 4 - ((word >> 17) & 3) AS l, (word >> 12) & 15 AS bi, (word >> 10) & 3 AS ri, (word >> 9) & 1 AS pad, (word >> 6) & 3 AS mode FROM f),
+    c AS (SELECT *, (word >> 21) = 2047 AND v <> 1 AND l < 4 AND ri < 3 AND bi BETWEEN 1 AND 14 AS valid,
+      CASE WHEN l = 1 AND v <> 3 THEN {layer1_low}[bi] WHEN l = 1 THEN {layer1}[bi] WHEN v <> 3 THEN {_LOW}[bi] WHEN l = 2 THEN {layer2}[bi] ELSE {_FULL}[bi] END AS kb,
+      [44100, 48000, 32000][ri + 1] // CASE v WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 4 END AS hz FROM b)
+    SELECT l_orderkey, l_linenumber, word, valid, CASE WHEN valid THEN v END AS version, CASE WHEN valid THEN l END AS layer,
+      CASE WHEN valid THEN CAST(kb AS BIGINT) END AS kbit, CASE WHEN valid THEN CAST(hz AS BIGINT) END AS rate,
+      CASE WHEN valid THEN CAST(CASE WHEN l = 1 THEN 384 WHEN l = 3 AND v <> 3 THEN 576 ELSE 1152 END AS BIGINT) END AS frames,
+      CASE WHEN valid THEN CAST(CASE WHEN l = 1 THEN 4 * (12000 * kb // hz + pad) WHEN l = 3 AND v <> 3 THEN 72000 * kb // hz + pad ELSE 144000 * kb // hz + pad END - 4 AS BIGINT) END AS size,
+      CASE WHEN valid THEN CAST(CASE mode WHEN 3 THEN 1 ELSE 2 END AS BIGINT) END AS channels
+    FROM c"""
+
+
+SQL: dict[str, str] = {
+    "q01_archive_layout": f"""
+      WITH e AS (SELECT doc_id, name, size FROM {_ENTRIES}), h AS (SELECT CAST(ceil((24 + sum(9 + strlen(name))) / 64.0) * 64 AS BIGINT) AS header_size FROM e)
+      SELECT doc_id, name, size, header_size,
+        CAST(header_size + coalesce(sum((size + 63) // 64 * 64) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM e, h""",
+    "q02_compress_policy": f"""
+      WITH e AS (SELECT regexp_replace(name, '\\.txt$', '') || ['.txt', '.snd', '.asset', '.VP6'][doc_id % 4 + 1] AS name, size, packed_size FROM {_ENTRIES}),
+      p AS (SELECT *, doc_ext NOT IN ('cdata', 'vp6', 'snd', 'imp') AND packed_size < size - 30 AS compressed FROM (SELECT *, lower(regexp_extract(name, '\\.([^./]*)$', 1)) AS doc_ext FROM e WHERE NOT ends_with(name, '.asset')))
+      SELECT name, size, packed_size, compressed, CASE WHEN compressed THEN packed_size ELSE size END AS stored FROM p""",
+    "q03_natural_order": """
+      WITH k AS (SELECT p_partkey, p_brand, p_brand || ' a' || p_partkey || 'b' || (p_partkey % 7) AS label FROM part),
+      n AS (SELECT *, array_to_string(list_transform(regexp_extract_all(label, '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS natural_key FROM k)
+      SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY natural_key, p_partkey) AS place FROM n""",
+    "q04_sniff_best": """
+      WITH f AS (SELECT page_id, ['RIFF0000WAVE', 'GSTR', 'ID3', '0', ''][page_id % 5 + 1] || substr(html, 1, 80) AS head,
+        'f' || page_id || CASE WHEN page_id % 3 = 0 THEN '.snr' ELSE '.bin' END AS name FROM pages),
+      s AS (SELECT page_id, name, unnest([1, 35, 39, 34]) AS format_id, unnest([0, 1, 2, 3]) AS later, unnest([
+          CASE WHEN substr(head, 1, 4) = 'RIFF' AND substr(head, 9, 4) = 'WAVE' THEN 100 ELSE 0 END,
+          CASE WHEN length(head) >= 50 AND substr(head, 1, 4) = 'GSTR' THEN 100 ELSE 0 END,
+          CASE WHEN page_id % 2 <> 0 THEN 0 WHEN ends_with(name, '.snr') THEN 90 WHEN substr(head, 1, 1) = '0' THEN 50 ELSE 0 END,
+          CASE WHEN substr(head, 1, 3) = 'ID3' THEN 75 ELSE 0 END]) AS score FROM f)
+      SELECT page_id, name, score, CASE WHEN score > 0 THEN format_id END AS format_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, later) AS k FROM s) WHERE k = 1""",
+    "q05_predictor_select": f"""
+      SELECT user_id, blk, n_valid, CASE WHEN e0 <= 7 THEN 0 WHEN e0 = m THEN 0 WHEN e1 = m THEN 1 WHEN e2 = m THEN 2 ELSE 3 END AS predictor,
+        floor(CASE WHEN e0 <= 7 THEN e0 ELSE m END * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS error FROM (SELECT *, least(e0, e1, e2, e3) AS m FROM {_ERRORS})""",
+    "q06_shift_select": f"SELECT event_id, {_SHIFT} AS shift FROM (SELECT event_id, CAST(least(floor(value * 60), 32767) AS BIGINT) AS e FROM events)",
+    "q07_block_pad": f"""
+      WITH b AS (SELECT user_id, n // 28 AS blk, count(*) AS n_valid, sum(value) AS s, max_by(value, n) AS last FROM {_STREAM} GROUP BY ALL)
+      SELECT user_id, blk, n_valid, round(s + (28 - n_valid) * last, 4) AS total, last FROM b""",
+    "q08_s16_clamp_roundtrip": """
+      WITH s AS (SELECT l_orderkey, l_linenumber, CAST(trunc(least(greatest((l_extendedprice - 30000) * (1 + l_discount), -32768.0::DOUBLE), 32767.0::DOUBLE)) AS INTEGER) AS sample FROM lineitem)
+      SELECT *, CAST(trunc(least(greatest(CAST(sample AS DOUBLE) / 32768.0::DOUBLE * 32767.0::DOUBLE, -32768.0::DOUBLE), 32767.0::DOUBLE)) AS INTEGER) AS coded FROM s""",
+    "q09_rate_snap": f"SELECT o_orderkey, rate, {_next('rate', _RATES)} AS snapped FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 5) AS BIGINT) AS rate FROM orders)",
+    "q10_bitrate_snap": f"""SELECT l_orderkey, l_linenumber, asked, CASE WHEN l_linestatus = 'F' THEN {_next('asked', _FULL)} ELSE {_next('asked', _LOW)} END AS kbit
+      FROM (SELECT *, CAST(trunc(l_quantity * 7) AS BIGINT) AS asked FROM lineitem)""",
+    "q11_crop_pad": f"""
+      WITH u AS (SELECT DISTINCT user_id, unnest(range(-8, 56)) AS n FROM events)
+      SELECT u.user_id, u.n + 8 AS n, coalesce(s.value, 0) AS sample FROM u LEFT JOIN {_STREAM} s ON s.user_id = u.user_id AND s.n = u.n""",
+    "q12_channel_remap": f"SELECT vec_id, [0, 2, 1, 3][channel + 1] AS channel, n, sample FROM {_frames(4)}",
+    "q13_interleave": f"""SELECT vec_id, channel, count(*) AS n_frames, min_by(sample, n) AS "first", max_by(sample, n) AS "last" FROM {_frames(2)} GROUP BY vec_id, channel""",
+    "q14_alpha_guess": f"""
+      WITH s AS (SELECT image_id, min(a) = max(a) AS constant, bool_and(a IN (0, 255)) AS one_bit, min(a) AS least, max(x) + 1 AS w FROM {_pixels(8)} GROUP BY image_id)
+      SELECT image_id, constant, one_bit, least, CASE WHEN image_id % 11 = 0 THEN 'DXT3' WHEN image_id % 7 = 0 THEN 'DXT1' WHEN constant AND least = 255 THEN 'DXT1' WHEN constant OR one_bit THEN 'DXT3' ELSE 'DXT5' END AS format,
+        w & (w - 1) = 0 AS valid FROM s""",
+    "q15_volume_slice": f"SELECT image_id, x % 2 AS x, y, r, CAST(x // 2 AS INTEGER) AS slice FROM {_pixels(32)}",
+    "q16_mip_chain": _mips(),
+    "q17_loudness_hist": f"""
+      WITH b AS (SELECT * FROM {_WINDOWS.format(keys='user_id', source=_STREAM)}),
+      c AS (SELECT *, sum(windows) OVER (PARTITION BY user_id ORDER BY bucket DESC) AS covered, sum(windows) OVER (PARTITION BY user_id) AS total FROM b)
+      SELECT user_id, max(bucket) AS bucket, CAST(max(total) AS BIGINT) AS windows, 64.82::DOUBLE - max(bucket) / 100.0::DOUBLE AS gain FROM c WHERE covered >= ceil(total * 0.05::DOUBLE) GROUP BY user_id""",
+    "q18_album_rollup": f"""
+      WITH b AS (SELECT * FROM {_WINDOWS.format(keys='album, user_id', source=f'(SELECT *, user_id % 10 AS album FROM {_STREAM})')})
+      SELECT album, user_id, CAST(sum(windows) AS BIGINT) AS windows, max(bucket) AS top, CAST(grouping(album, user_id) AS BIGINT) AS level FROM b GROUP BY ROLLUP (album, user_id)""",
+    "q19_crossfade": f"SELECT user_id, n, floor((value * (1 - k) + value * -0.5::DOUBLE * k) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS mixed FROM (SELECT *, least(n / 16.0::DOUBLE, 1.0::DOUBLE) AS k FROM {_STREAM})",
+    "q20_hermite": f"""
+      WITH s AS (SELECT user_id, n, value, (coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value)) * 0.5 AS m FROM {_STREAM} WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+      p AS (SELECT *, lead(value) OVER w AS y1, lead(m) OVER w AS m1 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY n))
+      SELECT user_id, n, floor(((value + y1) * 0.5::DOUBLE + (m - m1) * 0.125::DOUBLE) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS "between" FROM p WHERE y1 IS NOT NULL""",
+    "q21_export_validate": """
+      WITH s AS (SELECT l_orderkey, l_linenumber, [1, 34, 35, 39, 7][l_partkey % 5 + 1] AS format_id, [0, 1, 11, 29, 31][l_suppkey % 5 + 1] AS encoding, l_partkey % 9 AS channels,
+          l_partkey * 37 % 110000 AS rate, CAST(trunc(l_quantity) AS BIGINT) AS n_frames, CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber END AS loop_start, 20 AS loop_end FROM lineitem),
+      f(format_id, max_channels, export_enc) AS (VALUES (1, 8, [0, 11]), (34, 2, CAST([] AS INTEGER[])), (35, 6, [0, 1, 29]), (39, 64, [0, 29, 31, 32]))
+      SELECT l_orderkey, l_linenumber, s.format_id, encoding, CASE WHEN max_channels IS NULL THEN 'format' WHEN NOT list_contains(export_enc, encoding) THEN 'encoding'
+        WHEN NOT channels BETWEEN 1 AND max_channels THEN 'channels' WHEN NOT rate BETWEEN 1 AND 96000 THEN 'rate' WHEN n_frames < 1 THEN 'length'
+        WHEN loop_start IS NOT NULL AND (loop_end >= n_frames OR loop_start > loop_end) THEN 'loop' END AS error FROM s LEFT JOIN f USING (format_id)""",
+    "q22_tag_width": """
+      WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN w % 300 ELSE w END AS value FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 41)) AS BIGINT) - 8400000 AS w FROM orders)),
+      t AS (SELECT *, CASE WHEN value = 0 THEN NULL WHEN value BETWEEN -128 AND 127 THEN 1 WHEN value BETWEEN -32768 AND 32767 THEN 2 WHEN value BETWEEN -8388608 AND 8388352 THEN 3 ELSE 4 END AS width FROM v)
+      SELECT *, CASE WHEN width IS NULL THEN '' ELSE '82' || lpad(hex(width), 2, '0') || right(lpad(hex(value & 4294967295), 8, '0'), 2 * width) END AS tag FROM t""",
+    "q23_mpeg_header": _mpeg(),
+    "q24_bit_header": """
+      SELECT o_orderkey, word, word >> 28 AS version, (word >> 24) & 15 AS codec, ((word >> 18) & 63) + 1 AS channels, word & 262143 AS rate
+      FROM (SELECT o_orderkey, CAST((o_orderkey * 2654435761 + o_custkey * 40503) % 4294967296 AS BIGINT) AS word FROM orders)""",
+    "q25_chunk_schedule": """
+      WITH s AS (SELECT o_orderkey, o_custkey % 40000 + 8000 AS rate, CAST(floor(o_totalprice / 10) AS BIGINT) AS n_frames FROM orders),
+      k AS (SELECT *, unnest(range(0, greatest(CAST(ceil(n_frames * 15 / rate::DOUBLE) AS BIGINT) - 1, 0) + 1)) AS chunk FROM s),
+      u AS (SELECT o_orderkey, CAST(chunk AS INTEGER) AS chunk, CASE WHEN chunk = 0 THEN 0 ELSE least((chunk * rate // 15 + 27) // 28 * 28, n_frames) END AS start, least(((chunk + 1) * rate // 15 + 27) // 28 * 28, n_frames) AS stop FROM k)
+      SELECT * FROM u WHERE stop > start""",
+    "q26_sticky_manifest": """
+      SELECT conv_id, turn, role, last_value(CASE WHEN role = 'system' THEN '-pack1' WHEN role = 'user' AND turn % 4 = 0 THEN '-pack0' END IGNORE NULLS)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mode FROM conversations""",
+    "q27_pair_join": """
+      WITH c AS (SELECT l_orderkey AS stem, count(*) AS n_chunks, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS n_bytes, CAST(max(l_linenumber) AS BIGINT) AS last_seq FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+      SELECT o_orderkey AS stem, o_orderstatus, n_chunks, n_bytes, last_seq, n_chunks IS NOT NULL AS complete FROM orders LEFT JOIN c ON c.stem = o_orderkey""",
+    "q28_tag_overlay": """
+      SELECT event_id, coalesce(CASE WHEN event_id % 5 > 0 THEN CAST(props->>'$.k' AS BIGINT) END, -1) AS k, coalesce(CASE WHEN event_id % 5 > 0 THEN CAST(props->>'$.rate' AS BIGINT) END, 44100) AS rate,
+        coalesce(CASE WHEN event_id % 5 > 0 THEN CAST(props->>'$.channels' AS BIGINT) END, 1) AS channels FROM events""",
+    "q29_lz_roundtrip": "SELECT doc_id, text FROM documents",
+    "q34_stream_state": "SELECT user_id, count(*) // 28 AS n_blocks FROM events GROUP BY user_id HAVING count(*) >= 28",
+    "q35_seek_index": """
+      WITH n AS (SELECT l_suppkey, CAST(trunc(l_quantity) AS BIGINT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS n FROM lineitem),
+      c AS (SELECT l_suppkey, n, sum(q) OVER (PARTITION BY l_suppkey ORDER BY n) AS cum, sum(q) OVER (PARTITION BY l_suppkey) AS total, count(*) OVER (PARTITION BY l_suppkey) AS frames FROM n),
+      p AS (SELECT l_suppkey, unnest(range(100)) AS point, c FROM (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY 1))
+      SELECT p.l_suppkey, CAST(point AS INTEGER) AS point, CAST(least(255, 256 * cum // total) AS BIGINT) AS position FROM p JOIN c ON c.l_suppkey = p.l_suppkey AND c.n = point * p.c // 100""",
+    "q36_histograms": f"""
+      WITH k AS (SELECT {_next('CAST(trunc(l_quantity * 7) AS BIGINT)', _FULL)} AS kbit, l_linestatus, l_returnflag FROM lineitem)
+      SELECT kbit, l_linestatus, count(*) FILTER (l_returnflag = 'A') AS A, count(*) FILTER (l_returnflag = 'N') AS N, count(*) FILTER (l_returnflag = 'R') AS R FROM k GROUP BY kbit, l_linestatus""",
+}

@@ -1,0 +1 @@
+"""Structured Streaming operators that carry state between chunks."""
