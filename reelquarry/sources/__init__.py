@@ -1,0 +1,16 @@
+"""Python Data Sources for asset files. `register(spark)` makes them available to spark.read and df.write."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    from .archive import ArchiveSource
+    from .chunks import ChunkStreamSource
+    from .mpeg import MpegSource
+    from .player import PlayerSource
+    from .wave import WaveSource
+
+    for source in (ArchiveSource, WaveSource, ChunkStreamSource, PlayerSource, MpegSource):
+        spark.dataSource.register(source)
