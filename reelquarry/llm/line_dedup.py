@@ -25,7 +25,10 @@ from .columns import hex_number, let, word_count
 #: Words from which a line is a chunk of its own, and the mean number of short lines in a chunk.
 LONG_LINE, MEAN_LINES = 20, 4
 #: Names of working columns; they are put beside any columns of the documents.
-KEY, CUT, GONE = "__key", "__chunks", "__gone"
+KEY, CUT, GONE, ID, OTHER, SPANS = "__key", "__chunks", "__gone", "__id", "__other", "__spans"
+
+
+ADDED = ("n_lines", "n_lines_removed", "n_chunks_removed")
 
 
 def _starts(lines: Column) -> Column:
@@ -66,35 +69,34 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with their keys, and (key, id, spans): the chunks of each document to remove, after byte comparison."""
+    """docs with their keys, and (id, key, spans): the chunks of each document to remove, after byte comparison."""
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    # A null id must not be lost by the joins below, which are on the key of id and text and on the id.
     spans = chunked(docs.select("doc_id", "text")).select("doc_id", KEY, F.explode(CUT).alias("c")).select("doc_id", KEY, "c.*")
     many = spans.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     places = (
-        spans.join(many, "h").groupBy(F.col("doc_id").alias("id"), F.col(KEY).alias("k"))
-        .agg(F.collect_set(F.struct("at", "n", "h")).alias("spans"))
+        spans.join(many, "h").groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER))
+        .agg(F.collect_set(F.struct("at", "n", "h")).alias(SPANS))
     )
-    of_doc = (F.col(KEY) == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
     lines = F.split(F.col("text"), "\n")
     nominated = (
         keyed.join(places, of_doc).dropDuplicates([KEY, "doc_id"])
-        .select("doc_id", KEY, F.explode(let(lines, lambda x: F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["h"].alias("h"), _text(x, s).alias("chunk"))))).alias("c"))
+        .select("doc_id", KEY, F.explode(let(lines, lambda x: F.transform(SPANS, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["h"].alias("h"), _text(x, s).alias("chunk"))))).alias("c"))
         .select("doc_id", KEY, "c.*")
     )
     place = F.struct("doc_id", KEY, "at")
     first = nominated.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     gone = (
         nominated.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("id"), F.col(KEY).alias("k")).agg(F.collect_set(F.struct("at", "n")).alias(GONE))
+        .groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER)).agg(F.collect_set(F.struct("at", "n")).alias(GONE))
     )
     return keyed, gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with repeated chunks removed from text, and n_lines, n_lines_removed, n_chunks_removed."""
+    """docs (doc_id, text, ...) with repeated chunks removed from text, and n_lines, n_lines_removed, n_chunks_removed, in place of columns of these names."""
     keyed, gone = removals(docs)
-    of_doc = (F.col(KEY) == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
 
     def rest(lines: Column) -> Column:
         def left(lost: Column) -> Column:
@@ -106,7 +108,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
     taken = F.coalesce(F.aggregate(GONE, F.lit(0), lambda a, s: a + s["n"]), F.lit(0))
     return keyed.join(gone, of_doc, "left").select(
-        *[F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ADDED],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         taken.cast("long").alias("n_lines_removed"),
         F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long").alias("n_chunks_removed"),

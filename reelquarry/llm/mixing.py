@@ -95,20 +95,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     with_sizes = sized(docs)
     rows = keep(with_sizes.select("source", F.col(SIZE).alias("size"), F.col(HASH).alias("hash")), "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most)
-    ends = thresholds(rows, plan).withColumnRenamed("source", SOURCE)
+    ends = thresholds(rows, plan).withColumnsRenamed({"source": SOURCE, "rounds": "__rounds", "last": "__last"})
     joined = with_sizes.select(*own, SIZE, HASH).join(ends, F.col("source").eqNullSafe(F.col(SOURCE)))
     return joined.select(*own, F.col(SIZE).alias("size"), "source_size", "target", copies(F.col(HASH)).alias("copies"))
 
 
 def copies(hashed: Column) -> Column:
-    return (F.col("rounds") + F.when(hashed <= F.col("last"), 1).otherwise(0)).cast("int")
+    return (F.col("__rounds") + F.when(hashed <= F.col("__last"), 1).otherwise(0)).cast("int")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with docs' own columns."""
-    out = mix(docs)
+    own = docs.select(*[F.col(c).alias(f"__{i}") if c not in ("doc_id", "text", "source") else F.col(c) for i, c in enumerate(docs.columns)])
+    out = mix(own)
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return out.where("copies > 0").select(*[F.col(c) for c in docs.columns], times.alias("__copy")).drop("__copy")
+    return out.where("copies > 0").select(*own.columns, times.alias("__copy")).drop("__copy").toDF(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from .columns import SPACES, let, words
 TOXIC_WORDS = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid")
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+MEASURES = "__measures"
 
 
 @dataclass(frozen=True)
@@ -101,29 +102,32 @@ def _found(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs with the measurements that the rules use; every text is split once."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with a struct of the measurements; every text is split once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = let(_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    measured = docs.withColumns({"_w": let(words(text), lambda w: _word_measures(w, text)), "_l": n_lines})
-    return measured.select(
-        *docs.columns,
-        F.col("_w.n_words").alias("n_words"),
-        F.col("_w.word_chars").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.col("_l.dup").cast("long").alias("n_dup_lines"),
-        F.col("_w.runs.n_repeat_words").alias("n_repeat_words"),
-        F.col("_w.runs.n_stutters").alias("n_stutters"),
-        F.col("_l.n").cast("long").alias("n_lines"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        _found(text, "!!").alias("n_shouts"),
-        _found(text, "\ufffd").alias("n_broken"),
-        F.col("_w.n_toxic").alias("n_toxic"),
-    )
+    both = docs.withColumns({"__w": let(words(text), lambda w: _word_measures(w, text)), "__l": n_lines})
+    values = {
+        "n_words": F.col("__w.n_words"), "word_chars": F.col("__w.word_chars"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": F.col("__l.dup").cast("long"), "n_repeat_words": F.col("__w.runs.n_repeat_words"), "n_stutters": F.col("__w.runs.n_stutters"),
+        "n_lines": F.col("__l.n").cast("long"), "n_upper": F.regexp_count(text, F.lit("[A-Z]")).cast("long"), "n_shouts": _found(text, "!!"),
+        "n_broken": _found(text, "\ufffd"), "n_toxic": F.col("__w.n_toxic"),
+    }
+    return both.select(*docs.columns, F.struct(*[v.alias(k) for k, v in values.items()]).alias(MEASURES))
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """docs with the measurements that the rules use, in place of columns of these names."""
+    return _opened(_measured(docs), docs.columns)
+
+
+def _opened(rows: DataFrame, own: list[str], *more: str) -> DataFrame:
+    names = rows.schema[MEASURES].dataType.names
+    return rows.select(*[c for c in own if c not in (*names, *more)], f"{MEASURES}.*", *more)
 
 
 def _c(name: str) -> Column:
-    return F.col(name)
+    return F.col(f"{MEASURES}.{name}")
 
 
 
@@ -152,12 +156,16 @@ STANDARD = Policy("standard", 1, RULE_NAMES)
 POLICIES = (BASE, STANDARD)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """Measurements and `failed_bits`: bit BIT[rule] is set where the document fails the rule."""
+def _bits() -> Column:
     bits = F.lit(0).cast("long")
     for name, failed in _rules().items():
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs).withColumn("failed_bits", bits)
+    return bits
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """docs with the measurements and `failed_bits`: bit BIT[rule] is set where the document fails the rule."""
+    return _opened(_measured(docs.drop("failed_bits")).withColumn("failed_bits", _bits()), [c for c in docs.columns if c != "failed_bits"], "failed_bits")
 
 
 def fails(policy: Policy, bits: str = "failed_bits") -> Column:
@@ -167,7 +175,7 @@ def fails(policy: Policy, bits: str = "failed_bits") -> Column:
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The documents that pass the policy, with their own columns only."""
-    return ledger(docs).where(~fails(policy)).select(*docs.columns)
+    return _measured(docs).withColumn("__bits", _bits()).where(~fails(policy, "__bits")).select(*docs.columns)
 
 
 def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
