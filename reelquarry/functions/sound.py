@@ -66,3 +66,38 @@ def mpeg_header(word: Column) -> dict[str, Column]:
     )
     fields = {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "frames": frames, "size": size, "channels": F.when(bits(word, 32, 24, 2) == 3, 1).otherwise(2)}
     return {"valid": valid} | {k: F.when(valid, v.cast("long")) for k, v in fields.items()}
+
+
+def bark(hz: Column) -> Column:
+    """Critical-band rate of a frequency."""
+    khz = hz / 1000.0
+    return 13.0 * F.atan(0.76 * khz) + 3.5 * F.atan(khz * khz / 56.25)
+
+
+def critical_bandwidth(hz: Column) -> Column:
+    khz = hz / 1000.0
+    return 25.0 + 75.0 * F.pow(1.0 + 1.4 * khz * khz, F.lit(0.69))
+
+
+def hearing_threshold(hz: Column) -> Column:
+    """Threshold in quiet in decibels, by the usual closed form; frequencies are held to 10 Hz and 18 kHz."""
+    khz = F.least(F.greatest(hz / 1000.0, F.lit(0.01)), F.lit(18.0))
+    return 3.640 * F.pow(khz, F.lit(-0.8)) - 6.8 * F.exp(-0.6 * F.pow(khz - 3.4, F.lit(2.0))) + 6.0 * F.exp(-0.15 * F.pow(khz - 8.7, F.lit(2.0))) + 0.0006 * F.pow(khz, F.lit(4.0))
+
+
+def nearest_of(value: Column, table: tuple[int, ...]) -> Column:
+    """Table entry nearest to value, the smaller one in a tie."""
+    return F.array_min(F.transform(F.array(*[F.lit(t) for t in table]), lambda t: F.struct(F.abs(t - value).alias("d"), t.alias("t"))))["t"]
+
+
+def gain(sample: Column, factor: Column) -> Column:
+    return sample * factor
+
+
+def gcd(a: Column, b: Column, steps: int = 24) -> Column:
+    """Greatest common divisor by Euclid's steps; sample rates need far fewer than 24."""
+    pair = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")),
+        lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] == 0, 1).otherwise(p["b"])).alias("b"))),
+    )
+    return pair["a"]

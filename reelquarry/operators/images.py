@@ -51,3 +51,46 @@ def from_embeddings(vectors: DataFrame, width: int = 8) -> DataFrame:
         "image_id", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), v.alias("r"), F.shiftright(v, 1).alias("g"), (255 - v).alias("b"),
         F.when(F.col("image_id") % 4 == 0, 255).when(F.col("image_id") % 4 == 1, 128).when(F.col("image_id") % 4 == 2, F.when(v > 127, 255).otherwise(0)).otherwise(v).alias("a"),
     )
+
+
+def signed_byte(x: Column) -> Column:
+    """-1 .. 1 to a signed byte in two's complement, as 0 .. 255."""
+    return F.pmod(F.round(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * 127).cast("int"), F.lit(256))
+
+
+def unit(x: Column, bits: int) -> Column:
+    """An n-bit value as 0 .. 1."""
+    return x / float((1 << bits) - 1)
+
+
+def to_bits(x: Column, bits: int) -> Column:
+    """0 .. 1 as an n-bit value, clamped."""
+    return F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * ((1 << bits) - 1) + 0.5).cast("long")
+
+
+def pack_qwvu(q: Column, w: Column, v: Column, u: Column) -> Column:
+    """Four signed components, -1 .. 1, in a 32-bit word."""
+    return pack_bgra(signed_byte(v), signed_byte(w), signed_byte(u), signed_byte(q)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def pack_12_12_8(x: Column, y: Column, z: Column) -> Column:
+    return F.shiftleft(to_bits(x, 12), 20).bitwiseOR(F.shiftleft(to_bits(y, 12), 8)).bitwiseOR(to_bits(z, 8))
+
+
+def rgbe_to_float(mantissa: Column, exponent: Column) -> Column:
+    """Shared-exponent colour: one channel's byte with the common exponent byte."""
+    return F.when(exponent == 0, F.lit(0.0)).otherwise(mantissa * F.pow(F.lit(2.0), exponent - 136))
+
+
+def grey(r: Column, g: Column, b: Column) -> Column:
+    """Luminance by the weights 0.3086, 0.6094 and 0.0820."""
+    return r * 0.3086 + g * 0.6094 + b * 0.0820
+
+
+def scale_bias(x: Column, scale: float, bias: float) -> Column:
+    return F.floor(F.least(F.greatest(x * scale + bias, F.lit(0.0)), F.lit(255.0))).cast("int")
+
+
+def wrapped(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Coordinates wrapped into the image."""
+    return pixels.withColumns({"x": F.pmod("x", F.lit(width)), "y": F.pmod("y", F.lit(height))})

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource
+import numpy as np
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from .files import FileReader, open_path, read
+from ..functions.codecs import adpcm
+from .chunks import gather
+from .files import FileReader, open_path, read, replace
 
 #: Header fields and widths, and what codec numbers stand for (2 PCM, 4 XAS, 5 to 7 granule).
 FIELDS = (("version", 4), ("codec", 4), ("channels", 6), ("sample_rate", 18), ("play_type", 2), ("looped", 1), ("n_frames", 29))
@@ -86,6 +89,42 @@ class PlayerReader(FileReader):
                 seq += 1
 
 
+def build(samples: np.ndarray, rate: int, frames: int, play_type: int, resident: int = 0, codec: int = 2) -> tuple[bytes, bytes]:
+    """Header file and stream file: play type 0 keeps all chunks resident, 1 streams all, 2 keeps the first `resident` frames."""
+    n, channels = samples.shape
+    more = {"resident": resident} if play_type == 2 else {}
+    head = build_header(version=1, codec=codec, channels=channels, sample_rate=rate, play_type=play_type, n_frames=n, **more)
+
+    def coded(part: np.ndarray) -> bytes:
+        if codec == 4:
+            return b"".join(adpcm.xas_encode(part[:, c].tolist()) for c in range(channels))
+        return part.astype(">i2").tobytes()
+
+    def run(part: np.ndarray) -> bytes:
+        cuts = range(0, len(part), frames)
+        return b"".join(build_chunk(len(p), coded(p), i + frames >= len(part)) for i in cuts for p in [part[i : i + frames]])
+
+    split = {0: n, 1: 0}.get(play_type, resident)
+    return head + run(samples[:split]), run(samples[split:])
+
+
+class PlayerWriter(DataSourceWriter):
+    """Writes blocks (name, sample_rate, channel, blk, samples) as name.snr and, where the sound streams, name.sns. Options: codec, frames, play_type, resident."""
+
+    def __init__(self, options: dict, schema):
+        self.options, self.names = options, schema.fieldNames()
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        number = lambda k, d: int(self.options.get(k, d))
+        for name, (rate, samples) in gather(rows, self.names).items():
+            head, stream = build(samples, rate, number("frames", 1024), number("play_type", 0), number("resident", 0), number("codec", 2))
+            base = f"{self.options['path'].rstrip('/')}/{name}"
+            if stream:
+                replace(f"{base}.sns", stream)
+            replace(f"{base}.snr", head)
+        return WriterCommitMessage()
+
+
 class PlayerSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -99,3 +138,6 @@ class PlayerSource(DataSource):
 
     def reader(self, schema) -> PlayerReader:
         return PlayerReader(self.options, schema)
+
+    def writer(self, schema, overwrite: bool) -> PlayerWriter:
+        return PlayerWriter(self.options, schema)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .chunks import gather
 from .files import FileReader, read, replace
 
 #: Format tags of plain and extensible PCM, and speaker masks by number of channels.
@@ -89,15 +90,8 @@ class WaveWriter(DataSourceWriter):
         self.options, self.names = options, schema.fieldNames()
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        held: dict[str, dict] = {}
-        for r in rows:
-            r = dict(zip(self.names, tuple(r), strict=True))
-            held.setdefault(r["name"], {"rate": r["sample_rate"]})[(r["channel"], r["blk"])] = r["samples"]
-        for name, parts in held.items():
-            rate = parts.pop("rate")
-            channels = 1 + max(c for c, _ in parts)
-            joined = [np.concatenate([np.array(parts[k]) for k in sorted(parts) if k[0] == c]) for c in range(channels)]
-            replace(f"{self.options['path'].rstrip('/')}/{name}", build(np.stack(joined, axis=1), rate, bits=int(self.options.get("bits", 16))))
+        for name, (rate, samples) in gather(rows, self.names).items():
+            replace(f"{self.options['path'].rstrip('/')}/{name}", build(samples, rate, bits=int(self.options.get("bits", 16))))
         return WriterCommitMessage()
 
 

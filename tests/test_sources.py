@@ -114,3 +114,27 @@ def test_mpeg_frames(sources, tmp_path):
     (tmp_path / "a.mp3").write_bytes(b"ID3 junk\xff\xfb" + (word.to_bytes(4, "big") + b"\0" * (size - 4)) * 9)
     got = sources.read.format("assetmpeg").load(str(tmp_path)).orderBy("seq").collect()
     assert len(got) == 9 and got[0].offset == 10 and got[8].start == 8 * 1152 and {r.kbit for r in got} == {128}
+
+
+@pytest.fixture
+def blocks(spark):
+    rows = [("t", 8000, c, b, [(c * 100 + b * 10 + i) * 40 for i in range(60)]) for c in range(2) for b in range(5)]
+    return spark.createDataFrame(rows, "name string, sample_rate int, channel int, blk long, samples array<int>").coalesce(1)
+
+
+@pytest.mark.parametrize("encoding", [0, 29])
+def test_chunk_stream_write(sources, blocks, tmp_path, encoding):
+    blocks.write.format("assetstream").mode("append").option("encoding", str(encoding)).option("frames", "128").save(str(tmp_path))
+    got = sources.read.format("assetstream").load(str(tmp_path)).orderBy("channel", "seq").collect()
+    want = sum((r.samples for r in blocks.where("channel = 1").orderBy("blk").collect()), [])
+    back = sum((r.samples for r in got if r.channel == 1), [])
+    assert len(back) == 300 and np.abs(np.array(back) - want).max() <= (0 if encoding == 0 else 260)
+
+
+@pytest.mark.parametrize(("play_type", "resident", "parts"), [(0, 0, {"header"}), (1, 0, {"stream"}), (2, 100, {"header", "stream"})])
+def test_player_write(sources, blocks, tmp_path, play_type, resident, parts):
+    blocks.write.format("assetplayer").mode("append").option("play_type", str(play_type)).option("resident", str(resident)).option("frames", "64").save(str(tmp_path))
+    got = sources.read.format("assetplayer").load(str(tmp_path)).orderBy("seq").collect()
+    assert {r.part for r in got} == parts and sum(r.frames for r in got) == 300 and got[-1].is_last
+    data = b"".join(bytes(r.payload) for r in got)
+    assert np.frombuffer(data, ">i2").reshape(-1, 2)[:3, 1].tolist() == [4000, 4040, 4080]
