@@ -5,7 +5,7 @@ Words and word pairs are hashed into 262,144 buckets. Two generative bag-of-n-gr
 of log p_target - log p_raw. Sampling without replacement by these weights is Gumbel top-k: the k documents with the largest
 log weight plus Gumbel noise. The noise comes from a hash of id and text, so a rerun draws the same sample.
 
-The k-th largest key is found without a sort, by histograms of the keys' leading bits, four times 16 bits, each of
+The k-th largest key is found without a sort, by histograms of the leading bits of the keys, four times 13 bits, each of
 which only looks into the bucket where the k-th key lies. By default k is the number of documents times the share of
 good labels among the labels.
 
