@@ -1,7 +1,7 @@
 """Quality selection by importance resampling.
 
 Words and word pairs are hashed into 262,144 buckets. Two generative bag-of-n-grams models are counted in Spark: one of the target
-(documents labelled good and not toxic) and one of all raw texts. A document's log weight is the sum over its n-grams
+(a sample, of about TARGET at most, of the documents labelled good and not toxic) and one of all raw texts. A document's log weight is the sum over its n-grams
 of log p_target - log p_raw. Sampling without replacement by these weights is Gumbel top-k: the k documents with the largest
 log weight plus Gumbel noise. The noise comes from a hash of id and text, so a rerun draws the same sample.
 
@@ -29,6 +29,8 @@ from .shared import bound_batches, keep
 BITS = 18
 SIZE = 1 << BITS
 U = np.uint64
+#: Labelled documents that the target model is counted on, on average at most: those whose ids have the smallest hashes.
+TARGET, GRAIN = 20_000, 1 << 20
 #: Words that are hashed at once, so that very long texts need no more memory.
 STRETCH = 1 << 20
 
@@ -107,8 +109,10 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     judged = keep(good_ids(labels.where("doc_id is not null")), "labels")
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     raw = model(texts.select("text"))
-    target = model(texts.join(judged.where("good").select("doc_id"), "doc_id", "left_semi").select("text"))
     n_good, n_judged = judged.agg(F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    share = int(min(1.0, TARGET / max(n_good, 1)) * GRAIN)
+    few = judged.where(F.col("good") & (F.pmod(F.xxhash64("doc_id"), F.lit(GRAIN)) < share)).select("doc_id")
+    target = model(texts.join(F.broadcast(few), "doc_id", "left_semi").select("text"))  # about TARGET ids at most, so no text moves
     ratio = docs.sparkSession.sparkContext.broadcast(target - raw if n_good else np.zeros(SIZE))  # a number for each bucket
     own = [c for c in docs.columns if c not in ("text", "n_ngrams", "log_weight", "gumbel_key", "kept")]
     noise = F.xxhash64("doc_id", "text").alias("__noise")
