@@ -20,7 +20,6 @@ Very long texts are counted and scored whole.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ U = np.uint64
 #: A word holds no space, so these can't be words.
 BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a worker counts or scores together, and bytes of text that one shard counts.
-PORTION, SHARD_BYTES = 1_500_000, 16 << 20
+PORTION, SHARD_BYTES = 1_000_000, 8 << 20
 
 
 def token_hashes(text: str | None) -> np.ndarray:
