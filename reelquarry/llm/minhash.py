@@ -9,8 +9,8 @@ Equal sets are one node from the start. To avoid all pairs of a large group, a r
 bucket every node meets one centre, drawn at random by bucket, and confirmed links merge labels. What remains
 is exact: in buckets that still hold more than one label, all pairs of different labels are met, so no candidate
 pair is left out by the stars. Small buckets are joined with themselves. Large ones meet in blocks of bounded size,
-where a worker counts common shingles of whole blocks at once and returns the best links between two labels
-instead of pairs; these are confirmed as well.
+where a worker counts common shingles of whole blocks at once on the full sets, so that every pair it finds is a
+link; one link between two labels is returned instead of all pairs, as more would merge nothing else.
 
 A pair at the threshold is missed by banding with probability (1 - 0.75**4)**32 = 5e-6 and by the estimate with
 about 1e-7; both fall fast as similarity rises.
@@ -37,8 +37,6 @@ PERMUTATIONS, BANDS, PLANES, WIDTH = 128, 32, 4, 5
 ROWS = PERMUTATIONS // BANDS
 #: Nodes up to which a bucket is joined with itself, and nodes of a block of a larger one.
 SMALL, BLOCK = 48, 2048
-#: Links that a block returns for two labels: the most similar ones by 32-bit hashes.
-SPARE = 3
 U = np.uint64
 _RNG = np.random.RandomState(7)
 MULTIPLY = (_RNG.randint(0, 1 << 31, PERMUTATIONS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -219,7 +217,7 @@ def _link(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     joined = components(keep(_confirm(stars, some, percent), "links"))
     labels = keep(known.join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "all-labels")
     left = _mixed(entries, labels, planes)
-    more = keep(_confirm(_small(left, least).unionByName(_large(left, some, least, percent)).distinct(), some, percent), "links")
+    more = keep(_confirm(_small(left, least), some, percent).unionByName(_large(left, some, least, percent)), "links")
     to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     again = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     named = labels.join(again.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left")
@@ -248,14 +246,14 @@ def _small(left: DataFrame, least: int) -> DataFrame:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as sorted 32-bit hashes: half the size, near enough to find the pairs that are then confirmed."""
+    """Sets as sorted 64-bit hashes, by which pairs are confirmed."""
     for b in batches:
-        sets = [np.unique((shingles(t.as_py()) >> U(32)).astype("<u4")).tobytes() for t in b.column(1)]
+        sets = [shingles(t.as_py()).astype("<u8").tobytes() for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "found"])
 
 
 def _large(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
-    """Likely links between different labels in buckets of more than SMALL nodes."""
+    """Links between different labels in buckets of more than SMALL nodes, one for each two labels of two blocks."""
     rows = left.where(F.col("n") > SMALL)
     wanted = texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
     sets = keep(wanted.mapInArrow(_hashes, "node long, found binary").dropDuplicates(["node", "found"]), "hashes")
@@ -270,11 +268,11 @@ def _large(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataF
 
 
 def _between(x: pa.Table, y: pa.Table, least: int, percent: int) -> pa.Table:
-    """The best links between each two labels of two blocks."""
-    best: dict[tuple[int, int], list] = {}
+    """A link between each two labels of two blocks that have one, confirmed on the full sets."""
+    links: dict[tuple[int, int], tuple[int, int]] = {}
     if x.num_rows and y.num_rows:
         def read(t: pa.Table) -> tuple:
-            sets = [np.frombuffer(b, "<u4") for b in t["found"].to_pylist()]
+            sets = [np.frombuffer(b, "<u8") for b in t["found"].to_pylist()]
             planes = np.array(t["planes"].to_pylist(), np.int64).view(U).reshape(-1, PLANES, PERMUTATIONS // 64)
             return t["node"].to_numpy(), t["label"].to_numpy(), planes, sets
 
@@ -292,16 +290,13 @@ def _between(x: pa.Table, y: pa.Table, least: int, percent: int) -> pa.Table:
             at = np.minimum(np.searchsorted(words, xs[3][i]), len(words) - 1)
             has = np.zeros(len(words), np.int32)
             has[at[words[at] == xs[3][i]]] = 1
-            common = np.add.reduceat(has[place], starts) + 2
-            united = len(xs[3][i]) + sizes - common + 2
-            for j in np.flatnonzero(ask[i] & (100 * common >= percent * united)):
+            common = np.add.reduceat(has[place], starts)
+            united = len(xs[3][i]) + sizes - common
+            for j in np.flatnonzero(ask[i] & (common > 0) & (100 * common >= percent * united)):
                 labels = (int(min(xs[1][i], ys[1][j])), int(max(xs[1][i], ys[1][j])))
-                found = best.setdefault(labels, [])
-                found.append((common[j] / united[j], int(xs[0][i]), int(ys[0][j])))
-                found.sort(reverse=True)
-                del found[SPARE:]
-    links = [(min(a, b), max(a, b)) for found in best.values() for _, a, b in found]
-    a, b = zip(*links, strict=True) if links else ((), ())
+                pair = (int(min(xs[0][i], ys[0][j])), int(max(xs[0][i], ys[0][j])))
+                links.setdefault(labels, pair)
+    a, b = zip(*links.values(), strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,6 +79,23 @@ def test_near_duplicates_on_odd_rows(spark, odd, odd_rows, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(odd).columns == odd.columns
 
 
+def test_blocks_find_the_one_link_among_near_misses():
+    def table(texts, label, at):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(at, at + len(texts))), pa.array(texts)], ["doc_id", "text"])
+        sets = next(minhash._hashes(iter([batch])))
+        planes = [minhash.bit_planes(minhash.minima(minhash.shingles(t))).tolist() for t in texts]
+        return pa.table({"node": sets["node"], "label": [label] * len(texts), "planes": planes, "found": sets["found"]})
+
+    misses = [[f"m{k}_{i}" for i in range(10)] for k in range(8)]  # 5 of 7 shingles in common: no links
+    true = [f"t{i}" for i in range(24)]  # 18 of 22 shingles in common
+    x = table([" ".join(w) for w in (true, *misses)], 1, 1)
+    y = table([" ".join(w[:-1] + ["other"]) for w in ([*true[:-1], "more"], *misses)], 2, 101)
+    least = 0  # whatever the estimate says, only the full sets decide
+    found = minhash._between(x, y, least, 75).to_pylist()
+    assert {"a": 1, "b": 101} in found and len(found) == 1
+    assert minhash._between(x.slice(1), y.slice(1), least, 75).num_rows == 0
+
+
 def test_estimate_is_near_the_similarity():
     a, b = [f"x{i}" for i in range(400)], [f"x{i}" for i in range(60, 460)]
     x, y = (minhash.shingles(" ".join(w)) for w in (a, b))
