@@ -7,12 +7,13 @@ with the smallest hashes), in one task. A fifth of the sample is held back to fi
 Prediction reads every whole text.
 
 Defined results: `und` with score 0 for texts that are null or have no letter, and for all texts where no labelled
-training row exists; null ids count as crc32 0; repeated rows are predicted alike; further columns stay.
+training row exists or none is drawn; null ids count as crc32 0; repeated rows are predicted alike; further columns stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ SIZE = 1 << BITS
 SAMPLE = 4000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.002, 0.002, 3
 UNKNOWN = "und"
-#: Rows that are looked at for each row of the sample, and the grain of shares of the hashes.
-SPARE, GRAIN = 8, 1 << 20
+#: Distinct texts that are looked at for each row of the sample, and beyond that so that few wanted rows are found as well; the grain of shares of the hashes.
+SPARE, LEAST, GRAIN = 8, 32, 1 << 20
 #: Code points that are hashed at once.
 STRETCH = 1 << 20
 
@@ -139,19 +140,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple:
     idf = np.log((1 + n) / (1 + df)) + 1
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     # The sample bounds the number of languages as well: the most frequent ones first.
-    counted = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample).collect()
+    # Texts are told apart by their hashes, so that copies neither count nor take places.
+    texts = labelled.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
+    counted = texts.groupBy("lang").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.col("rows").desc(), "lang").limit(sample).collect()
     langs = sorted(r.lang for r in counted)
     if not langs:
         return [], np.zeros((SIZE + 1, 0), np.float32), 1.0, idf
     each = max(1, sample // len(langs))
-    # Of each language, a share of the hashes that holds some times the rows wanted; copies of a text count once.
-    share = [(r.lang, int(min(1.0, SPARE * each / r["count"]) * GRAIN)) for r in counted]
+    # Of each language, a share of the hashes that holds some times the texts wanted, or all of them.
+    share = [(r.lang, ceil(min(1.0, (SPARE * each + LEAST) / r.texts) * GRAIN)) for r in counted]
     shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))  # no more rows than the sample
     few = labelled.join(shares, "lang").where(F.pmod("h", F.lit(GRAIN)) < F.col("share")).dropDuplicates(["lang", "h"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(GRAIN)), "h"))
     chosen = few.withColumn("nth", nth).where(F.col("nth") <= each)
     raw = idf.tobytes()
     fitted = chosen.select("h", "text", "lang", F.lit(0).alias("one")).groupBy("one").applyInArrow(lambda t: _train(t, raw, langs), "w binary, t double").first()
+    if fitted is None:
+        return [], np.zeros((SIZE + 1, 0), np.float32), 1.0, idf
     return langs, np.frombuffer(fitted.w, np.float32).reshape(SIZE + 1, len(langs)), fitted.t, idf
 
 

@@ -213,6 +213,19 @@ def test_language_id(spark, odd, odd_rows, empty):
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_language_id_sample_counts_texts_not_copies(spark, monkeypatch):
+    def count_rows(table, idf, langs):
+        return pa.table({"w": pa.array([bytes(4 * (language_id.SIZE + 1) * len(langs))], pa.binary()), "t": [float(table.num_rows)]})
+
+    monkeypatch.setattr(language_id, "_train", count_rows)
+    copies = spark.range(40_000).selectExpr("'the same few words' as text", "'en' as lang")
+    others = spark.range(300).selectExpr("concat('text of number ', id) as text", "'en' as lang")
+    model = language_id.train(copies.unionByName(others), sample=100)
+    assert model[0] == ["en"] and model[2] == 100  # by a share of the rows, 2 of the 301 texts were left
+    alone = language_id.train(copies, sample=1)
+    assert alone[0] == ["en"] and alone[2] == 1
+
+
 def plain_top(rows, k=10):
     v = {}
     for i, x in rows:
