@@ -37,9 +37,10 @@ def canonical(value: object) -> str:
 
 def invalid(value: object, schema: dict, at: str = "arguments") -> str | None:
     """The first way in which value breaks the schema (type, enum, required, properties, items, additionalProperties), or None."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, KINDS[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at} is no {kind}"
+    kinds = schema.get("type") or ()
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    if kinds and not any(isinstance(value, KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+        return f"{at} is no {' or '.join(kinds)}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at} is none of the listed values"
     if isinstance(value, dict):

@@ -312,5 +312,12 @@ def test_schema(value, schema, why):
     assert found is None if why is None else why in found
 
 
+def test_schema_with_a_list_of_types():
+    schema = {"type": ["string", "null"]}
+    assert chat.invalid("x", schema) is None and chat.invalid(None, schema) is None
+    assert chat.invalid(1, schema) == "arguments is no string or null"
+    assert chat.invalid(True, {"type": ["integer", "null"]}) == "arguments is no integer or null"
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
