@@ -208,6 +208,7 @@ def q26_sticky_manifest(spark, sf_dir):
 
 
 def q27_pair_join(spark, sf_dir):
+    # Not the whole table: leaving out flag N plays the role of missing chunk files, so that some headers have no companion.
     headers = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderkey", "stem")
     chunks = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").where("l_returnflag <> 'N'").select(
         F.col("l_orderkey").alias("stem"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_quantity").cast("long").alias("n_bytes")
