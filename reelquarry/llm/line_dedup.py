@@ -1,18 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
-Each line gets a 32-bit hash; a rolling hash over the last two lines' hashes decides after which lines a chunk ends,
-so that boundaries follow the content and survive shifts. A long line (20 words or more: a paragraph set as one
-line) is a chunk of its own, which also rests on the content alone. Chunks of several lines, and long lines, that
-occur more than once in all documents are removed except for their first occurrence by (doc_id, position).
-Hashes only nominate chunks: a chunk goes when the bytes of the chunk are equal to those of an earlier one.
-
-Only DataFrame functions are used. Texts move once, joined with the places of nominated chunks; hot chunks are
-counted by partial aggregation before they are shuffled.
-
-Defined results: null and empty texts stay as they are; a text of which all chunks go becomes empty. Rows that
+Lines are split at line feeds, and long lines of prose once more after a full stop and a space, so that a paragraph set as one
+line is a run of lines as well. Each line gets a 32-bit hash; a rolling hash over the last two lines' hashes
+decides where a chunk ends: after the lines where it is a local minimum. Boundaries thus follow the content and survive
+shifts, and every chunk but the ends of a document has two lines or more. Chunks of several lines, and of LEAST_CHARS
+characters or more, that occur more than once in all documents are removed except for their first occurrence by (doc_id, position).
+Hashes only nominate chunks: a chunk goes when its bytes are equal to those of an earlier one.
+
+Only DataFrame functions are used. Texts are chunked once; hashes of chunks are counted by partial aggregation, and
+the rows of a chunk with many copies are dealt over several tasks.
+
+Defined results: null and empty texts stay as they are; a text of which all chunks go becomes empty. Separators
+of what is left stay as they were; none is left at the end of a text whose last line goes. Rows that
 repeat an id and its text are one document, and don't remove each other's chunks; rows with the same id and
-other texts are told apart by a hash of the text; null ids order first. Further columns stay as they are. Lines
-are split at line feeds only. Very long texts are chunked whole.
+other texts are told apart by a hash of the text; null ids order first. Further columns stay as they are.
+Very long texts are chunked whole.
 """
 
 from __future__ import annotations
@@ -20,98 +22,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import hex_number, let, word_count
+from .columns import hex_number, let
+from .shared import hot_keys, keep, spread_join
 
-#: Words from which a line is a chunk of its own, and the mean number of short lines in a chunk.
-LONG_LINE, MEAN_LINES = 20, 4
+#: Characters from which a chunk counts as a passage.
+LEAST_CHARS = 40
 #: Names of working columns; they are put beside any columns of the documents.
 KEY, CUT, GONE, ID, OTHER, SPANS = "__key", "__chunks", "__gone", "__id", "__other", "__spans"
+ADDED = ("n_lines", "n_lines_removed", "n_chunks_removed")
+WRAP = 1 << 32
 
 
-ADDED = ("n_lines", "n_lines_removed", "n_chunks_removed")
+def lines_of(text: Column) -> Column:
+    """The lines of text with the separator that follows each; the last one's separator is no part of the text."""
+
+    def folded(line: Column) -> Column:
+        parts = F.split(F.replace(line, F.lit(". "), F.lit(".\n")), "\n")
+        return let(parts, lambda p: F.transform(p, lambda x, i: F.concat(x, F.when(i == F.size(p) - 1, "\n").otherwise(" "))))
+
+    return F.flatten(F.transform(F.split(text, "\n"), folded))
+
+
+def n_lines(text: Column) -> Column:
+    """Number of lines without splitting the text."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.length(text) - F.length(F.replace(text, F.lit(". "), F.lit("."))) + 1
 
 
 def _starts(lines: Column) -> Column:
-    """Places of the lines that begin a chunk, with the number of lines and whether the chunk may be removed."""
+    """Places of the lines that begin a chunk, with the number of lines."""
 
-    def flags(facts: Column) -> Column:
-        fact = lambda i: F.get(facts, i)
-        rolled = lambda i: F.pmod(fact(i - 1)["h"] * 31 + F.coalesce(fact(i - 2)["h"], F.lit(0)), F.lit(MEAN_LINES)) == 0
-        begins = lambda i: (i == 0) | fact(i)["long"] | fact(i - 1)["long"] | rolled(i)
-        return let(F.filter(F.sequence(F.lit(0), F.size(facts) - 1), begins), lambda s: spans(s, facts))
+    def places(rolled: Column) -> Column:
+        at = lambda i: F.get(rolled, i)
+        least = lambda i: (at(i - 1) < at(i - 2)) & (at(i - 1) <= at(i))
+        return let(F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: (i == 0) | least(i)), lambda s: spans(s, rolled))
 
-    def spans(starts: Column, facts: Column) -> Column:
-        def span(s: Column, j: Column) -> Column:
-            n = F.coalesce(F.get(starts, j + 1), F.size(facts)) - s
-            return F.struct(s.alias("at"), n.alias("n"), ((n > 1) | F.get(facts, s)["long"]).alias("whole"))
+    def spans(starts: Column, rolled: Column) -> Column:
+        return F.transform(starts, lambda s, j: F.struct(s.alias("at"), (F.coalesce(F.get(starts, j + 1), F.size(rolled)) - s).alias("n")))
 
-        return F.transform(starts, span)
+    def rolls(h: Column) -> Column:
+        return let(F.transform(h, lambda x, i: F.pmod(x + F.coalesce(F.get(h, i - 1), F.lit(0)) * 31, F.lit(WRAP))), places)
 
-    facts = F.transform(
-        lines, lambda x: F.struct(hex_number(F.md5(x), 1, 8).alias("h"), (word_count(x) >= LONG_LINE).alias("long"))
-    )
-    return let(facts, flags)
+    return let(F.transform(lines, lambda x: hex_number(F.md5(F.substring(x, F.lit(1), F.length(x) - 1)), 1, 8)), rolls)
 
 
 def _text(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span["at"] + 1, span["n"]), "\n")
+    """A chunk without the separator at its end."""
+    joined = F.array_join(F.slice(lines, span["at"] + 1, span["n"]), "")
+    return let(joined, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+
+
+def _with_text(lines: Column, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), _text(lines, s).alias("chunk")))
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """docs with the chunks that may be removed: place, number of lines and hash; and a key of the document."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    long = lambda c: F.length(c["chunk"]) >= LEAST_CHARS
 
     def nominated(x: Column) -> Column:
-        whole = F.filter(_starts(x), lambda s: s["whole"])
-        return F.transform(whole, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(_text(x, s)).alias("h")))
+        whole = F.filter(_with_text(x, F.filter(_starts(x), lambda s: s["n"] > 1)), long)
+        return F.transform(whole, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(s["chunk"]).alias("h")))
 
-    return docs.withColumns({KEY: F.xxhash64("doc_id", "text"), CUT: let(lines, nominated)})
+    return docs.withColumns({KEY: F.xxhash64("doc_id", "text"), CUT: let(lines_of(F.coalesce(F.col("text"), F.lit(""))), nominated)})
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with their keys, and (id, key, spans): the chunks of each document to remove, after byte comparison."""
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    spans = chunked(docs.select("doc_id", "text")).select("doc_id", KEY, F.explode(CUT).alias("c")).select("doc_id", KEY, "c.*")
-    many = spans.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    spans = keep(chunked(docs.select("doc_id", "text")).select("doc_id", KEY, F.explode(CUT).alias("c")).select("doc_id", KEY, "c.*"), "chunks")
+    counts = keep(spans.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "chunk-counts")
+    hot = hot_keys(counts, "h")
     places = (
-        spans.join(many, "h").groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER))
-        .agg(F.collect_set(F.struct("at", "n", "h")).alias(SPANS))
+        spread_join(spans, counts.select("h"), "h", hot).groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER))
+        .agg(F.collect_set(F.struct("at", "n")).alias(SPANS))
     )
     of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
-    lines = F.split(F.col("text"), "\n")
     nominated = (
-        keyed.join(places, of_doc).dropDuplicates([KEY, "doc_id"])
-        .select("doc_id", KEY, F.explode(let(lines, lambda x: F.transform(SPANS, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["h"].alias("h"), _text(x, s).alias("chunk"))))).alias("c"))
-        .select("doc_id", KEY, "c.*")
+        keyed.select("doc_id", "text", KEY).join(places, of_doc).dropDuplicates([KEY, "doc_id"])
+        .select("doc_id", KEY, F.explode(let(lines_of(F.col("text")), lambda x: _with_text(x, F.col(SPANS)))).alias("c"))
+        .select("doc_id", KEY, "c.*", F.xxhash64("c.chunk").alias("h"))
     )
     place = F.struct("doc_id", KEY, "at")
-    first = nominated.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    first = nominated.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = spread_join(nominated, first.select("h", F.col("chunk").alias("earlier"), "first"), "h", hot)
     gone = (
-        nominated.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER)).agg(F.collect_set(F.struct("at", "n")).alias(GONE))
+        met.where((F.col("chunk") == F.col("earlier")) & ~place.eqNullSafe(F.col("first")))
+        .groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER)).agg(F.collect_set(F.struct("at", "n", F.length("chunk").alias("chars"))).alias(GONE))
     )
     return keyed, gone
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with repeated chunks removed from text, and n_lines, n_lines_removed, n_chunks_removed, in place of columns of these names."""
+def dedup_lines(docs: DataFrame, copies_from: float | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) with repeated chunks removed from text, and n_lines, n_lines_removed, n_chunks_removed, in place of columns of these names.
+
+    copies_from: documents that would lose this share of their characters or more stay whole: they are copies of
+    documents rather than documents with a passage, and whole copies are for near-duplicate detection to judge.
+    """
     keyed, gone = removals(docs)
     of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
 
     def rest(lines: Column) -> Column:
-        def left(lost: Column) -> Column:
-            return F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
-
         lost = F.flatten(F.transform(F.col(GONE), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
-        return let(lost, left)
-
-    lines = F.split(F.col("text"), "\n")
-    taken = F.coalesce(F.aggregate(GONE, F.lit(0), lambda a, s: a + s["n"]), F.lit(0))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        joined = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
+        return let(joined, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+
+    total = lambda name: F.aggregate(GONE, F.lit(0), lambda a, s: a + s[name])
+    cut = F.col(GONE).isNotNull()
+    if copies_from is not None:
+        cut = cut & (total("chars") < copies_from * F.length("text"))
     return keyed.join(gone, of_doc, "left").select(
-        *[F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ADDED],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        taken.cast("long").alias("n_lines_removed"),
-        F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long").alias("n_chunks_removed"),
+        *[F.when(cut, let(lines_of(F.col("text")), rest)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ADDED],
+        F.coalesce(n_lines(F.col("text")), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(cut, total("n")).otherwise(0).cast("long").alias("n_lines_removed"),
+        F.when(cut, F.size(GONE)).otherwise(0).cast("long").alias("n_chunks_removed"),
     )
 
 

@@ -7,25 +7,47 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this machine is set only where none is, as in tests."""
+    """The folder of spark.checkpoint.dir. Where none is set, a local master gets a folder of this machine; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="reelquarry-"))
         found = sc.getCheckpointDir()
     return found
 
 
+#: Folders made and not yet removed.
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one, removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
     atexit.register(remove_folder, spark, path)
     return path
 
 
+def folders() -> int:
+    """A mark for `settle`."""
+    return len(_folders)
+
+
+def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """Like keep; then the folders made since the mark are removed, as nothing but df needed them."""
+    out = keep(df, name)
+    done, _folders[mark:] = _folders[mark:-1], _folders[-1:]
+    for path in done:
+        remove_folder(df.sparkSession, path)
+    return out
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder through Hadoop's file system; a session that has ended is no error."""
     sc = spark.sparkContext
@@ -43,6 +65,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join leaves to one task, and keys of more rows that are broadcast at most; more of these are joined.
+SPREAD, HOT_KEYS = 512, 200_000
+
+
+def hot_keys(counts: DataFrame, on: str) -> DataFrame | None:
+    """Keys (on, __ways) with more than SPREAD rows and the tasks that share them, from counts (on, m); None if there is none."""
+    hot = keep(counts.where(F.col("m") > SPREAD).select(on, F.ceil(F.col("m") / SPREAD).cast("int").alias("__ways")), "hot-keys")
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= HOT_KEYS else hot
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has few rows for a key, by the column `on`; keys in hot are dealt over several tasks.
+
+    A hot key's rows on the right are copied for each of its tasks, so there are fewer copies than rows of left / SPREAD.
+    Null keys match nothing.
+    """
+    if hot is None:
+        return left.join(right, on, how)
+    dealt = F.pmod(F.xxhash64(*left.columns), F.coalesce("__ways", F.lit(1))).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__ways"), F.lit(1)) - 1))
+    salted = left.join(hot, on, "left").withColumn("__salt", dealt).drop("__ways")
+    return salted.join(right.join(hot, on, "left").withColumn("__salt", copies).drop("__ways"), [on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
