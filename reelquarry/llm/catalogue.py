@@ -22,12 +22,12 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op8_exact_top_k": top_k.op8_exact_top_k,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op9_rule_ablation": quality_rules.op9_rule_ablation,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,
         "pipeline": _pipeline,
     }
 
 
-
 def oracle_sql() -> dict[str, str]:
     from .oracles import SQL
 

@@ -6,24 +6,29 @@ SQL: dict[str, str] = {}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-SQL["op1_line_dedup"] = rf"""
-WITH lines AS (
-  SELECT doc_id, i, ls[i] AS line, CAST('0x' || substr(md5(ls[i]), 1, 8) AS BIGINT) AS h,
-         len({_WORDS.format('ls[i]')}) >= 20 AS long
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+SQL["op1_line_dedup"] = r"""
+WITH physical AS (
+  SELECT doc_id, j, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS k, len(p) AS parts
+  FROM (SELECT doc_id, j, string_split(replace(ls[j], '. ', '.' || chr(10)), chr(10)) AS p
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS j FROM documents))
+), lines AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j, k) AS i, part, CASE WHEN k = parts THEN chr(10) ELSE ' ' END AS sep,
+         CAST('0x' || substr(md5(part), 1, 8) AS BIGINT) AS h
+  FROM physical
+), rolled AS (
+  SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4294967296 AS r FROM lines
 ), cut AS (
-  SELECT *, i = 1 OR long OR lag(long) OVER w
-         OR (lag(h) OVER w * 31 + coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS begins
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, i = 1 OR coalesce(lag(r) OVER w < lag(r, 2) OVER w AND lag(r) OVER w <= r, false) AS begins
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
   SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM cut
 ), chunks AS (
-  SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, count(*) > 1 OR bool_or(long) AS whole
+  SELECT doc_id, c, string_agg(part || sep, '' ORDER BY i) AS full_text, left(string_agg(part || sep, '' ORDER BY i), -1) AS chunk, count(*) AS n
   FROM numbered GROUP BY doc_id, c
 ), judged AS (
-  SELECT *, whole AND row_number() OVER (PARTITION BY chunk, whole ORDER BY doc_id, c) > 1 AS gone FROM chunks
+  SELECT *, n > 1 AND length(chunk) >= 40 AND row_number() OVER (PARTITION BY chunk, n > 1 AND length(chunk) >= 40 ORDER BY doc_id, c) > 1 AS gone FROM chunks
 )
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS text,
+SELECT doc_id, coalesce(left(string_agg(full_text, '' ORDER BY c) FILTER (WHERE NOT gone), -1), '') AS text,
        CAST(sum(n) AS BIGINT) AS n_lines,
        CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_lines_removed,
        CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_chunks_removed
@@ -80,8 +85,22 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, min(r.b) = s.doc_i
 FROM sized s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
 """
 
-SQL["op9_quality_rules"] = rf"""
-WITH worded AS (
+_JUDGED = rf"""
+WITH labelled AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), few AS (
+  SELECT * FROM labelled WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+    < CAST(trunc(least(1.0::DOUBLE, 20000.0::DOUBLE / (SELECT count(*) FROM labelled)) * 4294967296.0::DOUBLE) AS BIGINT)
+), once AS (
+  SELECT text, max(toxic) AS toxic FROM documents JOIN few USING (doc_id) WHERE text IS NOT NULL GROUP BY text
+), totals AS (SELECT count(*) AS n, sum(toxic) AS t FROM once
+), said AS (
+  SELECT toxic, unnest(list_distinct(list_transform({_WORDS.format('text')}, lambda x: trim(lower(x), '.,;:!?"''()')))) AS word FROM once
+), counted AS (SELECT word, sum(toxic) AS t, sum(1 - toxic) AS o FROM said WHERE word <> '' GROUP BY word
+), vocabulary AS (
+  SELECT word FROM counted, totals WHERE counted.t >= 5 AND counted.t >= 0.01::DOUBLE * totals.t
+    AND counted.t * greatest(n - totals.t, 1)::DOUBLE >= 50.0::DOUBLE * totals.t * (o + 1) ORDER BY counted.t DESC, word LIMIT 1000
+), worded AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
@@ -94,26 +113,41 @@ WITH worded AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM hit) GROUP BY doc_id
 ), stutter AS (
   SELECT doc_id, CASE WHEN len(w) < 2 THEN 0 ELSE len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) END AS n FROM worded
+), insults AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(lower(unnest(w)), '.,;:!?"''()') AS word FROM worded) WHERE word IN (SELECT word FROM vocabulary) GROUP BY doc_id
 ), facts AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
     len(ls) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
     (length(text) - length(replace(text, '!!', ''))) // 2 AS n_shouts, length(text) - length(replace(text, chr(65533), '')) AS n_broken,
-    len(list_filter(w, lambda x: list_contains(['loser', 'idiot', 'pathetic', 'scum', 'worthless', 'moron', 'trash', 'clown', 'disgusting', 'stupid'],
-      lower(trim(x, '.,;:!?"''()'))))) AS n_toxic, s.n AS n_stutters
-  FROM worded d LEFT JOIN repeats r ON r.doc_id = d.doc_id JOIN stutter s ON s.doc_id = d.doc_id
+    CAST(coalesce(x.n, 0) AS BIGINT) AS n_toxic, s.n AS n_stutters
+  FROM worded d LEFT JOIN repeats r ON r.doc_id = d.doc_id JOIN stutter s ON s.doc_id = d.doc_id LEFT JOIN insults x ON x.doc_id = d.doc_id
 ), judged AS (
   SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 100 * n_dup_lines > 30 * n_lines AND n_dup_lines > 1 AS r2,
     100 * n_symbols > 10 * n_words AS r3, word_chars < 2 * n_words OR word_chars > 15 * n_words AS r4, 100 * n_upper > 40 * word_chars AS r5,
     100 * n_shouts > 20 * n_words AND n_words > 0 AS r6, 1000 * n_broken > word_chars AS r7, n_toxic >= 2 AS r8, 100 * n_stutters > 20 * n_words AS r9
   FROM facts
 )
+"""
+
+SQL["op9_quality_rules"] = (
+    _JUDGED
+    + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed,
-  NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6 OR r7 OR r8 OR r9) AS kept,
+  NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6 OR r7 OR r8 OR r9) AS kept, n_toxic,
   CAST(r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT + 128 * r7::INT + 256 * r8::INT + 512 * r9::INT AS BIGINT) AS failed_bits
 FROM judged
 """
+)
+
+_RULES = ("few_words", "repeated_windows", "repeated_lines", "symbols", "word_length", "capitals", "shouting", "broken_characters", "toxic", "stutters")
+_OTHERS = "(" + " + ".join(f"r{i}::INT" for i in range(10)) + ")"
+SQL["op9_rule_ablation"] = _JUDGED + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER (r{i}) AS n_failed, count(*) FILTER (r{i} AND {_OTHERS} = 1) AS n_only_this, "
+    f"count(*) FILTER ({_OTHERS} - r{i}::INT = 0) AS n_pass_without FROM judged"
+    for i, name in enumerate(_RULES)
+)
 
 SQL["op8_exact_top_k"] = """
 WITH vectors AS (

@@ -4,24 +4,32 @@ Every rule is evaluated once per document: measurements go to columns, failures
 `failed_bits`. A policy is a named, versioned set of rule bits; applying one is a bitwise test, so policies
 can change and be compared without touching the texts again. Ablations are bitwise aggregates of the ledger.
 
+The toxic rule has no list of its own: its words are learned from labelled documents, in whatever language these are
+(`toxic_words`). A word counts if many documents labelled toxic hold it and hardly any other does. Documents are
+labelled by id; at most LABELLED of them, on average, are read, and copies of a text count once.
+
 Defined results: null and empty texts measure 0 everywhere and fail the rules that ask for words; null ids,
 repeated rows and further columns are kept as they are, one ledger row for each input row; an empty table
-gives an empty ledger. Very long texts are measured whole.
+gives an empty ledger. Very long texts are measured whole. Without labels no word is toxic; a document with several labels
+is toxic if one of them says so; null labels say nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import SPACES, let, words
+from .columns import SPACES, hex_number, let, words
+from .shared import keep
 
-#: Common insults that mark a toxic document when two or more occur.
-TOXIC_WORDS = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid")
+#: Labelled documents that the toxic words are learned from, on average at most: those whose ids have the smallest hashes.
+LABELLED, GRAIN = 20_000, 1 << 32
+#: A toxic word: in so many toxic documents at least, in this share of them, and so many times as often as in others. At most VOCABULARY, the most frequent.
+LEAST_DOCS, LEAST_SHARE, LIFT, VOCABULARY = 5, 0.01, 50.0, 1000
+PUNCTUATION = ".,;:!?\"'()"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MEASURES = "__measures"
@@ -80,20 +88,43 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
-def _toxic(w: Column, text: Column) -> Column:
-    """Words of TOXIC_WORDS, in any case and with punctuation around them; few texts hold one at all."""
-    low = F.lower(text)
-    bare = F.filter(w, lambda x: F.btrim(F.lower(x), F.lit(".,;:!?\"'()")).isin(*TOXIC_WORDS))
-    return F.when(reduce(or_, [F.contains(low, F.lit(t)) for t in TOXIC_WORDS]), F.size(bare)).otherwise(F.lit(0)).cast("long")
+def bare(word: Column) -> Column:
+    """A word in lower case without punctuation around it."""
+    return F.btrim(F.lower(word), F.lit(PUNCTUATION))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """Words that mark toxic documents, from docs (doc_id, text) and labels (doc_id, toxic); VOCABULARY of them at most."""
+    judged = keep(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")), "labels")
+    n = judged.count()
+    if not n:
+        return []
+    share = int(min(1.0, LABELLED / n) * GRAIN)
+    few = judged.where(hex_number(F.md5(F.col("doc_id").cast("string")), 1, 8) < share)  # about LABELLED rows of two numbers at most
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id")
+    once = keep(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic")), "labelled-texts")
+    total, n_toxic = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    found = once.select("toxic", F.explode(F.array_distinct(F.transform(words(F.col("text")), bare))).alias("word")).where("word <> ''")
+    counted = found.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    enough = (F.col("t") >= LEAST_DOCS) & (F.col("t") >= LEAST_SHARE * n_toxic)
+    rare = F.col("t") * float(max(total - n_toxic, 1)) >= LIFT * n_toxic * (F.col("o") + 1)
+    return [r.word for r in counted.where(enough & rare).orderBy(F.col("t").desc(), "word").limit(VOCABULARY).collect()]
 
 
-def _word_measures(w: Column, text: Column) -> Column:
+def _toxic(w: Column, vocabulary: Sequence[str]) -> Column:
+    """Words of the vocabulary, repeats counted."""
+    if not vocabulary:
+        return F.lit(0).cast("long")
+    return F.size(F.filter(w, lambda x: bare(x).isin(*vocabulary))).cast("long")
+
+
+def _word_measures(w: Column, vocabulary: Sequence[str]) -> Column:
     runs = lambda wh: F.struct(_repeat_words(wh).alias("n_repeat_words"), _stutters(wh).alias("n_stutters"))
     return F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         let(F.transform(w, lambda x: F.xxhash64(x)), runs).alias("runs"),
-        _toxic(w, text).alias("n_toxic"),
+        _toxic(w, vocabulary).alias("n_toxic"),
     )
 
 
@@ -102,11 +133,11 @@ def _found(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
     """docs with a struct of the measurements; every text is split once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = let(_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    both = docs.withColumns({"__w": let(words(text), lambda w: _word_measures(w, text)), "__l": n_lines})
+    both = docs.withColumns({"__w": let(words(text), lambda w: _word_measures(w, vocabulary)), "__l": n_lines})
     values = {
         "n_words": F.col("__w.n_words"), "word_chars": F.col("__w.word_chars"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": F.col("__l.dup").cast("long"), "n_repeat_words": F.col("__w.runs.n_repeat_words"), "n_stutters": F.col("__w.runs.n_stutters"),
@@ -116,9 +147,9 @@ def _measured(docs: DataFrame) -> DataFrame:
     return both.select(*docs.columns, F.struct(*[v.alias(k) for k, v in values.items()]).alias(MEASURES))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs with the measurements that the rules use, in place of columns of these names."""
-    return _opened(_measured(docs), docs.columns)
+def measure(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
+    """docs with the measurements that the rules use, in place of columns of these names. vocabulary: the toxic words."""
+    return _opened(_measured(docs, vocabulary), docs.columns)
 
 
 def _opened(rows: DataFrame, own: list[str], *more: str) -> DataFrame:
@@ -163,9 +194,10 @@ def _bits() -> Column:
     return bits
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """docs with the measurements and `failed_bits`: bit BIT[rule] is set where the document fails the rule."""
-    return _opened(_measured(docs.drop("failed_bits")).withColumn("failed_bits", _bits()), [c for c in docs.columns if c != "failed_bits"], "failed_bits")
+def ledger(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
+    """docs with the measurements and `failed_bits`: bit BIT[rule] is set where the document fails the rule. vocabulary: the toxic words."""
+    rows = _measured(docs.drop("failed_bits"), vocabulary).withColumn("failed_bits", _bits())
+    return _opened(rows, [c for c in docs.columns if c != "failed_bits"], "failed_bits")
 
 
 def fails(policy: Policy, bits: str = "failed_bits") -> Column:
@@ -173,9 +205,9 @@ def fails(policy: Policy, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
 
-def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The documents that pass the policy, with their own columns only."""
-    return _measured(docs).withColumn("__bits", _bits()).where(~fails(policy, "__bits")).select(*docs.columns)
+def filter_documents(docs: DataFrame, policy: Policy = STANDARD, vocabulary: Sequence[str] = ()) -> DataFrame:
+    """The documents that pass the policy, with their own columns only. vocabulary: the toxic words."""
+    return _measured(docs, vocabulary).withColumn("__bits", _bits()).where(~fails(policy, "__bits")).select(*docs.columns)
 
 
 def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
@@ -196,10 +228,19 @@ def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     )
 
 
+def _ledger_of(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ledger(docs, toxic_words(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract query over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return ledger(docs).select(
+    return _ledger_of(spark, sf_dir).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        fails(BASE).alias("base_failed"), (~fails(STANDARD)).alias("kept"), "failed_bits",
+        fails(BASE).alias("base_failed"), (~fails(STANDARD)).alias("kept"), "n_toxic", "failed_bits",
     )
+
+
+def op9_rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy does to all documents."""
+    return ablation(_ledger_of(spark, sf_dir))
