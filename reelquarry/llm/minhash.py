@@ -17,7 +17,7 @@ about 1e-7; both fall fast as similarity rises.
 
 Defined results: texts that are null or hold no words have the empty set and link with nothing; rows with a null
 id have a null component and are kept; repeated rows share one component, and each row is returned. A
-repeated id with different texts counts as one document of both texts. Very long texts are read whole.
+repeated id with different texts counts as one document of both texts. Very long texts are read whole. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bound_batches, keep
+from .shared import bound_batches, hot_keys, keep, spread_join
 
 PERMUTATIONS, BANDS, PLANES, WIDTH = 128, 32, 4, 5
 ROWS = PERMUTATIONS // BANDS
@@ -168,13 +168,11 @@ def estimate(count: Column) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) that are similar on their full sets."""
-    joined = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+    """pairs (a, b), with few rows for an a, that are similar on their full sets."""
+    found = keep(pairs.select("a", "b"), "pairs")
+    hot = hot_keys(found.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b")
+    left = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = spread_join(left, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", hot).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(lambda it: _similar(it, percent), "a long, b long")
 
 
@@ -188,13 +186,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "sketches",
     )
     known = raw.where("n_shingles > 0 and doc_id is not null")
-    sets = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
-    of_set = keep(raw.select("doc_id", "n_shingles", "hi", "lo").join(sets, ["hi", "lo"], "left").select("doc_id", "n_shingles", "node"), "nodes")
-    nodes = keep(
-        known.join(sets, ["hi", "lo"]).where("doc_id = node").select("node", "bands", "planes").dropDuplicates(["node", "planes"]), "distinct"
-    )
+    sets = keep(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("m")), "sets")
+    with_set = raw.where("hi is not null").select("doc_id", "n_shingles", "hi", "lo")
+    same = spread_join(with_set, sets.select("hi", F.col("lo").alias("l"), "node"), "hi", hot_keys(sets.groupBy("hi").agg(F.sum("m").alias("m")), "hi"), "left")
+    # Rows with a null id may have a set of their own; two sets with one `hi` differ in `lo`.
+    alone = F.lit(None).cast("long").alias("node")
+    of_set = same.where("l = lo or l is null").select("doc_id", "n_shingles", "node").unionByName(raw.where("hi is null").select("doc_id", "n_shingles", alone))
+    of_set = keep(of_set, "nodes")
+    nodes = known.join(sets.select(F.col("node").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"])
+    nodes = keep(nodes.select(F.col("doc_id").alias("node"), "bands", "planes").dropDuplicates(["node", "planes"]), "distinct")
     labels = _link(texts, nodes, percent)
-    named = of_set.join(labels, "node", "left")
+    named = spread_join(of_set, labels, "node", hot_keys(of_set.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "node"), "left")
     component = F.coalesce("label", "node", "doc_id")
     return named.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
@@ -207,7 +209,9 @@ def _link(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     entries = nodes.select("node", F.explode("bands").alias("key"))
     order = F.xxhash64("node", "key")
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("c")).where("n > 1")
-    entries = keep(entries.join(counts, "key"), "entries")
+    counts = keep(counts, "buckets")
+    hot = hot_keys(counts.withColumnRenamed("n", "m"), "key")
+    entries = keep(spread_join(entries, counts, "key", hot), "entries")
     known = entries.select("node").distinct()
     some = keep(texts.join(known.select(F.col("node").alias("doc_id")), "doc_id"), "texts")
     planes = nodes.select("node", "planes")
@@ -216,7 +220,7 @@ def _link(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     stars = best.select("a", F.explode("x").alias("x")).select("a", "x.b")
     joined = components(keep(_confirm(stars, some, percent), "links"))
     labels = keep(known.join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "all-labels")
-    left = _mixed(entries, labels, planes)
+    left = _mixed(entries, labels, planes, hot)
     more = keep(_confirm(_small(left, least), some, percent).unionByName(_large(left, some, least, percent)), "links")
     to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     again = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -229,11 +233,11 @@ def _scored(met: DataFrame, planes: DataFrame, least: int) -> DataFrame:
     return met.join(a, "a").join(b, "b").withColumn("m", matches(F.col("pa"), F.col("pb"))).where(F.col("m") >= least).drop("pa", "pb")
 
 
-def _mixed(entries: DataFrame, labels: DataFrame, planes: DataFrame) -> DataFrame:
+def _mixed(entries: DataFrame, labels: DataFrame, planes: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Entries of the buckets that hold more than one label."""
     here = entries.select("node", "key", "n").join(labels, "node")
     mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    return keep(here.join(mixed, "key").join(planes, "node"), "mixed")
+    return keep(spread_join(here, mixed, "key", hot).join(planes, "node"), "mixed")
 
 
 def _small(left: DataFrame, least: int) -> DataFrame:
