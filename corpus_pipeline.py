@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquarry.llm import bpe, line_dedup, minhash, mixing, quality_rules
-from reelquarry.llm.shared import keep
+from reelquarry.llm.shared import folders, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of a document's characters in repeated passages from which it is a copy, for near-dedup, and no document with a passage.
+COPIES_FROM = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the standard policy."""
-    return quality_rules.filter_documents(docs)
+    """Documents that pass the standard policy; its toxic words are learned from the labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return quality_rules.filter_documents(docs, vocabulary=quality_rules.toxic_words(docs, labels))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that repeat; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without the passages that repeat; n_chars follows the text. Whole copies stay as they are for the next stage."""
+    out = line_dedup.dedup_lines(docs, copies_from=COPIES_FROM)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -47,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again, and what it was made of is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    mark = folders()
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs = settle(stage(spark, docs, sf_dir), name, mark)
     return STAGES[-1][1](spark, docs, sf_dir)

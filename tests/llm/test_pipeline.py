@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from test_free import plain_groups, shingle_set
-from test_native import WORD, plain_facts, plain_mix
+from test_native import WORD, plain_dedup, plain_facts, plain_mix
 from tokenizers import Tokenizer
 
 from reelquarry.llm import bpe, quality_rules
@@ -15,11 +16,28 @@ from reelquarry.llm import bpe, quality_rules
 SF = "/root/testdata/sf0.001"
 
 
-def passes(text):
+def toxic_vocabulary(docs, labels):
+    """Toxic words from (doc_id, text) and (doc_id, toxic)."""
+    flag = defaultdict(int)
+    for i, toxic in labels:
+        flag[i] = max(flag[i], toxic)
+    texts = {}
+    for i, t in docs:
+        if i in flag and t is not None:
+            texts[t] = max(texts.get(t, 0), flag[i])
+    hold = (Counter(), Counter())
+    for t, f in texts.items():
+        hold[f].update({x.lower().strip(quality_rules.PUNCTUATION) for x in WORD.findall(t)} - {""})
+    n = sum(texts.values())
+    others = max(len(texts) - n, 1)
+    return {w for w, c in hold[1].items() if c >= 5 and c >= 0.01 * n and c * others >= 50 * n * (hold[0][w] + 1)}
+
+
+def passes(text, vocabulary):
     n, chars, symbols, dup, repeat = plain_facts(text)
     t, w = text or "", WORD.findall(text or "")
     lines = [x for x in t.split("\n") if WORD.search(x)]
-    toxic = sum(x.lower().strip(".,;:!?\"'()") in quality_rules.TOXIC_WORDS for x in w)
+    toxic = sum(x.lower().strip(quality_rules.PUNCTUATION) in vocabulary for x in w)
     upper, stutter = sum("A" <= c <= "Z" for c in t), sum(a == b for a, b in zip(w, w[1:], strict=False))
     failed = (
         n < 20, 100 * repeat > 30 * n, 100 * dup > 30 * len(lines) and dup > 1, 100 * symbols > 10 * n, chars < 2 * n or chars > 15 * n,
@@ -28,27 +46,6 @@ def passes(text):
     return not any(failed)
 
 
-def plain_lines(docs):
-    """(doc_id, text) to texts without repeated chunks, in order of doc_id."""
-    seen, out = set(), {}
-    for i, text in sorted(docs):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        long = [len(WORD.findall(x)) >= 20 for x in lines]
-        begins = [k == 0 or long[k] or long[k - 1] or (h[k - 1] * 31 + (h[k - 2] if k > 1 else 0)) % 4 == 0 for k in range(len(lines))]
-        cuts = [k for k, b in enumerate(begins) if b] + [len(lines)]
-        kept = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            chunk = "\n".join(lines[a:b])
-            if (b - a > 1 or long[a]) and chunk in seen:
-                continue
-            if b - a > 1 or long[a]:
-                seen.add(chunk)
-            kept += lines[a:b]
-        out[i] = "\n".join(kept)
-    return out
-
-
 def plain_copies(rows):
     """(doc_id, text, source) to how often the mix takes each."""
     size = {i: len(WORD.findall(t)) for i, t, _ in rows}
@@ -67,10 +64,13 @@ def plain_copies(rows):
     return out
 
 
-def test_pipeline_equals_plain_stages(spark):
-    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    good = [(i, t, s) for i, t, s in docs if passes(t)]
-    texts = plain_lines([(i, t) for i, t, _ in good])
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_pipeline_equals_plain_stages(spark, sf):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    vocabulary = toxic_vocabulary([(i, t) for i, t, _ in docs], labels)
+    good = [(i, t, s) for i, t, s in docs if passes(t, vocabulary)]
+    texts = plain_dedup([(i, t) for i, t, _ in good], corpus_pipeline.COPIES_FROM)
     groups = plain_groups(texts.items())
     kept = [(i, texts[i], s) for i, _, s in good if not shingle_set(texts[i]) or groups[shingle_set(texts[i])] == i]
     copies = plain_copies(kept)
@@ -79,8 +79,8 @@ def test_pipeline_equals_plain_stages(spark):
     for i, t, _ in kept:
         ids = np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         want[(i, len(ids) // 4, hashlib.sha256(ids).hexdigest())] += copies[i]
-    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256").collect())
-    assert got == +want and len(docs) > len(good) > len(kept)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256").collect())
+    assert got == +want and len(docs) > len(good) > len(kept) and min(n for _, n, _ in got) > 0
 
 
 def test_stages_keep_columns_on_odd_rows(spark, odd, empty):
