@@ -5,7 +5,7 @@ line is a run of lines as well. Each line gets a 32-bit hash; a rolling hash ove
 decides where a chunk ends: after the lines where it is a local minimum. Boundaries thus follow the content and survive
 shifts, and every chunk but the ends of a document has two lines or more. Chunks of several lines, and of LEAST_CHARS
 characters or more, that occur more than once in all documents are removed except for their first occurrence by (doc_id, position).
-Hashes only nominate chunks: a chunk goes when its bytes are equal to those of an earlier one.
+Hashes only nominate chunks: a chunk goes when the bytes of its lines are equal to those of an earlier one's.
 
 Only DataFrame functions are used. Texts are chunked once; hashes of chunks are counted by partial aggregation, and
 the rows of a chunk with many copies are dealt over several tasks.
@@ -33,12 +33,16 @@ ADDED = ("n_lines", "n_lines_removed", "n_chunks_removed")
 WRAP = 1 << 32
 
 
+def bare_lines(text: Column) -> Column:
+    """The lines of text without separators."""
+    return F.split(F.replace(text, F.lit(". "), F.lit(".\n")), "\n")
+
+
 def lines_of(text: Column) -> Column:
-    """The lines of text with the separator that follows each; the last one's separator is no part of the text."""
+    """The same lines with the separator that follows each; the last one's separator is no part of the text."""
 
     def folded(line: Column) -> Column:
-        parts = F.split(F.replace(line, F.lit(". "), F.lit(".\n")), "\n")
-        return let(parts, lambda p: F.transform(p, lambda x, i: F.concat(x, F.when(i == F.size(p) - 1, "\n").otherwise(" "))))
+        return let(bare_lines(line), lambda p: F.transform(p, lambda x, i: F.concat(x, F.when(i == F.size(p) - 1, "\n").otherwise(" "))))
 
     return F.flatten(F.transform(F.split(text, "\n"), folded))
 
@@ -48,42 +52,35 @@ def n_lines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.length(text) - F.length(F.replace(text, F.lit(". "), F.lit("."))) + 1
 
 
-def _starts(lines: Column) -> Column:
-    """Places of the lines that begin a chunk, with the number of lines."""
+def _chunks(lines: Column) -> Column:
+    """Place, number of lines and hash of each chunk of several lines."""
 
-    def places(rolled: Column) -> Column:
+    def places(rolled: Column, h: Column) -> Column:
         at = lambda i: F.get(rolled, i)
         least = lambda i: (at(i - 1) < at(i - 2)) & (at(i - 1) <= at(i))
-        return let(F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: (i == 0) | least(i)), lambda s: spans(s, rolled))
+        return let(F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: (i == 0) | least(i)), lambda s: spans(s, h))
 
-    def spans(starts: Column, rolled: Column) -> Column:
-        return F.transform(starts, lambda s, j: F.struct(s.alias("at"), (F.coalesce(F.get(starts, j + 1), F.size(rolled)) - s).alias("n")))
-
-    def rolls(h: Column) -> Column:
-        return let(F.transform(h, lambda x, i: F.pmod(x + F.coalesce(F.get(h, i - 1), F.lit(0)) * 31, F.lit(WRAP))), places)
+    def spans(starts: Column, h: Column) -> Column:
+        def span(s: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(starts, j + 1), F.size(h)) - s
+            return F.struct(s.alias("at"), n.alias("n"), F.xxhash64(F.slice(h, s + 1, n)).alias("h"))
 
-    return let(F.transform(lines, lambda x: hex_number(F.md5(F.substring(x, F.lit(1), F.length(x) - 1)), 1, 8)), rolls)
-
-
-def _text(lines: Column, span: Column) -> Column:
-    """A chunk without the separator at its end."""
-    joined = F.array_join(F.slice(lines, span["at"] + 1, span["n"]), "")
-    return let(joined, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+        return F.filter(F.transform(starts, span), lambda c: c["n"] > 1)
 
+    def rolls(h: Column) -> Column:
+        return let(F.transform(h, lambda x, i: F.pmod(x + F.coalesce(F.get(h, i - 1), F.lit(0)) * 31, F.lit(WRAP))), lambda r: places(r, h))
 
-def _with_text(lines: Column, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), _text(lines, s).alias("chunk")))
+    return let(F.transform(lines, lambda x: hex_number(F.md5(x), 1, 8)), rolls)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """docs with the chunks that may be removed: place, number of lines and hash; and a key of the document."""
-    long = lambda c: F.length(c["chunk"]) >= LEAST_CHARS
+    """docs with the chunks that may be removed: place, number of lines and hash of the lines' hashes; and a key of the document."""
+    return docs.withColumns({KEY: F.xxhash64("doc_id", "text"), CUT: let(bare_lines(F.coalesce(F.col("text"), F.lit(""))), _chunks)})
 
-    def nominated(x: Column) -> Column:
-        whole = F.filter(_with_text(x, F.filter(_starts(x), lambda s: s["n"] > 1)), long)
-        return F.transform(whole, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.xxhash64(s["chunk"]).alias("h")))
 
-    return docs.withColumns({KEY: F.xxhash64("doc_id", "text"), CUT: let(lines_of(F.coalesce(F.col("text"), F.lit(""))), nominated)})
+def _texts(lines: Column) -> Column:
+    """The nominated chunks with their lines, joined alike whatever separated them."""
+    return F.transform(SPANS, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["h"].alias("h"), F.array_join(F.slice(lines, s["at"] + 1, s["n"]), "\n").alias("chunk")))
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,13 +91,13 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = hot_keys(counts, "h")
     places = (
         spread_join(spans, counts.select("h"), "h", hot).groupBy(F.col("doc_id").alias(ID), F.col(KEY).alias(OTHER))
-        .agg(F.collect_set(F.struct("at", "n")).alias(SPANS))
+        .agg(F.collect_set(F.struct("at", "n", "h")).alias(SPANS))
     )
     of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
     nominated = (
         keyed.select("doc_id", "text", KEY).join(places, of_doc).dropDuplicates([KEY, "doc_id"])
-        .select("doc_id", KEY, F.explode(let(lines_of(F.col("text")), lambda x: _with_text(x, F.col(SPANS)))).alias("c"))
-        .select("doc_id", KEY, "c.*", F.xxhash64("c.chunk").alias("h"))
+        .select("doc_id", KEY, F.explode(let(bare_lines(F.col("text")), _texts)).alias("c"))
+        .select("doc_id", KEY, "c.*").where(F.length("chunk") >= LEAST_CHARS)
     )
     place = F.struct("doc_id", KEY, "at")
     first = nominated.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
