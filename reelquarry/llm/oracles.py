@@ -23,7 +23,7 @@ WITH physical AS (
 ), numbered AS (
   SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM cut
 ), chunks AS (
-  SELECT doc_id, c, string_agg(part || sep, '' ORDER BY i) AS full_text, left(string_agg(part || sep, '' ORDER BY i), -1) AS chunk, count(*) AS n
+  SELECT doc_id, c, string_agg(part || sep, '' ORDER BY i) AS full_text, string_agg(part, chr(10) ORDER BY i) AS chunk, count(*) AS n
   FROM numbered GROUP BY doc_id, c
 ), judged AS (
   SELECT *, n > 1 AND length(chunk) >= 40 AND row_number() OVER (PARTITION BY chunk, n > 1 AND length(chunk) >= 40 ORDER BY doc_id, c) > 1 AS gone FROM chunks
@@ -152,7 +152,7 @@ SQL["op9_rule_ablation"] = _JUDGED + " UNION ALL ".join(
 SQL["op8_exact_top_k"] = """
 WITH vectors AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -162,10 +162,37 @@ WITH vectors AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-#: For conversations without tool calls, as in the synthetic table; the tests hold calls against a plain version.
+#: The table's turns with the calls and results that the query makes from them.
 SQL["op6_chat_format"] = """
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS position, turn, role,
-  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message,
-  CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(NULL AS VARCHAR) AS problem
-FROM conversations
+WITH asked AS (
+  SELECT *, conv_id + turn AS n, CASE WHEN (conv_id + turn) % 17 = 0 THEN 'erase' WHEN (conv_id + turn) % 2 = 0 THEN 'find' ELSE 'count' END AS tool,
+    CASE WHEN (conv_id + turn) % 7 = 0 THEN '"' || length(text) || '"' ELSE CAST(length(text) AS VARCHAR) END AS given FROM conversations WHERE role = 'assistant'
+), calls AS (
+  SELECT conv_id, turn * 4 - 2 AS turn, role, 'call_' || turn AS id,
+    '{"content":null,"role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN n % 3 = 0 THEN '' ELSE '"conversation":' || conv_id || ',' END
+      || '"n_chars":' || given || ',"turn":' || turn || '},"id":"call_' || turn || '","name":"' || tool || '"}]}' AS message,
+    CASE WHEN tool = 'erase' THEN 'no tool erase'
+      WHEN tool = 'find' AND n % 3 = 0 THEN 'arguments lacks conversation'
+      WHEN tool = 'find' AND n % 7 = 0 THEN 'arguments.n_chars is no integer or null'
+      WHEN tool = 'count' AND n % 7 = 0 THEN 'arguments.n_chars is no integer'
+      WHEN tool = 'count' AND length(text) < 40 THEN 'arguments.n_chars is below 40' END AS why FROM asked
+), results AS (
+  SELECT conv_id, CASE WHEN n % 5 = 0 THEN turn * 4 - 3 ELSE turn * 4 - 1 END AS turn, CASE WHEN n % 13 = 0 THEN 'lost_' ELSE 'call_' END || turn AS id,
+    '{"content":' || length(text) || ',"role":"tool","tool_call_id":"' || CASE WHEN n % 13 = 0 THEN 'lost_' ELSE 'call_' END || turn || '"}' AS message
+  FROM asked WHERE n % 11 <> 0
+), linked AS (
+  SELECT conv_id, id, min(turn) AS call_turn FROM calls SEMI JOIN results USING (conv_id, id) GROUP BY conv_id, id
+), every AS (
+  SELECT conv_id, turn * 4 AS turn, role, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message,
+    0 AS n_calls, 0 AS n_linked, CAST(NULL AS VARCHAR) AS problem, turn * 4 AS at, 0 AS late FROM conversations
+  UNION ALL
+  SELECT c.conv_id, turn, role, message, 1, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END, coalesce(why, CASE WHEN l.id IS NULL THEN 'a call without result' END), turn, 0
+  FROM calls c LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.id = c.id
+  UNION ALL
+  SELECT r.conv_id, turn, 'tool', message, 0, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END, CASE WHEN l.id IS NULL THEN 'no call of this result' END,
+    CASE WHEN call_turn > turn THEN call_turn ELSE turn END, CASE WHEN call_turn > turn THEN 1 ELSE 0 END
+  FROM results r LEFT JOIN linked l ON l.conv_id = r.conv_id AND l.id = r.id
+)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY at, late, turn, role, message) - 1 AS BIGINT) AS position, turn, role, message,
+  CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, problem FROM every
 """

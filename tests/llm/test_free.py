@@ -5,14 +5,16 @@ import json
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reelquarry.llm import bpe, chat, importance, kneser_ney, language_id, minhash, top_k
+from reelquarry.llm import bpe, chat, importance, kneser_ney, language_id, minhash, shared, top_k
 from reelquarry.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -213,6 +215,74 @@ def test_language_id(spark, odd, odd_rows, empty):
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(empty)).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Counts of hashed n-grams, one by one."""
+    if not any(map(str.isalpha, text)):
+        return Counter()
+    c = [max(ord(x), 32) if ord(x) >= 33 else 32 for x in text.lower()]
+    out = Counter()
+    for order in (1, 2, 3):
+        for i in range(len(c) - order + 1):
+            h = 0
+            for x in c[i : i + order]:
+                h = (h + x) * 0x9E3779B97F4A7C15 % 2**64
+            out[h >> 49] += 1
+    return out
+
+
+def test_language_id_equals_dictionaries():
+    """Features, weights by follow-the-regularised-leader and the softmax, with dictionaries and one coordinate at a time."""
+    rng = random.Random(8)
+    texts = ["Der Hund bellt und das Haus ist gro\u00df", "le chien et la maison de la ville", "the dog and the house in the town", "", "123 !!"]
+    texts += [" ".join(rng.choice(t.split()) for _ in range(6)) for t in texts[:3] for _ in range(5)]
+    for t in texts:
+        found = language_id.counts(t)
+        assert {int(k): int(found[k]) for k in np.flatnonzero(found)} == plain_grams(t)
+    labelled = [(t, i % 3) for i, t in enumerate(texts[:3])] + [(t, i // 5) for i, t in enumerate(texts[5:])]
+    df = Counter(k for t, _ in labelled for k in plain_grams(t))
+    idf = lambda k: math.log((1 + len(labelled)) / (1 + df[k])) + 1
+
+    def vector(t):
+        x = {k: (1 + math.log(n)) * idf(k) for k, n in plain_grams(t).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / size for k, v in x.items()} | {language_id.SIZE: 1.0}
+
+    rows = [(vector(t), y) for t, y in labelled]
+    train = [r for i, r in enumerate(rows) if i % 5]
+    z, n = defaultdict(float), defaultdict(float)
+    L = language_id
+
+    def weight(k, c):
+        if abs(z[k, c]) <= L.L1:
+            return 0.0
+        return -(z[k, c] - math.copysign(L.L1, z[k, c])) / ((L.BETA + math.sqrt(n[k, c])) / L.ALPHA + L.L2)
+
+    def softmax(x):
+        s = [sum(v * weight(k, c) for k, v in x.items()) for c in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for epoch in range(L.EPOCHS):
+        for i in np.random.RandomState(epoch).permutation(len(train)):
+            x, y = train[i]
+            p = softmax(x)
+            for k, v in x.items():
+                for c in range(3):
+                    w, g = weight(k, c), v * (p[c] - (c == y))
+                    z[k, c] += g - (math.sqrt(n[k, c] + g * g) - math.sqrt(n[k, c])) / L.ALPHA * w
+                    n[k, c] += g * g
+    scale = np.array([idf(k) for k in range(L.SIZE)])
+    w, t = L.fit([(*L.tf_idf(L.counts(x), scale), y) for x, y in labelled], 3)
+    assert all(w[k, c] == pytest.approx(weight(k, c), abs=1e-5) for k, c in list(z)) and np.count_nonzero(w) <= len(z)
+    assert [int(np.argmax(softmax(vector(x)))) for x, _ in labelled] == [y for _, y in labelled] and 2.0**-4 <= t <= 4
+
+
+def test_language_id_on_copies_of_one_text(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'the same text each time' as text", "'en' as lang")
+    out = language_id.predict(docs, language_id.train(docs)).groupBy("lang_pred").count().collect()
+    assert [tuple(r) for r in out] == [("en", 3000)]
+
+
 def test_language_id_sample_counts_texts_not_copies(spark, monkeypatch):
     def count_rows(table, idf, langs):
         return pa.table({"w": pa.array([bytes(4 * (language_id.SIZE + 1) * len(langs))], pa.binary()), "t": [float(table.num_rows)]})
@@ -227,28 +297,38 @@ def test_language_id_sample_counts_texts_not_copies(spark, monkeypatch):
 
 
 def plain_top(rows, k=10):
-    v = {}
+    v = []
     for i, x in rows:
-        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
-            v.setdefault((i, tuple(math.floor(1024 * c) for c in x)), None)
-    out = set()
-    for q, x in v:
-        if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in v if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found)}
-    return out
+        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
+            v.append((i, tuple(int(Fraction(c) * 1024 // 1) for c in x)))
+    out = []
+    for q, x in {i: min(y for j, y in v if j == i) for i, _ in v if i % 100 == 0}.items():
+        found = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in v if i != q)[:k]
+        out += [(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(found)]
+    return Counter(out)
 
 
-@pytest.mark.parametrize("kind", ["spread", "ties", "few"])
+@pytest.mark.parametrize("kind", ["spread", "ties", "few", "huge"])
 def test_top_k_matches_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(top_k, "BLOCK", 64)
     monkeypatch.setattr(top_k, "QUERY_BLOCK", 2)
     rng = np.random.RandomState(4)
     n = 7 if kind == "few" else 500
-    x = rng.randn(n, 8) * np.exp(rng.randn(n, 1)) * 0.2 if kind == "spread" else rng.randint(-1, 2, (n, 8)) * 0.25
-    rows = [(i, [float(c) for c in y]) for i, y in enumerate(x)] + [(900, None), (901, []), (902, [None] * 8), (903, [float("nan")] * 8), (None, [1.0] * 8), (1, [float(c) for c in x[1]])]
-    out = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
-    assert {tuple(r) for r in out} == plain_top(rows) and len(out) == len(plain_top(rows))
+    x = rng.randn(n, 8) * np.exp(rng.randn(n, 1)) * 0.2 if kind in ("spread", "huge") else rng.randint(-1, 2, (n, 8)) * 0.25
+    rows = [(i, [float(c) for c in y]) for i, y in enumerate(x)] + [(902, [None] * 8), (903, [float("nan")] * 8), (None, [1.0] * 8), (1, [float(c) for c in x[1]]), (904, None), (905, [float("inf")] * 8), (1, [0.5] * 3), (5, [])]
+    if kind == "huge":
+        sizes = (1e12, 1e13, 2.0**43, 2.0**52 + 1, 1e18, 1e100, 1.7e308, -1e13, -1e200)
+        rows += [(1000 + k, [0.0] * (k % 8) + [c]) for k, c in enumerate(sizes * 3)] + [(2000, [1e13] * 8), (2100, [1e160, -1e13]), (2200, [-1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "0 as rank", "'x' as norm", "1 as bucket", "2 as v", "3 as query_id")
+    out = top_k.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    assert Counter(tuple(r) for r in out) == plain_top(rows)
+
+
+def test_top_k_of_one_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 64)
+    rows = [(i if i < 20 else 7, [0.5, 0.25]) for i in range(400)]
+    out = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
+    assert sorted(map(tuple, out)) == [(0, r, i, 512 * 512 + 256 * 256) for r, i in ((1, 1), (2, 2), (3, 3))] + [(10, r, i, 512 * 512 + 256 * 256) for r, i in ((1, 0), (2, 1), (3, 2))]
 
 
 def test_top_k_of_nothing(spark):
@@ -268,6 +348,45 @@ def test_importance(spark, odd, odd_rows, empty):
     assert {r.log_weight for r in importance.select(odd, none).collect()} == {0.0}
 
 
+def plain_importance(rows, labels):
+    """doc_id to (n_ngrams, log_weight, gumbel_key) and the number kept, by dictionaries."""
+    mask = 2**64 - 1
+
+    def found(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93) & mask for a, b in zip(h, h[1:], strict=False)]
+        return [x >> 46 for x in h + pairs]
+
+    judged = defaultdict(list)
+    for i, quality, toxic in labels:
+        judged[i].append(quality == 1 and not toxic)
+    good = {i for i, x in judged.items() if all(x)}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(found(t))
+        if i in good:
+            target.update(found(t))
+    p = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + 2**18))
+    out = {}
+    for i, t in rows:
+        weight = sum(p(target, b) - p(raw, b) for b in found(t))
+        h = xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42))
+        out[i] = (len(found(t)), weight, weight - math.log(-math.log(((h >> 12) + 0.5) / 2**52)))
+    return out, round(len(rows) * len(good) / len(judged))
+
+
+def test_importance_equals_dictionaries(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text is not null")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic")
+    want, k = plain_importance([tuple(r) for r in docs.collect()], [tuple(r) for r in labels.collect()])
+    out = importance.select(docs, labels).collect()
+    last = sorted((x[2] for x in want.values()), reverse=True)[k - 1]
+    for r in out:
+        n, weight, key = want[r.doc_id]
+        assert r.n_ngrams == n and r.log_weight == pytest.approx(weight, abs=1e-6) and r.gumbel_key == pytest.approx(key, abs=1e-6) and r.kept == (key >= last - 1e-9)
+    assert sum(r.kept for r in out) == k > 0
+
+
 def test_importance_prefers_the_target(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["good", "fine", "nice"] if i % 2 else ["bad", "poor", "junk"]) for _ in range(30))) for i in range(200)]
@@ -287,8 +406,7 @@ CALL = {"content": None, "tool_calls": [{"id": "c1", "name": "add", "arguments":
 TOOLS = {"add": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "integer"}}, "required": ["a", "b"], "additionalProperties": False}}
 
 
-def test_chat_links_orders_and_validates(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK", 2)
+def test_chat_links_orders_and_validates(spark):
     bad = {"tool_calls": [{"id": "c2", "name": "add", "arguments": {"a": "1", "b": 2}}]}
     rows = [
         (1, 0, "user", "add é"), (1, 1, "tool", json.dumps({"tool_call_id": "c1", "content": "3"})), (1, 2, "assistant", json.dumps(CALL)), (1, 3, "assistant", "done"),
@@ -306,6 +424,9 @@ def test_chat_links_orders_and_validates(spark, monkeypatch):
 @pytest.mark.parametrize(("value", "schema", "why"), [
     (True, {"type": "integer"}, "is no integer"), ({"x": 1}, {"required": ["y"]}, "lacks y"), ([1, "a"], {"items": {"type": "number"}}, "[1] is no number"),
     ("c", {"enum": ["a"]}, "none of"), ({"z": 1}, {"additionalProperties": False}, "has z"), (1.5, {"type": "number"}, None),
+    ("x", {"type": "uri"}, "unknown type uri"), (2.0, {"type": "integer"}, None), (True, {"enum": [1]}, "none of"), (3, {"maximum": 2}, "above 2"), ("ab", {"minLength": 3}, "below 3"),
+    ([], {"minItems": 1}, "below 1"), ("ab", {"pattern": "^b"}, "pattern"), ({"a": 1}, {"properties": {"a": False}}, "not allowed"), (1, "x", "no schema"), (2, {"const": 3}, "none of"),
+    ({"a": "x"}, {"additionalProperties": {"type": "integer"}}, "arguments.a is no integer"),
 ])
 def test_schema(value, schema, why):
     found = chat.invalid(value, schema)
@@ -319,5 +440,63 @@ def test_schema_with_a_list_of_types():
     assert chat.invalid(True, {"type": ["integer", "null"]}) == "arguments is no integer or null"
 
 
+def plain_chats(rows, tools):
+    """(conv, position, turn, role, message, n_calls, n_linked, problem) of turns, by walking through each conversation."""
+    parsed = [(c, t, r, *chat.parse(r, x, tools)) for c, t, r, x in rows]
+    first = {}
+    for c, t, _, _, calls, _, _ in parsed:
+        for call in calls:
+            key = (c, call["id"])
+            first[key] = min(first.get(key, t), t, key=lambda v: math.inf if v is None else v)
+    answered = {(c, a) for c, _, _, _, _, a, _ in parsed if a is not None}
+    out, low = [], -math.inf
+    null_low = lambda v: low if v is None else v
+    for conv in {c for c, *_ in rows}:
+        here = []
+        for c, t, r, message, calls, answers, problem in parsed:
+            if c != conv:
+                continue
+            at, after, linked = t, False, 0
+            if answers is not None:
+                linked = int((c, answers) in first)
+                problem = problem or (None if linked else "no call of this result")
+                call = first.get((c, answers))
+                if call is not None and t is not None and call > t:
+                    at, after = call, True
+            elif calls:
+                linked = sum((c, x["id"]) in answered for x in calls)
+                problem = problem or ("a call without result" if linked < len(calls) else None)
+            here.append(((null_low(at), after, null_low(t), r is not None, r or "", message), (t, r, message, len(calls), linked, problem)))
+        out += [(conv, k, *x) for k, (_, x) in enumerate(sorted(here, key=lambda x: x[0]))]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chats_equal_plain_version(spark, monkeypatch, seed):
+    monkeypatch.setattr(shared, "SPREAD", 5)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(200):
+        conv, turn, name = rng.choice([1, 1, 1, 2, 3, None]), rng.choice([*range(12), None]), f"c{rng.randrange(6)}"
+        text = rng.choice([
+            "plain \u00e9", "", None, "{broken", '{"a": NaN}', '{"content":"\\ud800","tool_calls":[{"id":"\\ud800","name":"add","arguments":{}}]}',
+            json.dumps({"tool_calls": [{"id": name, "name": rng.choice(["add", "other"]), "arguments": rng.choice([{"a": 1, "b": 2}, {"a": "1"}, None])} for _ in range(rng.randint(0, 2))]}),
+            json.dumps({"tool_call_id": name, "content": rng.choice([1, None, "x"])}), json.dumps({"tool_calls": [7, {"id": 1}]}),
+        ])
+        rows.append((conv, turn, rng.choice(["user", "assistant", "tool", "tool", None]), text))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "'x' as message", "2 as link", "3 as n_calls")
+    out = chat.format_chats(frame.repartition(3), TOOLS).collect()
+    assert Counter(tuple(r) for r in out) == plain_chats(rows, TOOLS)
+
+
+def test_chat_query_links_validates_and_orders(spark):
+    out = chat.op6_chat_format(spark, SF)
+    facts = {r.problem: r["count"] for r in out.groupBy("problem").count().collect()}
+    assert out.where("role = 'tool' and n_linked = 1").count() > 10 and facts["no call of this result"] and facts["a call without result"] and facts["no tool erase"]
+    assert any("is no integer" in (p or "") for p in facts) and any("lacks" in (p or "") for p in facts)
+    turns = [(r.conv_id, r.position, r.turn) for r in out.orderBy("conv_id", "position").collect()]
+    assert any(a[0] == b[0] and a[2] > b[2] for a, b in zip(turns, turns[1:], strict=False))  # a late result was moved
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

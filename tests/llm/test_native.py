@@ -115,7 +115,7 @@ def plain_dedup(docs, copies_from=None):
         lines, begins = plain_lines(text)
         kept, lost = [], 0
         for a, b in zip(begins, [*begins[1:], len(lines)], strict=True):
-            chunk = "".join(lines[a:b])[:-1]
+            chunk = "\n".join(x[:-1] for x in lines[a:b])
             if b - a > 1 and len(chunk) >= line_dedup.LEAST_CHARS:
                 if chunk in seen:
                     lost += len(chunk)
