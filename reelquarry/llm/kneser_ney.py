@@ -2,10 +2,10 @@
 
 Counting: workers hash words to 64 bits and emit, for each shard, packed sorted arrays of the pairs (u, v) in a portion of
 text with their counts; Spark shuffles these blobs by shard, and each shard merges its own. Pairs are dealt by u;
-words that hold more than a fair share of all tokens are dealt by u and v over several shards, so no shard grows
-with one word. Follower counts of contexts and continuation counts of words are merged the same way by word.
+contexts that hold more than a fair share of all tokens, the beginning of texts among them, are dealt by u and v over
+several shards, so no shard grows with one word. A portion of text only touches the shards it has tokens for. Follower counts of contexts and continuation counts of words are merged the same way by word.
 
-Storage: each shard is a file of sorted hashes and counts in the shared folder, renamed into place when complete, so
+Storage: each shard is a file of its sizes, sorted hashes and counts in the shared folder, renamed into place when complete, so
 that a task which runs twice leaves the same file. Workers map the files to memory; where the shared folder isn't a
 file system of the machine, they copy a shard to their own temporary folder when they first need it.
 
@@ -79,15 +79,16 @@ def _blobs(rows: list[tuple], kind: str) -> pa.RecordBatch:
 BLOBS = "shard int, kind string, k binary, n binary, v binary, c binary"
 
 
-def _cuts(shard: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(shard, np.arange(shards + 1))
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shards that occur in the sorted array, with the begin and end of each."""
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+    return zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=len(shard) > 0)
 
 
 def _words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for held in _portions(batches, 0):
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        cut = _cuts(shard_of(h, shards), shards)
-        rows = [(s, h[i:j].tobytes(), b"", b"", c[i:j].astype("<u4").tobytes()) for s, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+        rows = [(s, h[i:j].tobytes(), b"", b"", c[i:j].astype("<u4").tobytes()) for s, i, j in _runs(shard_of(h, shards))]
         yield _blobs(rows, "w")
 
 
@@ -107,13 +108,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], shards: int, hot: dict[int, int])
             ways = np.where(hot_words[where] == word, spread[where], 1)
         to = (shard[u] + (word[v] % ways[u].astype(U)).astype(np.int64)) % shards
         order = np.argsort(to, kind="stable")
-        u, v, c, cut = u[order], v[order], c[order], _cuts(to[order], shards)
+        u, v, c = u[order], v[order], c[order]
         rows = []
-        for s in range(shards):
-            i, j = cut[s], cut[s + 1]
-            if i < j:
-                k, n = np.unique(u[i:j], return_counts=True)
-                rows.append((s, word[k].tobytes(), n.astype("<u4").tobytes(), word[v[i:j]].tobytes(), c[i:j].astype("<u4").tobytes()))
+        for s, i, j in _runs(to[order]):
+            k, n = np.unique(u[i:j], return_counts=True)
+            rows.append((s, word[k].tobytes(), n.astype("<u4").tobytes(), word[v[i:j]].tobytes(), c[i:j].astype("<u4").tobytes()))
         yield _blobs(rows, "p")
 
 
@@ -166,19 +165,14 @@ def _merge_pairs(table: pa.Table, folder: str, shards: int) -> pa.Table:
     order = np.argsort(key)
     small = np.minimum(c, 255).astype(np.uint8)[order]
     over = order[c[order] >= 255]
-    _publish(folder, f"pairs-{shard}", [key[order], key[over], c[over].astype("<u8"), small])
+    _publish(folder, f"pairs-{shard}", [np.array([len(key), len(over)], "<u8"), key[order], key[over], c[over].astype("<u8"), small])
     rows = []
     followers = [np.bincount(u[c == n] if n < 3 else u[c >= 3], minlength=len(u_words)) for n in (1, 2, 3)]
     for kind, words, values in (("u", u_words, followers), ("v", v_words, [np.bincount(v, minlength=len(v_words))])):
-        cut = _cuts(shard_of(words, shards), shards)
-        for s in range(shards):
-            i, j = cut[s], cut[s + 1]
-            if i < j:
-                rows.append((kind, s, words[i:j].tobytes(), b"".join(x[i:j].astype("<u4").tobytes() for x in values)))
-    counts = [int((c == n).sum()) for n in (1, 2, 3, 4)]
-    rows.append(("n", shard, np.array([len(key), len(over), *counts], "<u8").tobytes(), b""))
-    kind, to, k, c = zip(*rows, strict=True)
-    return pa.table({"kind": pa.array(kind), "shard": pa.array(to, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary())})
+        rows += [(kind, s, words[i:j].tobytes(), b"".join(x[i:j].astype("<u4").tobytes() for x in values), None) for s, i, j in _runs(shard_of(words, shards))]
+    rows.append(("n", shard, None, None, [int((c == n).sum()) for n in (1, 2, 3, 4)]))
+    kind, to, k, c, numbers = zip(*rows, strict=True)
+    return pa.table({"kind": pa.array(kind), "shard": pa.array(to, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
 
 
 def _merge_contexts(table: pa.Table, folder: str) -> pa.Table:
@@ -197,9 +191,9 @@ def _merge_contexts(table: pa.Table, folder: str) -> pa.Table:
         keys.append(h)
         values.append(full)
     h, *columns = _summed(np.concatenate(keys), *np.concatenate(values, axis=1))
-    _publish(folder, f"words-{shard}", [h, *[x.astype("<u8") for x in columns]])
+    _publish(folder, f"words-{shard}", [np.array([len(h)], "<u8"), h, *[x.astype("<u8") for x in columns]])
     continued = [int((columns[1] == n).sum()) for n in (1, 2, 3, 4)]
-    numbers = [len(h), int(columns[1].sum()), *continued, int((columns[1] >= 3).sum())]
+    numbers = [int(columns[1].sum()), *continued, int((columns[1] >= 3).sum())]
     return pa.table({"shard": pa.array([shard], pa.int32()), "numbers": pa.array([numbers], pa.list_(pa.int64()))})
 
 
@@ -213,7 +207,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 @dataclass
 class Model:
-    """What workers need besides the files. The lists have an entry for each shard; hot words are at most 4 for each shard."""
+    """What workers need besides the files. Hot words are at most 4 for each shard, as each holds a fair share of the tokens."""
 
     folder: str
     shards: int
@@ -221,8 +215,6 @@ class Model:
     words: int
     documents: int
     hot: dict[int, int]
-    pair_sizes: dict[int, tuple[int, int]]
-    word_sizes: dict[int, int]
     pair_discounts: list[float] = field(default_factory=list)
     word_discounts: list[float] = field(default_factory=list)
     continuations: int = 0
@@ -256,17 +248,13 @@ class Model:
 
     def _words(self, word: np.ndarray) -> np.ndarray:
         out = np.zeros((5, len(word)), np.int64)
-        shard = shard_of(word, self.shards)
-        cut = _cuts(shard, self.shards)
-        for s in np.unique(shard).tolist():
-            n = self.word_sizes.get(s, 0)
-            if n:
-                data = _mapped(self.folder, f"words-{s}")
-                keys, values = data[: 8 * n].view(U), data[8 * n :].view("<u8").reshape(5, n)
-                mine = word[cut[s] : cut[s + 1]]
-                place = np.minimum(np.searchsorted(keys, mine), n - 1)
-                hit = keys[place] == mine
-                out[:, cut[s] : cut[s + 1]] = np.where(hit, values[:, place], 0)
+        for s, i, j in _runs(shard_of(word, self.shards)):
+            data = _mapped(self.folder, f"words-{s}")
+            if data is not None:
+                n = int(data[:8].view("<u8")[0])
+                keys, values = data[8 : 8 + 8 * n].view(U), data[8 + 8 * n :].view("<u8").reshape(5, n)
+                place = np.minimum(np.searchsorted(keys, word[i:j]), n - 1)
+                out[:, i:j] = np.where(keys[place] == word[i:j], values[:, place], 0)
         return out
 
     def _pairs(self, word: np.ndarray, iu: np.ndarray, iv: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -278,33 +266,35 @@ class Model:
         to = (shard_of(word, self.shards)[iu[ask]] + (word[iv[ask]] % hot[iu[ask]].astype(U)).astype(np.int64)) % self.shards
         order = np.lexsort((key, to))
         key, to, ask = key[order], to[order], ask[order]
-        cut = _cuts(to, self.shards)
-        for s in np.unique(to).tolist():
-            n, m = self.pair_sizes.get(s, (0, 0))
-            if n:
-                data = _mapped(self.folder, f"pairs-{s}")
-                keys, mine = data[: 8 * n].view(U), key[cut[s] : cut[s + 1]]
+        for s, i, j in _runs(to):
+            data = _mapped(self.folder, f"pairs-{s}")
+            if data is not None:
+                n, m = data[:16].view("<u8").tolist()
+                keys, over, counts, small = np.split(data[16:], np.cumsum([8 * n, 8 * m, 8 * m]))
+                keys, mine = keys.view(U), key[i:j]
                 place = np.minimum(np.searchsorted(keys, mine), n - 1)
-                c = np.where(keys[place] == mine, data[8 * n + 16 * m :][place], 0).astype(np.int64)
+                c = np.where(keys[place] == mine, small[place], 0).astype(np.int64)
                 if m:
                     big = c == 255
-                    over = np.searchsorted(data[8 * n : 8 * n + 8 * m].view(U), mine[big])
-                    c[big] = data[8 * n + 8 * m : 8 * n + 16 * m].view("<u8")[over]
-                out[ask[cut[s] : cut[s + 1]]] = c
+                    c[big] = counts.view("<u8")[np.searchsorted(over.view(U), mine[big])]
+                out[ask[i:j]] = c
         return out
 
 
-_maps: dict[str, np.ndarray] = {}
+_maps: dict[str, np.ndarray | None] = {}
 _copies: list = []
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """The file's bytes, mapped to memory once per worker."""
+def _mapped(folder: str, name: str) -> np.ndarray | None:
+    """The file's bytes, mapped to memory once per worker; None for a shard without a file."""
     path = f"{folder}/{name}"
     if path not in _maps:
         if len(_maps) > 4096:
             _maps.clear()
         fs, place = _file_system(path)
+        if fs.get_file_info(place).type == pa.fs.FileType.NotFound:
+            _maps[path] = None
+            return None
         if not isinstance(fs, pa.fs.LocalFileSystem):
             if not _copies:
                 _copies.append(tempfile.TemporaryDirectory())
@@ -329,23 +319,25 @@ def train(docs: DataFrame) -> Model:
     by_word = keep(by_word, "words")
     tokens, words = by_word.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     fair = max(1.0, tokens / (4 * shards))
-    hot = {h: min(shards, 1 + int(c / fair)) for h, c in by_word.select("k", "c").mapInArrow(lambda it: _frequent(it, fair), "h binary, c long").rdd.map(lambda r: (int.from_bytes(r[0], "little"), r[1])).collect()}
+    frequent = by_word.select("k", "c").mapInArrow(lambda it: _frequent(it, fair), "h binary, c long").collect()  # at most 4 for each shard
+    counts = {int.from_bytes(r.h, "little"): r.c for r in frequent} | ({int(BEGIN): documents} if documents >= fair else {})
+    hot = {h: min(shards, 1 + int(c / fair)) for h, c in counts.items()}
     pairs = texts.mapInArrow(lambda it: _pairs(it, shards, hot), BLOBS).groupBy("shard").applyInArrow(
-        lambda t: _merge_pairs(t, folder, shards), "kind string, shard int, k binary, c binary"
+        lambda t: _merge_pairs(t, folder, shards), "kind string, shard int, k binary, c binary, numbers array<long>"
     )
     pairs = keep(pairs, "pairs")
-    numbers = {s: np.frombuffer(k, "<u8").tolist() for s, k in pairs.where("kind = 'n'").select("shard", "k").collect()}
-    of_words = pairs.where("kind <> 'n'").unionByName(by_word.select(F.lit("w").alias("kind"), "shard", "k", "c"))
-    merged = of_words.groupBy("shard").applyInArrow(lambda t: _merge_contexts(t, folder), "shard int, numbers array<long>").collect()
-    total = np.array([r.numbers for r in merged] or [[0] * 7], np.int64).sum(axis=0).tolist()
-    _, continuations, m1, m2, m3, m4, m3_up = total
-    pair_counts = np.array([x[2:] for x in numbers.values()] or [[0] * 4], np.int64).sum(axis=0).tolist()
+    n1, n2, n3, n4 = _total(pairs.where("kind = 'n'"), 4)
+    of_words = pairs.where("kind <> 'n'").select("kind", "shard", "k", "c").unionByName(by_word.select(F.lit("w").alias("kind"), "shard", "k", "c"))
+    merged = keep(of_words.groupBy("shard").applyInArrow(lambda t: _merge_contexts(t, folder), "shard int, numbers array<long>"), "numbers")
+    continuations, m1, m2, m3, m4, m3_up = _total(merged, 6)
     low = discounts(m1, m2, m3, m4)
     floor = (low[1] * m1 + low[2] * m2 + low[3] * m3_up) / continuations if continuations else 1.0
-    return Model(
-        folder, shards, tokens, words, documents, hot, {s: (x[0], x[1]) for s, x in numbers.items()},
-        {r.shard: r.numbers[0] for r in merged}, discounts(*pair_counts), low, continuations, floor,
-    )
+    return Model(folder, shards, tokens, words, documents, hot, discounts(n1, n2, n3, n4), low, continuations, floor)
+
+
+def _total(rows: DataFrame, n: int) -> list[int]:
+    """Sums of the shards' numbers."""
+    return list(rows.agg(*[F.coalesce(F.sum(F.get("numbers", F.lit(i))), F.lit(0)) for i in range(n)]).first())
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], fair: float) -> Iterator[pa.RecordBatch]:
