@@ -184,7 +184,7 @@ WITH asked AS (
   SELECT conv_id, id, min(turn) AS call_turn FROM calls SEMI JOIN results USING (conv_id, id) GROUP BY conv_id, id
 ), every AS (
   SELECT conv_id, turn * 4 AS turn, role, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message,
-    0 AS n_calls, 0 AS n_linked, CAST(NULL AS VARCHAR) AS problem, turn * 4 AS at, 0 AS late FROM conversations
+    0 AS n_calls, 0 AS n_linked, CAST(NULL AS VARCHAR) AS problem, turn * 4 AS spot, 0 AS late FROM conversations
   UNION ALL
   SELECT c.conv_id, turn, role, message, 1, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END, coalesce(why, CASE WHEN l.id IS NULL THEN 'a call without result' END), turn, 0
   FROM calls c LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.id = c.id
@@ -193,6 +193,6 @@ WITH asked AS (
     CASE WHEN call_turn > turn THEN call_turn ELSE turn END, CASE WHEN call_turn > turn THEN 1 ELSE 0 END
   FROM results r LEFT JOIN linked l ON l.conv_id = r.conv_id AND l.id = r.id
 )
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY at, late, turn, role, message) - 1 AS BIGINT) AS position, turn, role, message,
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY spot, late, turn, role, message) - 1 AS BIGINT) AS position, turn, role, message,
   CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, problem FROM every
 """
