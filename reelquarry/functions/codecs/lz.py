@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,50 +94,67 @@ def _copy(distance: int, length: int, literals: bytes) -> bytes:
     return head + literals
 
 
-def encode(data: bytes, tries: int = 16) -> bytes:
-    """Greedy parse with the nearest earlier places of each three bytes."""
+def _matches(d: np.ndarray, places: np.ndarray, i: int) -> Iterator[tuple[int, int]]:
+    """(place, length) of the nearest earlier place for each length of match at i that is found there; places share three bytes with i."""
+    n, length = min(LONGEST, len(d) - i), 3
+    while len(places) > 1 and length < n:
+        longer = places[d[places + length] == d[i + length]]
+        if len(longer) == len(places):
+            length += 1
+            continue
+        yield int(places[-1]), length
+        places, length = longer, length + 1
+    if len(places):
+        j = int(places[-1])
+        differ = d[j + length : j + n] != d[i + length : i + n]
+        yield j, length + (int(differ.argmax()) if differ.any() else len(differ))
+
+
+def encode(data: bytes) -> bytes:
+    """Greedy parse. At each place all earlier places within the window that share three bytes are looked at; the copy that saves most wins, the nearest in a tie."""
     n = len(data)
     out = bytearray(b"\x90\xfb" + n.to_bytes(4, "big") if n > 0xFFFFFF else b"\x10\xfb" + n.to_bytes(3, "big"))
-    places: dict[bytes, list[int]] = {}
-    pending, i = bytearray(), 0
-
-    def spill(keep: int) -> None:
-        while len(pending) > keep:
-            k = min(112, len(pending) // 4 * 4)
+    d = np.frombuffer(data, np.uint8)
+    key = d[:-2].astype(np.int64) << 16 | d[1:-1].astype(np.int64) << 8 | d[2:] if n > 2 else np.empty(0, np.int64)
+    order = np.argsort(key, kind="stable")  # places with the same three bytes lie together, in order
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    begins = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.empty(0, bool)
+    group = np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))[rank].tolist() if len(order) else []
+    rank = rank.tolist()
+    pending, i = 0, 0
+
+    def spill(keep: int) -> int:
+        left = pending
+        while left > keep:
+            k = min(112, left // 4 * 4)
             if not k:
                 break
             out.append(0xE0 | (k // 4 - 1))
-            out.extend(pending[:k])
-            del pending[:k]
+            out.extend(data[i - left : i - left + k])
+            left -= k
+        return left
 
     while i < n:
-        key = data[i : i + 3]
         best, saved = (0, 0), 0
-        for j in reversed(places.get(key, ())):
-            if i - j > WINDOW:
-                break
-            k, most = 3, min(LONGEST, n - i)
-            while k < most and data[j + k] == data[i + k]:
-                k += 1
-            size = _command(i - j, k)
-            if size and k - size > saved:
-                best, saved = (i - j, k), k - size
-        step = best[1] or 1
-        if best[1]:
-            spill(3)
-            out += _copy(*best, bytes(pending))
-            pending.clear()
+        if i < len(rank) and group[i] < rank[i]:
+            places = order[group[i] : rank[i]]
+            if i - places[0] > WINDOW:
+                places = places[np.searchsorted(places, i - WINDOW) :]
+            for j, found in _matches(d, places, i):
+                for k in {found, min(found, 67), min(found, 10)}:  # a shorter copy may take a shorter command
+                    size = _command(i - j, k)
+                    if size and (k - size, k) > (saved, best[1]):
+                        best, saved = (i - j, k), k - size
+        if saved > 0:
+            pending = spill(3)
+            out += _copy(*best, data[i - pending : i])
+            pending, i = 0, i + best[1]
         else:
-            pending.append(data[i])
-        for k in range(i, min(i + step, n - 2)):
-            held = places.setdefault(data[k : k + 3], [])
-            held.append(k)
-            if len(held) > tries:
-                del held[0]
-        i += step
-    spill(3)
-    out.append(0xFC | len(pending))
-    return bytes(out + pending)
+            pending, i = pending + 1, i + 1
+    pending = spill(3)
+    out.append(0xFC | pending)
+    return bytes(out + data[n - pending : n])
 
 
 @F.pandas_udf(T.BinaryType())

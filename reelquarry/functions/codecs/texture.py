@@ -98,3 +98,14 @@ def dds(levels: list[bytes], width: int, height: int, kind: str) -> bytes:
     flags, caps = 0x81007 | (0x20000 if len(levels) > 1 else 0), 0x1000 | (0x400008 if len(levels) > 1 else 0)
     head = struct.pack("<4s7I44x2I4s5I5I", b"DDS ", 124, flags, height, width, len(levels[0]), 0, len(levels), 32, 4, kind.encode(), 0, 0, 0, 0, 0, caps, 0, 0, 0, 0)
     return head + b"".join(levels)
+
+
+def mip_levels(image: np.ndarray) -> list[np.ndarray]:
+    """The image and its halves by 2 x 2 means, truncated, down to one pixel; sides have to be powers of two."""
+    out = [image]
+    while max(out[-1].shape[:2]) > 1:
+        h, w = out[-1].shape[:2]
+        dy, dx = 2 if h > 1 else 1, 2 if w > 1 else 1
+        mean = out[-1].astype(np.int32).reshape(h // dy, dy, w // dx, dx, 4).sum(axis=(1, 3)) // (dy * dx)
+        out.append(mean.astype(np.uint8))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binary import bits
@@ -80,9 +80,9 @@ def critical_bandwidth(hz: Column) -> Column:
 
 
 def hearing_threshold(hz: Column) -> Column:
-    """Threshold in quiet in decibels, by the usual closed form; frequencies are held to 10 Hz and 18 kHz."""
+    """Threshold in quiet in decibels by Terhardt's formula; frequencies are held to 10 Hz and 18 kHz."""
     khz = F.least(F.greatest(hz / 1000.0, F.lit(0.01)), F.lit(18.0))
-    return 3.640 * F.pow(khz, F.lit(-0.8)) - 6.8 * F.exp(-0.6 * F.pow(khz - 3.4, F.lit(2.0))) + 6.0 * F.exp(-0.15 * F.pow(khz - 8.7, F.lit(2.0))) + 0.0006 * F.pow(khz, F.lit(4.0))
+    return 3.64 * F.pow(khz, F.lit(-0.8)) - 6.5 * F.exp(-0.6 * F.pow(khz - 3.3, F.lit(2.0))) + 0.001 * F.pow(khz, F.lit(4.0))
 
 
 def nearest_of(value: Column, table: tuple[int, ...]) -> Column:
@@ -101,3 +101,64 @@ def gcd(a: Column, b: Column, steps: int = 24) -> Column:
         lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] == 0, 1).otherwise(p["b"])).alias("b"))),
     )
     return pair["a"]
+
+
+def log2(x: Column) -> Column:
+    return F.log2(x)
+
+
+def scale_clip(x: Column) -> Column:
+    """A sample of -1 .. 1 at 16-bit scale, clipped, not rounded."""
+    return F.least(F.greatest(x * 32768.0, F.lit(-32768.0)), F.lit(32767.0))
+
+
+def deinterleave(samples: Column, channels: int) -> Column:
+    """Interleaved samples as an array for each channel; an incomplete last frame is left out."""
+    last = F.floor(F.size(samples) / channels) - 1
+    one = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.get(samples, (i * channels + c).cast("int")))
+    return F.when(last < 0, F.array(*[F.array().cast("array<double>")] * channels)).otherwise(F.array(*[one(c) for c in range(channels)]))
+
+
+def resampled_count(n: Column, up: Column, factor: Column) -> Column:
+    """Frames that a filter gives for n frames, upsampled and then resampled by a factor."""
+    return (n * up * factor).cast("long")
+
+
+#: Codecs by their four letters.
+CODECS = (
+    ("EL31", "granule layer 3"), ("L32P", "granule layer 3 with PCM"), ("L32S", "granule layer 3 with spikes"), ("MP30", "MPEG layer 3"), ("P6B0", "PCM 16 big-endian"),
+    ("P6L0", "PCM 16 little-endian"), ("Xas1", "XAS"),
+)
+
+
+def codec_id(letters: str) -> int:
+    """Four letters as the 32-bit number that stands for a codec."""
+    return int.from_bytes(letters.encode("ascii"), "big")
+
+
+def codecs(spark) -> DataFrame:
+    """Registry of codecs: number, letters and name."""
+    return spark.createDataFrame([(codec_id(k), k, v) for k, v in CODECS], "codec_id long, letters string, codec string")
+
+
+def with_codec(rows: DataFrame, registry: DataFrame, column: str) -> DataFrame:
+    """rows with letters and name of the codec whose number is in the column; NULL for numbers without a codec."""
+    return rows.join(F.broadcast(registry.withColumnRenamed("codec_id", column)), column, "left")  # a row for each codec
+
+
+def granule_head(first: Column) -> dict[str, Column]:
+    """First byte of a granule and the bit after it (16 bits): version, rate, mode, mode extension and which granule of its frame it is."""
+    return {k: bits(first, 16, at, n) for k, at, n in (("version", 0, 2), ("rate", 2, 2), ("mode", 4, 2), ("extension", 6, 2), ("granule", 8, 1))}
+
+
+def block_head(short: Column, long: Column) -> dict[str, Column]:
+    """Header of a block with PCM: 16 bits, and 32 more where the block is extended. Offsets count from the block's start."""
+    extended = bits(short, 16, 0, 1) == 1
+    size = bits(short, 16, 4, 12)
+    more = lambda at, n: F.when(extended, bits(long, 32, at, n)).otherwise(F.lit(0).cast("long"))
+    channels, granule, pcm = bits(short, 16, 1, 1) + 1, F.when(extended, bits(long, 32, 22, 10)).otherwise(size - 2), more(12, 10)
+    return {
+        "extended": extended, "channels": channels, "size": size, "mode": more(0, 2), "offset_samples": more(2, 10), "pcm_samples": pcm, "granule_size": granule,
+        "granule_at": F.when(~extended, F.lit(2).cast("long")).when(granule > 0, F.lit(6).cast("long")).otherwise(F.lit(0).cast("long")),
+        "pcm_at": F.when(extended, 6 + granule).otherwise(F.lit(0).cast("long")), "pcm_bytes": pcm * channels * 2,
+    }

@@ -94,3 +94,87 @@ def scale_bias(x: Column, scale: float, bias: float) -> Column:
 def wrapped(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Coordinates wrapped into the image."""
     return pixels.withColumns({"x": F.pmod("x", F.lit(width)), "y": F.pmod("y", F.lit(height))})
+
+
+#: Words of texture formats on a command line with their long names, of which any other stands for DXT1.
+TEXTURES = ("A8R8G8B8", "DXT1", "DXT1A", "DXT3", "DXT5", "X8R8G8B8", "R5G6B5")
+#: Pixel formats that can hold alpha.
+ALPHA_FORMATS = (
+    "DXT2", "DXT3A", "DXT3A_1111", "DXT5", "DXT5A", "A1R5G5B5", "A4R4G4B4", "A8R8G8B8", "A8B8G8R8", "A2R10G10B10", "A2B10G10R10", "A2W10V10U10", "A16B16G16R16", "A16B16G16R16F",
+    "A16B16G16R16F_EXPAND", "A32B32G32R32", "A32B32G32R32F",
+)
+
+
+def texture_format(word: Column) -> Column:
+    """The texture format that a word asks for: DXT1 unless it is another one known."""
+    return F.when(word.isin(*TEXTURES), word).otherwise("DXT1")
+
+
+def alpha_capable(pixel_format: Column) -> Column:
+    return F.coalesce(pixel_format.isin(*ALPHA_FORMATS), F.lit(False))
+
+
+def with_alpha(pixels: DataFrame, value: int) -> DataFrame:
+    return pixels.withColumn("a", F.lit(value))
+
+
+def float_to_rgbe(r: Column, g: Column, b: Column) -> Column:
+    """Three channels as bytes under the exponent byte of the largest: a struct of r, g, b, e; zeros for black."""
+    most = F.greatest(r, g, b)
+    e = F.floor(F.log2(F.when(most > 0, most).otherwise(1.0))) + 1
+    e = F.when(most >= F.pow(F.lit(2.0), e), e + 1).when(most < F.pow(F.lit(2.0), e - 1), e - 1).otherwise(e)
+    black = most < 1e-32
+    byte = lambda x: F.when(black, 0).otherwise(F.floor(F.greatest(x, F.lit(0.0)) * F.pow(F.lit(2.0), 8 - e))).cast("int")
+    return F.struct(byte(r).alias("r"), byte(g).alias("g"), byte(b).alias("b"), F.when(black, 0).otherwise(e + 128).cast("int").alias("e"))
+
+
+def dot(a: list[Column], b: list[Column]) -> Column:
+    """Sum of the products of two pixels' channels."""
+    out = a[0] * b[0]
+    for x, y in zip(a[1:], b[1:], strict=True):
+        out = out + x * y
+    return out
+
+
+def wrap_byte(x: Column) -> Column:
+    return F.pmod(x, F.lit(256))
+
+
+def swap_red_blue(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumns({"r": F.col("b"), "b": F.col("r")})
+
+
+def contrast(x: Column, factor: float) -> Column:
+    """Distance from middle grey scaled, clamped to a byte."""
+    return F.floor(F.least(F.greatest((x - 127.5) * factor + 127.5, F.lit(0.0)), F.lit(255.0))).cast("int")
+
+
+def compressed(pixels: DataFrame, kinds: DataFrame, mips: bool = True) -> DataFrame:
+    """pixels (image_id, x, y, r, g, b, a) and kinds (image_id, format) to image_id, format, width, height, levels, dds, error.
+
+    An image's pixels meet in one group, which holds one image. Sides that are no powers of two give an error.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.codecs import texture
+
+    def one(t: pa.Table) -> pa.Table:
+        kind, x, y = t["format"][0].as_py(), t["x"].to_numpy(), t["y"].to_numpy()
+        w, h = int(x.max()) + 1, int(y.max()) + 1
+        image = np.zeros((h, w, 4), np.uint8)
+        for c, name in enumerate("rgba"):
+            image[y, x, c] = t[name].to_numpy()
+        row = {"image_id": t["image_id"][0].as_py(), "format": kind, "width": w, "height": h, "levels": None, "dds": None, "error": None}
+        if kind not in texture.FORMATS:
+            row["error"] = f"format {kind} isn't compressed"
+        elif w & (w - 1) or h & (h - 1):
+            row["error"] = "sides are no powers of two"
+        else:
+            levels = texture.mip_levels(image) if mips else [image]
+            row |= {"levels": len(levels), "dds": texture.dds([texture.encode(m, kind) for m in levels], w, h, kind)}
+        return pa.Table.from_pylist([row], schema)
+
+    schema = pa.schema([("image_id", pa.int64()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("levels", pa.int32()), ("dds", pa.binary()), ("error", pa.string())])
+    rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in ("x", "y", "r", "g", "b", "a")]).join(kinds, "image_id")
+    return rows.groupBy("image_id").applyInArrow(one, "image_id long, format string, width int, height int, levels int, dds binary, error string")

@@ -7,6 +7,10 @@ over these few, and a window inside each block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +121,40 @@ def chunk_schedule(df: DataFrame, rate: Column, per_second: int, n_frames: Colum
     return rows.withColumns({"start": F.when(at == 0, F.lit(0).cast("long")).otherwise(upto(at - 1)), "stop": upto(at)}).where("stop > start")
 
 
+def loudness_filtered(df: DataFrame, key: str, sample: str, rate: int, piece: int = 1 << 16) -> DataFrame:
+    """Streams numbered by n through the equal-loudness filters, in place of the samples: key, n, sample.
+
+    A stream is read in its order, piece by piece, with the filters' states carried over; only a piece is held.
+    """
+    from ..functions import loudness
+
+    first, second = loudness.equal_loudness(rate), loudness.high_pass(rate)
+    kind = dict(df.dtypes)[key]
+    rows = df.select(key, F.col("n").cast("long").alias("n"), F.col(sample).cast("double").alias(sample))
+    # One task per share of the keys, sorted by key and n: a key's rows follow each other.
+    dealt = rows.repartition(key).sortWithinPartitions(key, "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), [(None, None), (None, None)]
+        for b in batches:
+            keys, out = b.column(0).to_pylist(), np.empty(b.num_rows)
+            x, at = b.column(2).to_numpy(zero_copy_only=False), 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at] and end - at < piece:
+                    end += 1
+                if keys[at] != now:
+                    now, state = keys[at], [(None, None), (None, None)]
+                y, *one = loudness.recursive(x[at:end], *first, *state[0])
+                y, *two = loudness.recursive(y, *second, *state[1])
+                state = [tuple(one), tuple(two)]
+                out[at:end] = y
+                at = end
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], b.schema.names)
+
+    return dealt.mapInArrow(run, f"{key} {kind}, n long, {sample} double")
+
+
 def loudness_buckets(df: DataFrame, keys: list[str], sample: str, window: int = 50, table: int = 12000) -> DataFrame:
     """Windows of a stream numbered by n, counted by loudness bucket: hundredths of a decibel of the mean square."""
     rows = df.withColumn("win", F.floor(F.col("n") / window))
@@ -142,3 +180,39 @@ def seek_table(df: DataFrame, key: str, size: str, points: int = 100) -> DataFra
     spine = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).select(key, "c", index.alias("point")).withColumn("n", F.floor(F.col("point") * F.col("c") / points).cast("long"))
     value = F.least(F.lit(255), F.floor(256 * F.col("cum") / F.col("total"))).cast("long")
     return spine.join(rows.select(key, "n", "cum", "total"), [key, "n"]).select(key, "point", value.alias("position"))
+
+
+def matches_before(df: DataFrame, key: str, values: str, width: int = 3, window: int = 131071) -> DataFrame:
+    """Places of an array column at which `width` values are found that an earlier place within the window holds: key, n, back (the distance to the nearest one)."""
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(values) - (width - 1)), lambda i: F.xxhash64(F.slice(values, i, F.lit(width))))).alias("n", "h")
+    rows = df.where(F.size(values) >= width).select(key, at)
+    back = F.col("n") - F.lag("n").over(Window.partitionBy(key, "h").orderBy("n"))
+    return rows.withColumn("back", back).where(F.col("back") <= window).select(key, F.col("n").cast("long").alias("n"), F.col("back").cast("long").alias("back"))
+
+
+def kth_smallest(values: Column, k: Column) -> Column:
+    """The k-th value of an array in order, counted from 1; NULL beyond its end."""
+    return F.get(F.array_sort(values), (k - 1).cast("int"))
+
+
+def by_magnitude(values: Column) -> Column:
+    """An array in order of falling magnitude."""
+    return F.transform(F.sort_array(F.transform(values, lambda x: F.struct(F.abs(x).alias("m"), x.alias("x"))), asc=False), lambda s: s["x"])
+
+
+def xa_samples(data: Column, one: Column, two: Column) -> Column:
+    """Samples of one coded XA block of 15 bytes after the samples one and two, in built-in expressions."""
+    from ..functions.binary import be_uint
+
+    head = be_uint(data, 0, 1)
+    f, shift = F.shiftright(head, 4), head.bitwiseAND(F.lit(15).cast("long"))
+    pick = lambda i: F.get(F.array(*[F.lit(c[i]) for c in PREDICTORS]), f.cast("int")).cast("long")
+    nibble = lambda i: F.floor(be_uint(data, F.floor(i / 2).cast("int") + 1, 1) / F.when(i % 2 == 0, 16).otherwise(1)).bitwiseAND(F.lit(15).cast("long"))
+
+    def step(s: Column, i: Column) -> Column:
+        n = nibble(i)
+        x = F.when(n > 7, n - 16).otherwise(n) * F.pow(F.lit(2.0), 20 - shift).cast("long") + pick(0) * F.element_at(s, -1) + pick(1) * F.element_at(s, -2)
+        return F.concat(s, F.array(F.least(F.greatest(F.shiftright(x, 8), F.lit(-32768).cast("long")), F.lit(32767).cast("long"))))
+
+    all_of = F.aggregate(F.sequence(F.lit(0), F.lit(27)), F.array(two.cast("long"), one.cast("long")), step)
+    return F.slice(all_of, 3, 28)

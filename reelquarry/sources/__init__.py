@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 def register(spark: SparkSession) -> None:
     from .archive import ArchiveSource
     from .chunks import ChunkStreamSource
+    from .folder import FolderSource
     from .mpeg import MpegSource
     from .player import PlayerSource
     from .wave import WaveSource
 
-    for source in (ArchiveSource, WaveSource, ChunkStreamSource, PlayerSource, MpegSource):
+    for source in (ArchiveSource, WaveSource, ChunkStreamSource, PlayerSource, MpegSource, FolderSource):
         spark.dataSource.register(source)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import operator
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.codecs import lz
-from .files import FileReader, read, replace
+from .files import FilePartition, FileReader, FileWriter, read
 
+COMPARE = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 MAGIC, TRAILER, FLAGS, ALIGN = b"BIG4", b"L280", 0x15050000, 64
 
 
@@ -55,17 +58,78 @@ def build(entries: list[tuple[str, bytes]], compressed: bool = False) -> bytes:
     return bytes(out[:end])
 
 
+@dataclass
+class EntryPartition(FilePartition):
+    """A run of an archive's entries."""
+
+    first: int
+    last: int | None
+
+    def __init__(self, path: str, first: int = 0, last: int | None = None):
+        super().__init__(path)
+        self.first, self.last = first, last
+
+
 class ArchiveReader(FileReader):
-    """Options: content=true reads payloads, unpack=true decompresses packed ones; index=i and name=n read one entry each."""
+    """Options: content=true reads payloads, unpack=true decompresses packed ones; index=i and name=n read one entry each.
 
-    def rows(self, path: str) -> Iterator[dict]:
+    Filters on idx, name, size and path by equality or order are applied to the directory, so that only the entries
+    that pass are read. With content, an archive's entries are dealt to partitions of about `partition` bytes (128 MB).
+    """
+
+    def __init__(self, options: dict, schema):
+        super().__init__(options, schema)
+        self.tests: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        kinds = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            column = getattr(f, "attribute", ())
+            if type(f) in kinds and len(column) == 1 and column[0] in ("idx", "name", "size", "path"):
+                self.tests.append((column[0], kinds[type(f)], f.value))
+            else:
+                yield f
+
+    def _wanted(self, row: dict) -> bool:
+        index, name = self.options.get("index"), self.options.get("name")
+        if (index is not None and int(index) != row["idx"]) or (name is not None and name.lower() != row["name"].lower()):
+            return False
+        return all(COMPARE[op](row[c], v) for c, op, v in self.tests)
+
+    def _directory(self, path: str) -> tuple[dict, list[dict]]:
         head = read(path, 0, 16)
         if len(head) < 16:
             raise ValueError("no header")
-        header, entries = directory(read(path, 0, max(16, int.from_bytes(head[12:16], "big"))))
-        index, name = self.options.get("index"), self.options.get("name")
-        for e in entries:
-            if (index is not None and int(index) != e["idx"]) or (name is not None and name.lower() != e["name"].lower()):
+        return directory(read(path, 0, max(16, int.from_bytes(head[12:16], "big"))))
+
+    def partitions(self) -> list[InputPartition]:
+        found = super().partitions()
+        if self.options.get("content", "").lower() != "true":
+            return found
+        out: list[InputPartition] = []
+        most = int(self.options.get("partition", 128 << 20))
+        for p in found:
+            try:
+                sizes = [e["size"] for e in self._directory(p.path)[1]] if p.path else []
+            except ValueError:  # the task reports it
+                sizes = []
+            first = held = 0
+            for i, n in enumerate(sizes):
+                if held and held + n > most:
+                    out.append(EntryPartition(p.path, first, i))
+                    first, held = i, 0
+                held += n
+            out.append(EntryPartition(p.path, first))
+        return out
+
+    def read(self, partition: FilePartition) -> Iterator[tuple]:
+        self.run = (getattr(partition, "first", 0), getattr(partition, "last", None))
+        return super().read(partition)
+
+    def rows(self, path: str) -> Iterator[dict]:
+        header, entries = self._directory(path)
+        for e in entries[slice(*self.run)]:
+            if not self._wanted({"path": path, **e}):
                 continue
             start = read(path, e["offset"], 16) if e["size"] > 12 else b""
             packed = lz.is_packed(start[: e["size"]])
@@ -78,28 +142,21 @@ class ArchiveReader(FileReader):
             yield row
 
 
-class ArchiveWriter(DataSourceWriter):
+class ArchiveWriter(FileWriter):
     """Writes (archive, name, content) rows: one file per archive of the task. Rows of an archive have to be in one partition, in order."""
 
-    def __init__(self, options: dict, schema):
-        self.options, self.names = options, schema.fieldNames()
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        from ..functions.codecs.lz import encode
-
+    def contents(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
         held: dict[str, list] = {}
         limit = self.options.get("packthreshold")
         for r in rows:
-            r = dict(zip(self.names, tuple(r), strict=True))
             content = bytes(r["content"] or b"")
             ext = r["name"].lower().rpartition(".")[2]
             if limit is not None and ext not in ("cdata", "vp6", "snd", "imp"):
-                packed = encode(content)
+                packed = lz.encode(content)
                 content = packed if len(packed) < len(content) - int(limit) else content
             held.setdefault(r["archive"], []).append((r["name"].lower(), content))
         for archive, entries in held.items():
-            replace(f"{self.options['path'].rstrip('/')}/{archive}", build(entries, limit is not None))
-        return WriterCommitMessage()
+            yield archive, build(entries, limit is not None)
 
 
 class ArchiveSource(DataSource):

@@ -6,10 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource
 
 from ..functions.codecs import adpcm
-from .files import FileReader, read, replace
+from .files import FileReader, FileWriter, read
 
 #: Tags of a stream's sound.
 TAGS = {0x80: "version", 0x82: "channels", 0x84: "sample_rate", 0x85: "n_frames", 0xA0: "encoding"}
@@ -112,25 +112,19 @@ class ChunkStreamReader(FileReader):
             yield {"path": path, **r}
 
 
-class ChunkStreamWriter(DataSourceWriter):
+class ChunkStreamWriter(FileWriter):
     """Writes blocks (name, sample_rate, channel, blk, samples): the rows of a file have to be in one partition. Options: encoding, frames of a chunk."""
 
-    def __init__(self, options: dict, schema):
-        self.options, self.names = options, schema.fieldNames()
+    def contents(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
+        for name, (rate, samples) in gather(rows).items():
+            yield name, build(samples, rate, int(self.options.get("frames", 1024)), int(self.options.get("encoding", 0)))
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        for name, (rate, samples) in gather(rows, self.names).items():
-            content = build(samples, rate, int(self.options.get("frames", 1024)), int(self.options.get("encoding", 0)))
-            replace(f"{self.options['path'].rstrip('/')}/{name}", content)
-        return WriterCommitMessage()
 
-
-def gather(rows: Iterator, names: list[str]) -> dict[str, tuple[int, np.ndarray]]:
+def gather(rows: Iterator[dict]) -> dict[str, tuple[int, np.ndarray]]:
     """Sample rate and samples (frames, channels) of each file of a task's rows."""
     held: dict[str, dict] = {}
     rates: dict[str, int] = {}
     for r in rows:
-        r = dict(zip(names, tuple(r), strict=True))
         rates[r["name"]] = r["sample_rate"]
         held.setdefault(r["name"], {})[(r["channel"], r["blk"])] = r["samples"]
     out = {}

@@ -5,11 +5,12 @@ from __future__ import annotations
 import glob
 import os
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs
-from pyspark.sql.datasource import DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 def open_path(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -73,13 +74,64 @@ class FileReader(DataSourceReader):
             return
         names = self.schema.fieldNames()
         try:
-            rows = list(self.rows(partition.path))
+            for r in self.rows(partition.path):  # rows leave as they are read; an error row follows what was sound
+                yield tuple(r.get(n) for n in names)
         except (ValueError, IndexError) as e:
             if self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST":
                 raise
-            rows = [{"path": partition.path, "error": str(e) or "broken file"}]
-        for r in rows:
-            yield tuple(r.get(n) for n in names)
+            row = {"path": partition.path, "error": str(e) or "broken file"}
+            yield tuple(row.get(n) for n in names)
 
     def rows(self, path: str) -> Iterator[dict]:
         raise NotImplementedError
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has written under temporary names: (temporary, final) paths."""
+
+    files: list[tuple[str, str]]
+
+
+class FileWriter(DataSourceWriter):
+    """Writes whole files: tasks write under temporary names, the commit renames them, and a job that fails leaves nothing.
+
+    Rows of one file have to be in one partition; the commit fails if two tasks wrote the same file.
+    """
+
+    def __init__(self, options: dict, schema):
+        self.options, self.names = options, schema.fieldNames()
+        self.job = uuid.uuid4().hex
+
+    def contents(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
+        """(name, content) of each file of a task's rows."""
+        raise NotImplementedError
+
+    def write(self, rows: Iterator) -> Written:
+        base, done = self.options["path"].rstrip("/"), []
+        for name, content in self.contents(dict(zip(self.names, tuple(r), strict=True)) for r in rows):
+            temporary = f"{base}/_{self.job}/{uuid.uuid4().hex}"
+            replace(temporary, content)
+            done.append((temporary, f"{base}/{name}"))
+        return Written(done)
+
+    def _clean(self) -> None:
+        fs, place = open_path(f"{self.options['path'].rstrip('/')}/_{self.job}")
+        if fs.get_file_info(place).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_dir(place)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files = [f for m in messages if m is not None for f in m.files]
+        twice = [name for name, n in Counter(final for _, final in files).items() if n > 1]
+        if twice:
+            self._clean()
+            raise ValueError(f"rows of {twice[0]} came from more than one partition, or twice from one")
+        for temporary, final in files:
+            fs, source = open_path(temporary)
+            target = open_path(final)[1]
+            fs.create_dir(os.path.dirname(target), recursive=True)
+            fs.move(source, target)
+        self._clean()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean()

@@ -49,6 +49,16 @@ def sync(content: bytes) -> int:
     return -1
 
 
+def strict_sync(content: bytes) -> int:
+    """First place from which seven valid frame headers follow each other; -1 for none."""
+    at = content.find(b"\xff")
+    while 0 <= at:
+        if sum(1 for _, _ in zip(range(AGREE), walk(content, at), strict=False)) == AGREE:
+            return at
+        at = content.find(b"\xff", at + 1)
+    return -1
+
+
 class MpegReader(FileReader):
     suffixes = (".mp3", ".mp2", ".mp1")
 

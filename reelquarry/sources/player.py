@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource
 
 from ..functions.codecs import adpcm
 from .chunks import gather
-from .files import FileReader, open_path, read, replace
+from .files import FileReader, FileWriter, open_path, read
 
 #: Header fields and widths, and what codec numbers stand for (2 PCM, 4 XAS, 5 to 7 granule).
 FIELDS = (("version", 4), ("codec", 4), ("channels", 6), ("sample_rate", 18), ("play_type", 2), ("looped", 1), ("n_frames", 29))
@@ -108,21 +108,16 @@ def build(samples: np.ndarray, rate: int, frames: int, play_type: int, resident:
     return head + run(samples[:split]), run(samples[split:])
 
 
-class PlayerWriter(DataSourceWriter):
+class PlayerWriter(FileWriter):
     """Writes blocks (name, sample_rate, channel, blk, samples) as name.snr and, where the sound streams, name.sns. Options: codec, frames, play_type, resident."""
 
-    def __init__(self, options: dict, schema):
-        self.options, self.names = options, schema.fieldNames()
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def contents(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
         number = lambda k, d: int(self.options.get(k, d))
-        for name, (rate, samples) in gather(rows, self.names).items():
+        for name, (rate, samples) in gather(rows).items():
             head, stream = build(samples, rate, number("frames", 1024), number("play_type", 0), number("resident", 0), number("codec", 2))
-            base = f"{self.options['path'].rstrip('/')}/{name}"
             if stream:
-                replace(f"{base}.sns", stream)
-            replace(f"{base}.snr", head)
-        return WriterCommitMessage()
+                yield f"{name}.sns", stream
+            yield f"{name}.snr", head
 
 
 class PlayerSource(DataSource):

@@ -6,10 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource
 
 from .chunks import gather
-from .files import FileReader, read, replace
+from .files import FileReader, FileWriter, read
 
 #: Format tags of plain and extensible PCM, and speaker masks by number of channels.
 TAGS, MASKS = (1, 65534), {4: 0x33, 6: 0x3F, 8: 0xFF}
@@ -83,16 +83,12 @@ class WaveReader(FileReader):
                 yield {"path": path, **meta, "channel": c, "blk": at // BLOCK, "samples": samples[at : at + BLOCK, c].tolist()}
 
 
-class WaveWriter(DataSourceWriter):
+class WaveWriter(FileWriter):
     """Writes blocks (name, sample_rate, channel, blk, samples) as files: the rows of a file have to be in one partition."""
 
-    def __init__(self, options: dict, schema):
-        self.options, self.names = options, schema.fieldNames()
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        for name, (rate, samples) in gather(rows, self.names).items():
-            replace(f"{self.options['path'].rstrip('/')}/{name}", build(samples, rate, bits=int(self.options.get("bits", 16))))
-        return WriterCommitMessage()
+    def contents(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
+        for name, (rate, samples) in gather(rows).items():
+            yield name, build(samples, rate, bits=int(self.options.get("bits", 16)))
 
 
 class WaveSource(DataSource):

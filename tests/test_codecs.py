@@ -75,3 +75,93 @@ def test_texture_blocks(kind):
     seen = image[..., 3] == 255
     assert np.abs(back[..., :3].astype(int) - image[..., :3])[seen].max() < 40
     assert texture.dds([texture.encode(image, kind)], 10, 6, kind)[:4] == b"DDS " and len(texture.dds([b""], 4, 4, kind)) == 128
+
+
+def plain_search(samples, one, two):
+    """Filter, shift, nibbles and last samples of least squared error, one sample at a time."""
+    best = None
+    for f, (c1, c2) in enumerate(adpcm.COEFFICIENTS):
+        s1, s2, top = one, two, 0
+        for x in samples:
+            top = max(top, abs(x - ((c1 * s1 + c2 * s2) >> 8)))
+            s1, s2 = x, s1
+        fit = next((s for s in range(12, -1, -1) if top <= 7 << (12 - s)), 0)
+        for shift in (fit, max(fit - 1, 0)):
+            s1, s2, error, nibbles, scale = one, two, 0, [], 20 - shift
+            for x in samples:
+                base = c1 * s1 + c2 * s2
+                n = max(-8, min(7, ((x << 8) - base + (1 << (scale - 1))) >> scale))
+                y = max(-32768, min(32767, ((n << scale) + base) >> 8))
+                error += (x - y) ** 2
+                nibbles.append(n)
+                s1, s2 = y, s1
+            if best is None or error < best[0]:
+                best = (error, f, shift, nibbles, s1, s2)
+    return best[1:]
+
+
+def test_adpcm_search_equals_plain_version():
+    rng = np.random.RandomState(3)
+    x = np.concatenate([rng.randint(-32768, 32768, (40, 28)), (rng.randn(40, 28).cumsum(axis=1) * 300).astype(int), np.zeros((2, 28), int)])
+    one, two = rng.randint(-3000, 3000, (2, len(x)))
+    found = adpcm.search(x.astype(np.int64), one.astype(np.int64), two.astype(np.int64))
+    for i in range(len(x)):
+        f, shift, nibbles, last, last2 = plain_search(x[i].tolist(), int(one[i]), int(two[i]))
+        assert (found[0][i], found[1][i], found[2][i].tolist(), found[3][i], found[4][i]) == (f, shift, nibbles, last, last2)
+
+
+def test_streams_coded_together_equal_those_alone():
+    streams = [SIGNALS[k] for k in sorted(SIGNALS)] + [[]]
+    assert adpcm.xa_encode_many(streams) == [adpcm.xa_encode(s) for s in streams]
+
+
+def test_xas_skips_groups():
+    data, whole = adpcm.xas_encode(SIGNALS["sine"]), adpcm.xas_decode(adpcm.xas_encode(SIGNALS["sine"]))
+    for start, count in ((0, None), (130, 40), (256, None), (5, 300), (384, 10)):
+        assert adpcm.xas_decode(data, start, count) == whole[start:][:count]
+
+
+def plain_lz_size(data):
+    """Size under the same greedy rule, looking at every earlier place."""
+    n, i, pending, size = len(data), 0, 0, 6
+    while i < n:
+        best = (0, 0, 0)
+        for j in range(i - 1, -1, -1):
+            k = 0
+            while k < min(1028, n - i) and data[j + k] == data[i + k]:
+                k += 1
+            for m in {k, min(k, 67), min(k, 10)} if k >= 3 else ():
+                c = lz._command(i - j, m)
+                if c and (m - c, m) > best[:2]:
+                    best = (m - c, m, c)
+        if best[0] > 0:
+            size += pending // 4 * 4 + -(-(pending // 4 * 4) // 112) + best[2] + pending % 4
+            i, pending = i + best[1], 0
+        else:
+            i, pending = i + 1, pending + 1
+    return size + pending + -(-(pending // 4 * 4) // 112)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([b"ab", b"abc", b"the ", b"x", b"yz"]), max_size=120).map(b"".join))
+def test_lz_looks_at_all_places(data):
+    assert len(lz.encode(data)) == plain_lz_size(data)
+
+
+@pytest.mark.parametrize(("old", "new"), [(44100, 22050), (44100, 16000), (8000, 11025)])
+def test_resampled_pieces_join(spark, monkeypatch, old, new):
+    monkeypatch.setattr(frames, "PIECE", 700)
+    rng = np.random.RandomState(1)
+    streams = {1: rng.randn(3000), 2: rng.randn(5), 3: rng.randn(1401), 4: rng.randn(1)}
+    rows = spark.createDataFrame([(k, i, float(v)) for k, x in streams.items() for i, v in enumerate(x)], "k long, n long, v double")
+    out = frames.resample_streams(rows, "k", "v", old, new).orderBy("k", "seg").collect()
+    for k, x in streams.items():
+        want = frames.resampled(x, old, new)
+        got = sum((list(r.samples) for r in out if r.k == k), [])
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-9)
+
+
+def test_overlap_add_equals_convolution():
+    rng = np.random.RandomState(0)
+    x, taps = rng.randn(5000), rng.randn(101)
+    assert np.allclose(frames.filtered(x, taps, 512), np.convolve(x, taps)[50:5050])

@@ -61,6 +61,9 @@ def test_state_restarts():
             self.new = new
 
     state = State()
-    rows = pd.DataFrame({"value": [1.0, 2.0, 3.0, 4.0], "restart": [False, False, True, False]})
+    rows = pd.DataFrame({"ts": [4, 1, 2, 3], "event_id": 0, "value": [4.0, 1.0, 2.0, 3.0], "restart": [False, False, False, True], "flush": False})
+    out = next(_advance((7,), iter([rows[:2], rows[2:]]), state, 3))  # rows of a micro-batch are put in order first
+    assert out["blk"].tolist() == [3] and out["samples"].tolist() == [[1.0, 1.0, 2.0]] and state.new == (0, [3.0, 4.0])
+    rows["flush"] = rows["ts"] == 4
     out = next(_advance((7,), iter([rows]), state, 3))
-    assert out["blk"].tolist() == [3] and state.new == (0, [3.0, 4.0])
+    assert out["samples"].tolist()[-1] == [3.0, 4.0, 4.0] and out["n_valid"].tolist()[-1] == 2 and state.new == (1, [])

@@ -138,3 +138,49 @@ def test_player_write(sources, blocks, tmp_path, play_type, resident, parts):
     assert {r.part for r in got} == parts and sum(r.frames for r in got) == 300 and got[-1].is_last
     data = b"".join(bytes(r.payload) for r in got)
     assert np.frombuffer(data, ">i2").reshape(-1, 2)[:3, 1].tolist() == [4000, 4040, 4080]
+
+
+def test_archive_entries_over_partitions_and_filters(sources, tmp_path):
+    (tmp_path / "a.big").write_bytes(archive.build([(f"n{i}", bytes([i]) * 100) for i in range(50)]))
+    df = sources.read.format("assetarchive").option("content", "true").option("partition", "1000").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 5
+    assert [(r.idx, bytes(r.content)[:1]) for r in df.orderBy("idx").collect()] == [(i, bytes([i])) for i in range(50)]
+    assert [r.name for r in df.where("idx >= 10 and idx < 13 and name > 'n10'").orderBy("idx").collect()] == ["n11", "n12"]
+    assert "PushedFilters: [IsNotNull" in df.where("idx = 7")._jdf.queryExecution().toString() or df.where("idx = 7").count() == 1
+    # An entry that a filter leaves out isn't read: its payload may be cut off.
+    whole = archive.build([("first", b"x" * 100), ("second", b"y" * 100)])
+    (tmp_path / "a.big").write_bytes(whole[:-50])
+    assert [r.error for r in sources.read.format("assetarchive").option("content", "true").load(str(tmp_path)).where("idx = 0").collect()] == [None]
+
+
+def test_writers_refuse_a_file_from_two_partitions(sources, tmp_path):
+    rows = sources.createDataFrame([("x.big", f"n{i}", b"z") for i in range(8)], "archive string, name string, content binary").repartition(4)
+    with pytest.raises(Exception, match="more than one partition"):
+        rows.write.format("assetarchive").mode("append").save(str(tmp_path))
+    assert not list(tmp_path.iterdir())
+
+
+def test_folder_sink(sources, tmp_path):
+    rows = sources.createDataFrame([("a/b/c.bin", b"123"), ("d.dds", b"DDS "), ("empty", None)], "name string, content binary").repartition(3)
+    rows.write.format("assetfolder").mode("append").save(str(tmp_path))
+    assert (tmp_path / "a/b/c.bin").read_bytes() == b"123" and (tmp_path / "empty").read_bytes() == b"" and len(list(tmp_path.iterdir())) == 3
+    back = sources.read.format("assetfolder").option("suffix", ".DDS").load(str(tmp_path)).collect()
+    assert [(r.name, bytes(r.content), r.size) for r in back] == [("d.dds", b"DDS ", 4)]
+    bad = sources.createDataFrame([("../up", b"1"), ("/root", b"1"), ("c:x", b"1"), ("a/../../b", b"1"), ("fine", b"1")], "name string, content binary")
+    with pytest.raises(Exception, match="not inside"):
+        bad.write.format("assetfolder").mode("append").save(str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+    bad.write.format("assetfolder").mode("append").option("unsafe", "skip").save(str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["fine"]
+
+
+def test_archive_to_folder(sources, tmp_path):
+    (tmp_path / "a.big").write_bytes(archive.build([("dir/A.txt", lz.encode(b"abc" * 50)), ("b", b"tiny")]))
+    entries = sources.read.format("assetarchive").option("content", "true").load(str(tmp_path / "a.big")).select("name", "content")
+    entries.write.format("assetfolder").mode("append").save(str(tmp_path / "out"))
+    assert (tmp_path / "out/dir/A.txt").read_bytes() == b"abc" * 50 and (tmp_path / "out/b").read_bytes() == b"tiny"
+
+
+def test_strict_sync():
+    frame = (0xFFFB9000).to_bytes(4, "big") + b"\0" * 413
+    assert mpeg.strict_sync(b"ID3" + frame * 7) == 3 and mpeg.strict_sync(frame * 6) == -1 and mpeg.strict_sync(b"\xff" * 50) == -1
