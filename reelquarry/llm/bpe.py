@@ -56,6 +56,7 @@ class PairIndexBPE:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t.encode() for t, i in (vocab | self.special).items()}
+        self.starts = {t[0] for t in self.special if t}  # most texts hold none of these characters
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}")).findall
@@ -172,7 +173,7 @@ class PairIndexBPE:
     def lookup(self, text: str) -> np.ndarray | list:
         """Places of the text's words in the index; a list of such arrays and special ids where the text holds special tokens."""
         number = lambda t: np.fromiter(map(self.index.__getitem__, self._pieces(t)), np.int32)
-        if self.at_special is None or "<" not in text or not self.at_special.search(text):
+        if self.at_special is None or not any(c in text for c in self.starts) or not self.at_special.search(text):
             return number(text)
         return [self.special[t] if t in self.special else number(t) for t in self.at_special.split(text)]
 
