@@ -97,11 +97,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most)
     ends = thresholds(rows, plan).withColumnsRenamed({"source": SOURCE, "rounds": "__rounds", "last": "__last"})
     joined = with_sizes.select(*own, SIZE, HASH).join(ends, F.col("source").eqNullSafe(F.col(SOURCE)))
-    return joined.select(*own, F.col(SIZE).alias("size"), "source_size", "target", copies(F.col(HASH)).alias("copies"))
+    return joined.select(*own, F.col(SIZE).alias("size"), "source_size", "target", copies(F.col(HASH), F.col(SIZE)).alias("copies"))
 
 
-def copies(hashed: Column) -> Column:
-    return (F.col("__rounds") + F.when(hashed <= F.col("__last"), 1).otherwise(0)).cast("int")
+def copies(hashed: Column, size: Column) -> Column:
+    """Rounds of the source, and one more below its threshold; texts without words don't count against a budget and get no extra copy."""
+    return (F.col("__rounds") + F.when((hashed <= F.col("__last")) & (size > 0), 1).otherwise(0)).cast("int")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
