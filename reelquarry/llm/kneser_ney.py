@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from .columns import crc_mod
 from .minhash import mix
-from .shared import bound_batches, keep, new_folder
+from .shared import bound_batches, keep, new_folder, partitions
 
 U = np.uint64
 #: A word holds no space, so these can't be words.
 BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a worker counts or scores together, and bytes of text that one shard counts.
 PORTION, SHARD_BYTES = 1_000_000, 8 << 20
+SHARDS_OF_TASK = 4
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -313,7 +314,10 @@ def train(docs: DataFrame) -> Model:
     size, documents = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     shards = max(6, -(-(size or 0) // SHARD_BYTES))
     folder = new_folder(spark, "model")
-    by_word = texts.mapInArrow(lambda it: _words(it, shards), BLOBS).groupBy("shard").applyInArrow(
+    # A task merges a few shards at most, however many there are.
+    tasks = max(min(shards, partitions(spark)), -(-shards // SHARDS_OF_TASK))
+    by_shard = lambda rows: rows.repartition(tasks, "shard").groupBy("shard")
+    by_word = by_shard(texts.mapInArrow(lambda it: _words(it, shards), BLOBS)).applyInArrow(
         _merge_words, "shard int, k binary, c binary, words long, tokens long"
     )
     by_word = keep(by_word, "words")
@@ -322,13 +326,13 @@ def train(docs: DataFrame) -> Model:
     frequent = by_word.select("k", "c").mapInArrow(lambda it: _frequent(it, fair), "h binary, c long").collect()  # at most 4 for each shard
     counts = {int.from_bytes(r.h, "little"): r.c for r in frequent} | ({int(BEGIN): documents} if documents >= fair else {})
     hot = {h: min(shards, 1 + int(c / fair)) for h, c in counts.items()}
-    pairs = texts.mapInArrow(lambda it: _pairs(it, shards, hot), BLOBS).groupBy("shard").applyInArrow(
+    pairs = by_shard(texts.mapInArrow(lambda it: _pairs(it, shards, hot), BLOBS)).applyInArrow(
         lambda t: _merge_pairs(t, folder, shards), "kind string, shard int, k binary, c binary, numbers array<long>"
     )
     pairs = keep(pairs, "pairs")
     n1, n2, n3, n4 = _total(pairs.where("kind = 'n'"), 4)
     of_words = pairs.where("kind <> 'n'").select("kind", "shard", "k", "c").unionByName(by_word.select(F.lit("w").alias("kind"), "shard", "k", "c"))
-    merged = keep(of_words.groupBy("shard").applyInArrow(lambda t: _merge_contexts(t, folder), "shard int, numbers array<long>"), "numbers")
+    merged = keep(by_shard(of_words).applyInArrow(lambda t: _merge_contexts(t, folder), "shard int, numbers array<long>"), "numbers")
     continuations, m1, m2, m3, m4, m3_up = _total(merged, 6)
     low = discounts(m1, m2, m3, m4)
     floor = (low[1] * m1 + low[2] * m2 + low[3] * m3_up) / continuations if continuations else 1.0
