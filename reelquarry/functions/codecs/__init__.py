@@ -1 +1,48 @@
-"""Codecs of bytes and samples, with Arrow UDFs around them."""
+"""Codecs as Arrow UDFs, and what all byte codecs have in common."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@dataclass(frozen=True)
+class ByteCodec:
+    """A codec of bytes: whether bytes are coded by it, what size they unpack to, and both directions."""
+
+    name: str
+    is_coded: Callable[[bytes], bool]
+    size: Callable[[bytes], int]
+    decode: Callable[[bytes], bytes]
+    encode: Callable[[bytes], bytes]
+
+    def column(self, direction: str, content: Column) -> Column:
+        """decode or encode over a column, by Arrow batches; NULL for NULL and for bytes that the codec refuses."""
+        change = getattr(self, direction)
+
+        @F.pandas_udf(T.BinaryType())
+        def run(values: pd.Series) -> pd.Series:
+            def one(x: bytes | None) -> bytes | None:
+                try:
+                    return None if x is None else change(bytes(x))
+                except ValueError:
+                    return None
+
+            return values.map(one)
+
+        return run(content)
+
+
+def byte_codecs() -> dict[str, ByteCodec]:
+    """Registered codecs by name."""
+    from . import lz
+
+    return {
+        "lz": ByteCodec("lz", lz.is_packed, lambda x: lz.header(x)[0], lz.decode, lz.encode),
+        "none": ByteCodec("none", lambda x: True, len, bytes, bytes),
+    }

@@ -103,12 +103,12 @@ def xa_encode(samples: list) -> bytes:
     return xa_encode_many([samples])[0]
 
 
-def xa_decode(data: bytes, state: tuple[int, int] = (0, 0)) -> tuple[list[int], tuple[int, int]]:
-    """Samples of whole blocks and the state after them, which the next call takes on."""
+def xa_decode(data: bytes, state: tuple[int, int] = (0, 0), count: int | None = None) -> tuple[list[int], tuple[int, int]]:
+    """Samples of whole blocks, up to the one that makes `count` of them, and the state after them, which the next call takes on."""
     out: list[int] = []
     one, two = state
     i = 0
-    while i < len(data):
+    while i < len(data) and (count is None or len(out) < count):
         if data[i] == RAW:
             if i + 61 > len(data):
                 raise ValueError("a raw block is cut off")
@@ -161,3 +161,30 @@ def xas_decode(data: bytes, start: int = 0, count: int | None = None) -> list[in
     last = len(data) // 76 if count is None else -(-(start + count) // XAS)
     found = xas_samples(np.frombuffer(data, np.uint8).reshape(-1, 76)[first:last]).reshape(-1)
     return found[start - first * XAS :][:count].tolist()
+
+
+class XaFeed:
+    """Pull decoding: bytes are fed as they arrive, samples are pulled in any number, and what is left over is kept for the next call."""
+
+    def __init__(self):
+        self.new()
+
+    def new(self) -> None:
+        """Forgets everything: the next bytes begin another stream."""
+        self.data, self.samples, self.state = b"", [], (0, 0)
+
+    def feed(self, data: bytes) -> None:
+        self.data += data
+
+    def pull(self, n: int) -> list[int]:
+        """Up to n samples; fewer where the bytes fed so far don't hold a whole further block."""
+        at = 0
+        while len(self.samples) < n and at < len(self.data):
+            size = 61 if self.data[at] == RAW else 15
+            if at + size > len(self.data):
+                break
+            part, self.state = xa_decode(self.data[at : at + size], self.state)
+            self.samples += part
+            at += size
+        self.data, out, self.samples = self.data[at:], self.samples[:n], self.samples[n:]
+        return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -145,3 +147,28 @@ def pack_streams(rows: DataFrame, key: str, sample: str) -> DataFrame:
 
 def peak(samples: Column) -> Column:
     return F.array_max(samples)
+
+
+def granules(rows: DataFrame, key: str, order: str, frame: str) -> DataFrame:
+    """Layer-3 frames of streams to granules: key, order, granule, data. A stream is read in its order with its bit reservoir carried over; broken frames have an error."""
+    from .granules import Remux
+
+    kind = dict(rows.dtypes)[key]
+    schema = pa.schema([(key, rows.select(key).limit(0).toArrow().schema.field(0).type), (order, pa.int64()), ("granule", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
+    dealt = rows.select(key, F.col(order).cast("long").alias(order), frame).repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, remux = object(), Remux()
+        for b in batches:
+            out = []
+            for k, n, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    now, remux = k, Remux()
+                try:
+                    out += [(k, n, g.index, g.data, None) for g in remux.feed(content or b"")]
+                except ValueError as e:
+                    out.append((k, n, None, None, str(e)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(run, f"{key} {kind}, {order} long, granule int, data binary, error string")

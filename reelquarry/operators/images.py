@@ -178,3 +178,23 @@ def compressed(pixels: DataFrame, kinds: DataFrame, mips: bool = True) -> DataFr
     schema = pa.schema([("image_id", pa.int64()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("levels", pa.int32()), ("dds", pa.binary()), ("error", pa.string())])
     rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in ("x", "y", "r", "g", "b", "a")]).join(kinds, "image_id")
     return rows.groupBy("image_id").applyInArrow(one, "image_id long, format string, width int, height int, levels int, dds binary, error string")
+
+
+def load(spark, path: str) -> DataFrame:
+    """Pixels of image files, as Spark's image source decodes them: image_id (the file's name), x, y, r, g, b, a and whether the file can hold alpha; broken files are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["image_id", "x", "y", "r", "g", "b", "a", "capable"]
+
+    def unpack(batches):
+        for batch in batches:
+            for origin, h, w, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(data, np.uint8).reshape(h * w, n)
+                v = np.repeat(v, 3, axis=1) if n == 1 else v
+                at = np.arange(h * w)
+                columns = [at % w, at // w, v[:, 2], v[:, 1], v[:, 0], v[:, 3] if n == 4 else np.full(h * w, 255)]
+                yield pa.RecordBatch.from_arrays([pa.array([origin] * (h * w)), *[pa.array(c.astype(np.int32)) for c in columns], pa.array([n == 4] * (h * w))], names)
+
+    found = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return found.mapInArrow(unpack, "image_id string, x int, y int, r int, g int, b int, a int, capable boolean")

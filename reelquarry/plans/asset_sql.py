@@ -283,4 +283,17 @@ SQL: dict[str, str] = {
       l AS (SELECT o_orderkey, list_transform(range(0, 32), lambda i: CAST((w >> (31 - i)) & 1 AS BIGINT)) AS bits, list_transform(range(0, 32), lambda i: CAST((w >> (24 - i // 8 * 8 + i % 8)) & 1 AS BIGINT)) AS low_first FROM b)
       SELECT o_orderkey, list_reduce(list_concat([CAST(65535 AS BIGINT)], bits), lambda a, x: CASE WHEN (a >> 15) <> x THEN xor((a * 2) & 65535, 32773) ELSE (a * 2) & 65535 END) AS header,
         list_reduce(list_concat([CAST(0 AS BIGINT)], low_first), lambda a, x: CASE WHEN (a & 1) <> x THEN xor(a >> 1, 40961) ELSE a >> 1 END) AS payload FROM l""",
+    "q59_granules": """
+      WITH k AS (SELECT o_orderkey AS k, unnest([0, 1]) AS seq FROM orders),
+      d AS (SELECT k, seq, md5('s' || k || '-' || seq) AS s, left(repeat(md5('m' || k || '-' || seq), 25), 792) AS m FROM k),
+      b AS (SELECT *, list_aggregate(list_transform(range(1, 25), lambda i: lpad(bin(CAST('0x' || s[i] AS INTEGER)), 4, '0')), 'string_agg', '') AS fill,
+        list_aggregate(list_transform(range(1, 793), lambda i: lpad(bin(CAST('0x' || m[i] AS INTEGER)), 4, '0')), 'string_agg', '') AS own FROM d),
+      p AS (SELECT *, CASE WHEN seq = 1 THEN right(lag(own) OVER (PARTITION BY k ORDER BY seq), CAST(8 * (k % 60 + 1) AS BIGINT)) ELSE '' END || own AS main, k % 1000 + 100 AS l0, k % 1500 + 50 AS l1 FROM b),
+      g AS (
+        SELECT k, seq, 0 AS granule, '11' || '00' || '11' || '00' || '0' || lpad(bin(l0), 12, '0') || substr(fill, 5, 47) || left(main, l0) AS bits FROM p UNION ALL
+        SELECT k, seq, 1, '11' || '00' || '11' || '00' || '1' || left(fill, 4) || lpad(bin(l1), 12, '0') || substr(fill, 50, 47) || substr(main, l0 + 1, l1) FROM p),
+      w AS (SELECT *, bits || repeat('0', CAST((8 - length(bits) % 8) % 8 AS BIGINT)) AS padded FROM g),
+      h AS (SELECT k, seq, granule, length(padded) // 8 AS size, unhex(list_aggregate(list_transform(range(0, length(padded) // 4),
+        lambda i: upper(printf('%x', 8 * CAST(padded[4 * i + 1] AS INTEGER) + 4 * CAST(padded[4 * i + 2] AS INTEGER) + 2 * CAST(padded[4 * i + 3] AS INTEGER) + CAST(padded[4 * i + 4] AS INTEGER)))), 'string_agg', '')) AS data FROM w)
+      SELECT k AS o_orderkey, CAST(seq AS BIGINT) AS seq, granule, size, left(hex(data), 48) AS head, md5(data) AS digest, CAST(NULL AS VARCHAR) AS error FROM h""",
 }

@@ -6,12 +6,15 @@ apply to all sounds of an asset.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.metadata import LOCATIONS
+
 
 @dataclass(frozen=True)
 class Sounds:
@@ -23,12 +26,12 @@ class Sounds:
 
 @dataclass(frozen=True)
 class Filter:
-    """A filter's word, number, and parameters as (name, type, least, most)."""
+    """A filter's word, number, and parameters as (name, type, least, most). Types are int, float, str, or file_bytes for a file's content."""
 
     word: str
     number: int
     apply: Callable[..., Sounds]
-    params: tuple[tuple[str, type, float | None, float | None], ...] = ()
+    params: tuple[tuple[str, Callable, float | None, float | None], ...] = ()
 
     def parse(self, values: list[str]) -> dict:
         out = {}
@@ -41,6 +44,12 @@ class Filter:
 
 
 REGISTRY: dict[str, Filter] = {}
+log = logging.getLogger("reelquarry")
+
+
+def report(percent: int, word: str) -> None:
+    """Default listener of a conversion's progress."""
+    log.info("%d %%: %s", percent, word)
 
 
 def register(f: Filter) -> Filter:
@@ -54,22 +63,30 @@ def _quality(s: Sounds, quality: int) -> Sounds:
     return Sounds(s.meta.withColumn("quality", F.lit(quality)), s.frames)
 
 
-LOCATIONS = {"ram": 0, "stream": 1, "split": 2}
-
-
 def _location(s: Sounds, location: str) -> Sounds:
     if location not in LOCATIONS:
         raise ValueError(f"no location {location}")
     return Sounds(s.meta.withColumn("play_location", F.lit(LOCATIONS[location])), s.frames)
 
 
-def _user_data(s: Sounds, blob: str) -> Sounds:
+def file_bytes(path: str) -> bytes:
+    """A parameter that names a file stands for its content."""
+    from ..sources.files import read
+
+    return read(path)
+
+
+def _user_data(s: Sounds, blob: bytes) -> Sounds:
     """Appends a blob where fewer than four are there."""
     old = F.coalesce(F.col("user_data"), F.array().cast("array<binary>")) if "user_data" in s.meta.columns else F.array().cast("array<binary>")
-    new = F.when(F.size(old) < 4, F.array_append(old, F.lit(blob.encode()).cast("binary"))).otherwise(old)
+    new = F.when(F.size(old) < 4, F.array_append(old, F.lit(bytearray(blob)))).otherwise(old)
     return Sounds(s.meta.withColumn("user_data", new), s.frames)
 
 
+def _gain(s: Sounds, factor: float) -> Sounds:
+    return Sounds(s.meta, s.frames.withColumn("sample", F.col("sample") * factor))
+
+
 def _crop(s: Sounds, start: int, length: int) -> Sounds:
     """Frames start .. start + length - 1, with silence where there are none; loops outside are dropped."""
     keys = s.frames.select("asset_id", "channel").distinct()
@@ -95,7 +112,8 @@ def _resample(s: Sounds, rate: int) -> Sounds:
 
 register(Filter("quality", 44, _quality, (("quality", int, 0, 100),)))
 register(Filter("playloc", 50, _location, (("location", str, None, None),)))
-register(Filter("userdata", 92, _user_data, (("blob", str, None, None),)))
+register(Filter("userdata", 92, _user_data, (("blob", file_bytes, None, None),)))
+register(Filter("gain", 200, _gain, (("factor", float, -1000.0, 1000.0),)))
 register(Filter("resample", 120, _resample, (("rate", int, 1, 200_000),)))
 register(Filter("crop", 150, _crop, (("start", int, None, None), ("length", int, 1, None))))
 
@@ -108,9 +126,11 @@ class Conversion:
     target: str | None = None
     filters: list[tuple[Filter, dict]] = field(default_factory=list)
 
-    def run(self, sounds: Sounds) -> Sounds:
-        for f, values in self.filters:
+    def run(self, sounds: Sounds, progress: Callable[[int, str], None] | None = None) -> Sounds:
+        """Applies the filters in order; `progress` hears the percentage planned and the filter's word. Rows are counted by Spark, once an action runs."""
+        for i, (f, values) in enumerate(self.filters, 1):
             sounds = f.apply(sounds, **values)
+            (progress or report)(100 * i // len(self.filters), f.word)
         return sounds
 
 

@@ -6,13 +6,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..functions.codecs import adpcm
-from .files import FileReader, FileWriter, read
+from .files import FilePartition, FileReader, FileWriter, list_files, read
 
 #: Tags of a stream's sound.
 TAGS = {0x80: "version", 0x82: "channels", 0x84: "sample_rate", 0x85: "n_frames", 0xA0: "encoding"}
+#: Bytes before the XA blocks of a channel in a data chunk.
+LEAD = bytes(4)
 
 
 def tags(data: bytes) -> dict[int, int | bytes]:
@@ -60,14 +62,24 @@ def _chunk(name: bytes, payload: bytes) -> bytes:
     return name + (len(payload) + 8).to_bytes(4, "little") + payload
 
 
+def _coded(samples: np.ndarray, encoding: int) -> bytes:
+    if encoding == 10:
+        return LEAD + adpcm.xa_encode(samples.tolist())
+    if encoding == 29:
+        return adpcm.xas_encode(samples.tolist())
+    if encoding == 0:
+        return samples.astype(">i2").tobytes()
+    raise ValueError(f"encoding {encoding} isn't supported")
+
+
 def build(samples: np.ndarray, rate: int, frames: int, encoding: int = 0) -> bytes:
-    """A stream of (frames, channels): encoding 0 is big-endian PCM, 29 is XAS."""
+    """A stream of (frames, channels): encoding 10 is XA, with four bytes before each channel's blocks, 0 is big-endian PCM, 29 is XAS."""
     n, channels = samples.shape
     body = b"GSTR" + tag_bytes({0x80: 1, 0x82: channels, 0x84: rate, 0x85: n, 0xA0: encoding})
     parts = [samples[i : i + frames] for i in range(0, n, frames)]
     out = _chunk(b"SCHl", body) + _chunk(b"SCCl", struct.pack(">I", len(parts)))
     for p in parts:
-        coded = [adpcm.xas_encode(p[:, c].tolist()) if encoding == 29 else p[:, c].astype(">i2").tobytes() for c in range(channels)]
+        coded = [_coded(p[:, c], encoding) for c in range(channels)]
         starts = np.cumsum([0, *map(len, coded[:-1])])
         out += _chunk(b"SCDl", struct.pack(f">I{channels}I", len(p), *starts.tolist()) + b"".join(coded))
     return out + _chunk(b"SCEl", b"")
@@ -95,6 +107,8 @@ def parse(content: bytes) -> Iterator[dict]:
                 if meta["encoding"] == 29:
                     size = -(-n // 128) * 76
                     samples = adpcm.xas_decode(data[offset : offset + size])[:n]
+                elif meta["encoding"] == 10:
+                    samples = adpcm.xa_decode(data[offset + len(LEAD) :], count=n)[0][:n]
                 elif meta["encoding"] == 0:
                     samples = np.frombuffer(data, ">i2", n, offset).tolist()
                 else:
@@ -112,6 +126,29 @@ class ChunkStreamReader(FileReader):
             yield {"path": path, **r}
 
 
+class ChunkStreamArrivals(DataSourceStreamReader):
+    """Files as they arrive in a folder, in the order of their names: each micro-batch takes the new ones, whole, up to their end markers."""
+
+    def __init__(self, options: dict, schema):
+        self.reader, self.path = ChunkStreamReader(options, schema), options["path"]
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        found = list_files(self.path)
+        return {"after": found[-1] if found else ""}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [FilePartition(p) for p in list_files(self.path) if start["after"] < p <= end["after"]]
+
+    def read(self, partition: FilePartition) -> Iterator[tuple]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class ChunkStreamWriter(FileWriter):
     """Writes blocks (name, sample_rate, channel, blk, samples): the rows of a file have to be in one partition. Options: encoding, frames of a chunk."""
 
@@ -146,5 +183,8 @@ class ChunkStreamSource(DataSource):
     def reader(self, schema) -> ChunkStreamReader:
         return ChunkStreamReader(self.options, schema)
 
+    def streamReader(self, schema) -> ChunkStreamArrivals:
+        return ChunkStreamArrivals(self.options, schema)
+
     def writer(self, schema, overwrite: bool) -> ChunkStreamWriter:
         return ChunkStreamWriter(self.options, schema)

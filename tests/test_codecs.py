@@ -3,7 +3,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelquarry.functions.codecs import adpcm, frames, lz, texture
+from pyspark.sql import functions as F
+
+from reelquarry.functions.codecs import adpcm, byte_codecs, frames, granules, lz, texture
 
 
 @settings(max_examples=60, deadline=None)
@@ -165,3 +167,65 @@ def test_overlap_add_equals_convolution():
     rng = np.random.RandomState(0)
     x, taps = rng.randn(5000), rng.randn(101)
     assert np.allclose(frames.filtered(x, taps, 512), np.convolve(x, taps)[50:5050])
+
+
+def frame_of(rng, mono, full, held, rate=0, protect=False):
+    """A layer-3 frame with random contents, the granules that it stands for as bit strings, and the bytes left for the next frames."""
+    bits = lambda n: "".join(rng.choice(list("01"), n))
+    channels, granules, rest = (1 if mono else 2), (2 if full else 1), (59 if full else 63)
+    head = "1" * 11 + ("11" if full else "10") + "01" + ("0" if protect else "1") + "1001" + format(rate, "02b") + "00" + ("11" if mono else "01") + "10" + "0000"
+    payload = bits(8 * int(rng.randint(60, 200)))
+    back = int(rng.randint(0, min(len(held) // 8, 511 if full else 255) + 1))
+    main = held[len(held) - 8 * back :] + payload
+    lengths = sorted(rng.randint(0, min(len(main), 4000), channels * granules - 1).tolist())
+    lengths = [b - a for a, b in zip([0, *lengths], [*lengths, len(main) - int(rng.randint(0, 50))], strict=True)]
+    lengths = [min(max(n, 0), 4095) for n in lengths]
+    shared, facts = (bits(4 * channels) if full else ""), [format(n, "012b") + bits(rest - 12) for n in lengths]
+    side = format(back, "09b" if full else "08b") + bits((5 if mono else 3) if full else channels) + shared + "".join(facts)
+    want, at = [], 0
+    for g in range(granules):
+        out = ("11" if full else "10") + format(rate, "02b") + ("11" if mono else "01") + "10" + str(g) + (shared if g == 1 else "")
+        mine = range(g * channels, (g + 1) * channels)
+        out += "".join(facts[i] for i in mine)
+        for i in mine:
+            out += main[at : at + lengths[i]]
+            at += lengths[i]
+        want.append(out + "0" * (-len(out) % 8))
+    text = head + ("0" * 16 if protect else "") + side + payload
+    return int(text, 2).to_bytes(len(text) // 8, "big"), want, (held + payload)[-511 * 8 :]
+
+
+@pytest.mark.parametrize(("mono", "full"), [(True, True), (False, True), (True, False), (False, False)])
+def test_granules_hold_all_bits(mono, full):
+    rng = np.random.RandomState(5)
+    remux, held = granules.Remux(), ""
+    for i in range(30):
+        frame, want, held = frame_of(rng, mono, full, held, rate=i % 3, protect=i % 4 == 0)
+        assert ["".join(f"{b:08b}" for b in g.data) for g in remux.feed(frame)] == want
+    frame, _, _ = frame_of(rng, mono, full, held)
+    cut = granules.Remux()
+    assert cut.feed(b"\xff\xfb\x90\xc0" + b"\xff" * 400) == [] and cut.held  # reaches back further than the stream
+    with pytest.raises(ValueError, match="layer-3"):
+        cut.feed(b"\xff\xfd\x90\xc0" + bytes(400))
+
+
+def test_pull_decoding():
+    whole = adpcm.xa_decode(adpcm.xa_encode(SIGNALS["sine"]))[0]
+    data, feed, out = adpcm.xa_encode(SIGNALS["sine"]), adpcm.XaFeed(), []
+    for i in range(0, len(data), 7):
+        feed.feed(data[i : i + 7])
+        out += feed.pull(11)
+    assert out + feed.pull(10_000) == whole and feed.pull(5) == []
+    feed.new()
+    feed.feed(data)
+    assert feed.pull(3) == whole[:3] and adpcm.xa_decode(data, count=30)[0] == whole[:56]
+
+
+def test_byte_codecs(spark):
+    rows = spark.createDataFrame([(b"abcabcabcabc",), (None,), (b"",)], "c binary")
+    for name, codec in byte_codecs().items():
+        packed = codec.encode(b"abcabcabcabc")
+        assert codec.is_coded(packed) and codec.size(packed) == 12 and codec.name == name
+        out = rows.select(codec.column("decode", codec.column("encode", F.col("c"))).alias("c")).collect()
+        assert [None if r.c is None else bytes(r.c) for r in out] == [b"abcabcabcabc", None, b""]
+    assert rows.select(byte_codecs()["lz"].column("decode", F.col("c")).alias("c")).collect()[0].c is None

@@ -14,13 +14,15 @@ def sounds(spark):
     return Sounds(meta, frames)
 
 
-def test_chain(sounds):
-    job = parse_arguments("-in x.wav -crop -10 100 -quality 70 -playloc stream -userdata hi -resample 22050 -out y.wav".split())
+def test_chain(sounds, tmp_path):
+    (tmp_path / "blob").write_bytes(b"hi")
+    heard = []
+    job = parse_arguments(f"-in x.wav -crop -10 100 -quality 70 -playloc stream -userdata {tmp_path}/blob -resample 22050 -gain 0.5 -gain 2.0 -out y.wav".split())
     assert (job.source, job.target) == ("x.wav", "y.wav")
-    out = job.run(sounds)
+    out = job.run(sounds, lambda percent, word: heard.append((percent, word)))
     meta = out.meta.first()
-    assert (meta.sample_rate, meta.n_frames, meta.quality, meta.play_location, meta.loop_start) == (22050, 50, 70, 1, None)
-    assert out.frames.count() == 50 and bytes(meta.user_data[0]) == b"hi"
+    assert (meta.sample_rate, meta.n_frames, meta.quality, meta.play_location, meta.loop_start) == (22050, 50, 70, 4096, None)
+    assert out.frames.count() == 50 and bytes(meta.user_data[0]) == b"hi" and heard[0] == (16, "crop") and heard[-1] == (100, "gain")
 
 
 def test_crop_pads_with_silence(sounds):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from reelquarry.functions.codecs import lz
+from reelquarry.operators import images
 from reelquarry.sources import archive, chunks, mpeg, player, register, wave
 
 
@@ -69,7 +70,7 @@ def test_wave_write(sources, tmp_path):
     assert wave.parse((tmp_path / "t.wav").read_bytes())[1][:, 1].tolist() == [10] * 3 + [11] * 3 + [12] * 3
 
 
-@pytest.mark.parametrize(("encoding", "n"), [(0, 0), (0, 700), (29, 700)])
+@pytest.mark.parametrize(("encoding", "n"), [(0, 0), (0, 700), (29, 700), (10, 0), (10, 700)])
 def test_chunk_stream(sources, tmp_path, encoding, n):
     x = (3000 * np.sin(np.arange(n)[:, None] / np.array([9, 15]))).astype(np.int16)
     (tmp_path / "s.asf").write_bytes(chunks.build(x, 32000, 256, encoding))
@@ -122,7 +123,7 @@ def blocks(spark):
     return spark.createDataFrame(rows, "name string, sample_rate int, channel int, blk long, samples array<int>").coalesce(1)
 
 
-@pytest.mark.parametrize("encoding", [0, 29])
+@pytest.mark.parametrize("encoding", [0, 10, 29])
 def test_chunk_stream_write(sources, blocks, tmp_path, encoding):
     blocks.write.format("assetstream").mode("append").option("encoding", str(encoding)).option("frames", "128").save(str(tmp_path))
     got = sources.read.format("assetstream").load(str(tmp_path)).orderBy("channel", "seq").collect()
@@ -184,3 +185,40 @@ def test_archive_to_folder(sources, tmp_path):
 def test_strict_sync():
     frame = (0xFFFB9000).to_bytes(4, "big") + b"\0" * 413
     assert mpeg.strict_sync(b"ID3" + frame * 7) == 3 and mpeg.strict_sync(frame * 6) == -1 and mpeg.strict_sync(b"\xff" * 50) == -1
+
+
+def test_chunk_streams_arrive(sources, tmp_path):
+    """Files that come into a folder are read once each, up to their end markers."""
+    (tmp_path / "in").mkdir()
+    x = np.arange(300, dtype=np.int16)[:, None]
+    (tmp_path / "in/a.asf").write_bytes(chunks.build(x, 8000, 100, 0))
+
+    def run():
+        rows = sources.readStream.format("assetstream").load(str(tmp_path / "in"))
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sources.read.parquet(str(tmp_path / "out"))
+
+    assert run().count() == 3
+    (tmp_path / "in/b.asf").write_bytes(chunks.build(x, 8000, 150, 10))
+    out = run().orderBy("path", "seq").collect()
+    assert len(out) == 5 and sum((r.samples for r in out[:3]), []) == x[:, 0].tolist() and out[3].encoding == 10
+
+
+def test_images_load(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(pixels):
+        h, w, n = pixels.shape
+        part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6 if n == 4 else 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    image = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(2, 3, 4) * 9
+    (tmp_path / "a.png").write_bytes(png(image))
+    (tmp_path / "b.png").write_bytes(png(image[..., :3].copy()))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    out = images.load(spark, str(tmp_path)).collect()
+    assert len(out) == 12 and {(r.capable, r.a) for r in out if r.image_id.endswith("b.png")} == {(False, 255)}
+    assert {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in out if r.image_id.endswith("a.png")} == {(x, y): tuple(image[y, x].tolist()) for x in range(3) for y in range(2)}
