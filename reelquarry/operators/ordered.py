@@ -35,9 +35,37 @@ def fixed(x: Column, digits: int = 3) -> Column:
     return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
-def numbered(df: DataFrame, key: str, order: list[str], name: str = "n") -> DataFrame:
-    """df with each row's position in its stream, from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
+def numbered(df: DataFrame, key: str, order: list[str], name: str = "n", parts: int = 1) -> DataFrame:
+    """df with each row's position in its stream, from 0.
+
+    With parts > 1 streams too long for one task are dealt by ranges of the first order column: rows are counted in each range, and
+    the ranges before a row's own are added to its place in it. Rows of one key with one value of that column stay together.
+    """
+    if parts <= 1:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
+    place = F.unix_micros(order[0]) if dict(df.dtypes)[order[0]].startswith("timestamp") else F.col(order[0])
+    cuts = df.select(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    at = F.lit(0)
+    for c in sorted(set(cuts)):  # parts - 1 numbers at most
+        at = at + F.coalesce(place > c, F.lit(False)).cast("int")
+    rows = df.withColumn("__p", at)
+    sizes = rows.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
+    inside = F.row_number().over(Window.partitionBy(key, "__p").orderBy(*order))
+    joined = rows.withColumn("__i", inside).join(sizes, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn(name, (F.col("__b") + F.col("__i") - 1).cast("long")).drop("__p", "__k", "__q", "__b", "__i")
+
+
+def running_sum(df: DataFrame, key: str, value: str, name: str, step: int = 65536) -> DataFrame:
+    """df, streams numbered by n, with the sum of value up to each row and the stream's `total` and `frames`; no task holds more than `step` rows of a stream."""
+    rows = df.withColumn("__p", F.floor(F.col("n") / step))
+    sums = rows.groupBy(key, "__p").agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(key)
+    before = F.coalesce(F.sum("__s").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(key, "__p", before.alias("__b"), F.sum("__s").over(w).alias("total"), F.sum("__c").over(w).alias("frames"))
+    inside = F.sum(value).over(Window.partitionBy(key, "__p").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__i", inside).join(sums, [key, "__p"]).withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__b", "__i")
 
 
 #: Fixed values of the ADPCM formats: predictor pairs in 1/256.
@@ -173,13 +201,13 @@ def loudness_gain(buckets: DataFrame, keys: list[str]) -> DataFrame:
 
 def seek_table(df: DataFrame, key: str, size: str, points: int = 100) -> DataFrame:
     """Quantised byte positions of a stream of frames numbered by n, at each hundredth of its frames."""
-    w = Window.partitionBy(key)
-    cum = F.sum(size).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumns({"cum": cum, "total": F.sum(size).over(w), "frames": F.count(F.lit(1)).over(w)})
-    index = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    spine = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).select(key, "c", index.alias("point")).withColumn("n", F.floor(F.col("point") * F.col("c") / points).cast("long"))
+    rows = running_sum(df, key, size, "cum")
+    # A frame is the one of all points whose index it is; short streams have several points on a frame.
+    first = F.ceil(F.col("n") * points / F.col("frames"))
+    last = F.ceil((F.col("n") + 1) * points / F.col("frames")) - 1
     value = F.least(F.lit(255), F.floor(256 * F.col("cum") / F.col("total"))).cast("long")
-    return spine.join(rows.select(key, "n", "cum", "total"), [key, "n"]).select(key, "point", value.alias("position"))
+    point = F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("point")
+    return rows.where(last >= first).select(key, point, value.alias("position"))
 
 
 def matches_before(df: DataFrame, key: str, values: str, width: int = 3, window: int = 131071) -> DataFrame:

@@ -22,7 +22,7 @@ def test_chain(sounds, tmp_path):
     out = job.run(sounds, lambda percent, word: heard.append((percent, word)))
     meta = out.meta.first()
     assert (meta.sample_rate, meta.n_frames, meta.quality, meta.play_location, meta.loop_start) == (22050, 50, 70, 4096, None)
-    assert out.frames.count() == 50 and bytes(meta.user_data[0]) == b"hi" and heard[0] == (16, "crop") and heard[-1] == (100, "gain")
+    assert out.frames.count() == 50 and bytes(meta.user_data[0]) == b"hi" and heard[0] == (14, "crop") and heard[-1] == (100, "gain")
 
 
 def test_crop_pads_with_silence(sounds):

@@ -125,3 +125,17 @@ def test_textures_in_columns(spark):
     assert abs(int(first[3, 7, 0]) - 210) < 40 and first[..., 3].min() == 255
     c = spark.range(1).select(images.float_to_rgbe(F.lit(1.0), F.lit(0.5), F.lit(0.0)).alias("c"), images.float_to_rgbe(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("z")).first()
     assert tuple(c.c) == (128, 64, 0, 129) and tuple(c.z) == (0, 0, 0, 0)
+
+
+def test_numbers_and_sums_in_parts(spark):
+    rng = np.random.RandomState(4)
+    rows = [(int(k), int(t), i, int(v)) for i, (k, t, v) in enumerate(zip(rng.choice([1, 1, 1, 2], 500), rng.randint(0, 60, 500), rng.randint(0, 9, 500), strict=True))]
+    df = spark.createDataFrame([*rows, (3, None, 900, 1), (3, 5, 901, 1)], "k int, t int, i int, v int")
+    one = {(r.k, r.i): r.n for r in ordered.numbered(df, "k", ["t", "i"]).collect()}
+    assert {(r.k, r.i): r.n for r in ordered.numbered(df, "k", ["t", "i"], parts=7).collect()} == one
+    numbered = ordered.numbered(df, "k", ["t", "i"])
+    order = {k: sorted((n, i) for (a, i), n in one.items() if a == k) for k in (1, 2, 3)}
+    value = {r[2]: r[3] for r in rows} | {900: 1, 901: 1}
+    for r in ordered.running_sum(numbered, "k", "v", "cum", step=16).collect():
+        mine = order[r.k]
+        assert r.cum == sum(value[i] for n, i in mine if n <= r.n) and r.total == sum(value[i] for _, i in mine) and r.frames == len(mine)
