@@ -1,17 +1,22 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney model of order two.
+"""Language-model scoring with an interpolated modified Kneser-Ney model of order two or three.
 
-Counting: workers hash words to 64 bits and emit, for each shard, packed sorted arrays of the pairs (u, v) in a portion of
-text with their counts; Spark shuffles these blobs by shard, and each shard merges its own. Pairs are dealt by u;
-contexts that hold more than a fair share of all tokens, the beginning of texts among them, are dealt by u and v over
-several shards, so no shard grows with one word. A portion of text only touches the shards it has tokens for. Follower counts of contexts and continuation counts of words are merged the same way by word.
+Counting goes from the longest n-grams down. Workers hash words to 64 bits, count a portion of text at a time, and emit packed
+sorted arrays by shard; Spark shuffles them, and each shard merges its own. Shards are ranges of the n-gram's
+hash, so no word or context, however frequent, makes one of them larger than the others.
 
-Storage: each shard is a file of its sizes, sorted hashes and counts in the shared folder, renamed into place when complete, so
-that a task which runs twice leaves the same file. Workers map the files to memory; where the shared folder isn't a
-file system of the machine, they copy a shard to their own temporary folder when they first need it.
+Triples are counted first. The facts of pairs (their count, how many triples of count one, two and more follow, and in how many
+different triples they end) are then counted over the text again, with the triples' counts looked up in the shards
+written before. A portion that holds c of a triple's C occurrences adds c / C of it, so that all portions together add one; sums
+are rounded to the whole numbers that they are. Facts of words follow from the merged pairs, without the text.
 
-Scoring: P(v|u) = max(c(uv) - D(c), 0) / c(u) + g(u) P1(v), where P1 is the Kneser-Ney model of continuation counts,
-interpolated with 1 / (V + 1) for words that training doesn't know. An unknown context leaves P1. Texts begin in
-a context of their own and end with an end token, which counts as a token.
+Storage: each shard is a file of its sizes, sorted hashes and counts (a byte each, larger ones apart) in the shared folder,
+renamed into place when complete, so that a task which runs twice leaves the same file. Workers map the files to memory; where the
+shared folder isn't a file system of the machine, they copy a shard to their own temporary folder when they first need it.
+
+Scoring: P3(w|uv) = max(c(uvw) - D(c), 0) / c(uv) + g(uv) P2(w|v), where P2 and P1 are the same form over the numbers
+of different triples and pairs that end in (vw) and w, and P1 is interpolated with 1 / (V + 1) for words that training doesn't
+know. A context that training doesn't know leaves the next shorter one. With order two, P2 is the highest and counts occurrences. Texts
+begin in contexts of their own and end with an end token, which counts as a token.
 
 Defined results: null and empty texts hold the end token only; null ids count as crc32 0, so such rows are held out; repeated rows
 count as often as they are there; without training rows N and V are 0 and every token has probability 1.
@@ -23,7 +28,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +44,12 @@ from .shared import bound_batches, keep, new_folder, partitions
 U = np.uint64
 #: A word holds no space, so these can't be words.
 BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(b" end"))
-#: Tokens that a worker counts or scores together, and bytes of text that one shard counts.
-PORTION, SHARD_BYTES = 1_000_000, 8 << 20
-SHARDS_OF_TASK = 4
+#: Tokens that a worker counts or scores together, bytes of text that one shard counts, and shards that a task merges.
+PORTION, SHARD_BYTES, SHARDS_OF_TASK = 1_000_000, 8 << 20, 4
+ORDER = 3
+#: Columns of the facts: of a pair its count, triples of count 1, 2 and more after it, and triples that end in it; of a word its count,
+#: pairs that end in it, and the sum and classes of the pairs after it.
+PAIR_FACTS, WORD_FACTS = 5, 6
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -71,13 +79,42 @@ def _portions(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[np.nd
         yield held
 
 
-def _blobs(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    shard, *parts = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-    names = ["shard", "kind", "k", "n", "v", "c"]
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([kind] * len(shard), pa.string()), *[pa.array(p, pa.binary()) for p in parts]], names)
+class Portion:
+    """The distinct words, pairs and triples of some texts, each as places in the arrays of the shorter ones."""
+
+    def __init__(self, held: list[np.ndarray], order: int):
+        self.starts = np.cumsum([0, *map(len, held)])[:-1]
+        w = np.concatenate(held)
+        self.words, at = np.unique(np.append(w, BEGIN), return_inverse=True)
+        begin, at = at[-1], at[:-1]
+        before = np.concatenate([[begin], at[:-1]])
+        before[self.starts] = begin
+        size = len(self.words)
+        self.token_word = at
+        code = before * size + at
+        if order == 3:
+            code = np.append(code, begin * size + begin)  # the context in which texts begin
+        pairs, place, count = np.unique(code, return_inverse=True, return_counts=True)
+        self.v, self.w, self.count = pairs // size, pairs % size, count
+        self.token_pair = place[: len(at)]
+        if order == 3:
+            none = place[-1]
+            self.count[none] = len(held)
+            context = np.concatenate([[none], self.token_pair[:-1]])
+            context[self.starts] = none
+            triples, self.token_triple, self.triple_count = np.unique(context * len(pairs) + self.token_pair, return_inverse=True, return_counts=True)
+            self.context, self.pair = triples // len(pairs), triples % len(pairs)
+
+    def pair_keys(self) -> np.ndarray:
+        return pair_key(self.words[self.v], self.words[self.w])
+
+    def triple_keys(self, pairs: np.ndarray) -> np.ndarray:
+        return pair_key(pairs[self.context], self.words[self.w[self.pair]])
 
 
-BLOBS = "shard int, kind string, k binary, n binary, v binary, c binary"
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(u * U(0x9E3779B97F4A7C15) ^ mix(v + U(0xD6E8FEB86659FD93)))
 
 
 def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -86,48 +123,52 @@ def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=len(shard) > 0)
 
 
-def _words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+BLOBS = "shard int, k binary, v binary, c binary"
+
+
+def _blobs(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard that occurs in the sorted array, with the bytes of its part of one, two or three columns (the last may have several rows)."""
+    rows = [(s, *[np.ascontiguousarray(c[..., i:j]).tobytes() for c in columns]) for s, i, j in _runs(shard)]
+    to, *parts = zip(*rows, strict=True) if rows else ((), *[()] * len(columns))
+    parts = [*parts[:-1], *[[b""] * len(to)] * (3 - len(parts)), parts[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], ["shard", "k", "v", "c"])
+
+
+def _triples(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for held in _portions(batches, 0):
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        rows = [(s, h[i:j].tobytes(), b"", b"", c[i:j].astype("<u4").tobytes()) for s, i, j in _runs(shard_of(h, shards))]
-        yield _blobs(rows, "w")
+        p = Portion(held, 3)
+        key = p.triple_keys(p.pair_keys())
+        order = np.argsort(key)
+        yield _blobs(shard_of(key[order], shards), key[order], p.triple_count[order].astype("<u4"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], shards: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Pairs by shard: k distinct contexts, n their followers in this blob, v the followers, c the counts."""
-    hot_words = np.array(sorted(hot), U)
-    spread = np.array([hot[int(x)] for x in hot_words], np.int64)
+def _pairs(batches: Iterator[pa.RecordBatch], shards: int, folder: str, order: int) -> Iterator[pa.RecordBatch]:
     for held in _portions(batches, 0):
-        u = np.concatenate([np.concatenate([[BEGIN], x[:-1]]) for x in held])
-        word, at = np.unique(np.concatenate([u, *held]), return_inverse=True)
-        code, c = np.unique(at[: len(u)] * len(word) + at[len(u) :], return_counts=True)
-        u, v = code // len(word), code % len(word)
-        shard = shard_of(word, shards)
-        ways = np.ones(len(word), np.int64)
-        if len(hot_words):
-            where = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
-            ways = np.where(hot_words[where] == word, spread[where], 1)
-        to = (shard[u] + (word[v] % ways[u].astype(U)).astype(np.int64)) % shards
-        order = np.argsort(to, kind="stable")
-        u, v, c = u[order], v[order], c[order]
-        rows = []
-        for s, i, j in _runs(to[order]):
-            k, n = np.unique(u[i:j], return_counts=True)
-            rows.append((s, word[k].tobytes(), n.astype("<u4").tobytes(), word[v[i:j]].tobytes(), c[i:j].astype("<u4").tobytes()))
-        yield _blobs(rows, "p")
-
-
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple:
-    """Distinct keys with their values summed."""
+        p = Portion(held, order)
+        key = p.pair_keys()
+        facts = np.zeros((PAIR_FACTS, len(key)))
+        facts[0] = p.count
+        if order == 3:
+            total = _look_up(folder, "triples", shards, p.triple_keys(key), 1)[0]
+            share = p.triple_count / total
+            for k in (1, 2, 3):
+                mine = total == k if k < 3 else total >= 3
+                facts[k] = np.bincount(p.context[mine], share[mine], len(key))
+            facts[4] = np.bincount(p.pair, share, len(key))
+        by = np.argsort(key)
+        yield _blobs(shard_of(key[by], shards), p.words[p.v[by]], p.words[p.w[by]], facts[:, by])
+
+
+def _joined(table: pa.Table, column: str, kind: object) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of the first of each, and the sums of the rows of values."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], *[np.add.reduceat(v[order].astype(np.int64), first) if len(first) else v for v in values]
-
-
-def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(u * U(0x9E3779B97F4A7C15) ^ mix(v + U(0xD6E8FEB86659FD93)))
+    return keys[first], order[first], np.add.reduceat(values[:, order], first, axis=1) if len(first) else values
 
 
 def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -148,54 +189,83 @@ def _publish(folder: str, name: str, parts: list[np.ndarray]) -> None:
     fs.move(temporary, f"{path}/{name}")
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    """Word counts of one shard: all, and the most frequent ones for the choice of hot words."""
-    h, c = _summed(np.frombuffer(b"".join(table["k"].to_pylist()), U), np.frombuffer(b"".join(table["c"].to_pylist()), "<u4"))
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "k": [h.tobytes()], "c": [c.astype("<u8").tobytes()], "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
+def _shelve(folder: str, name: str, keys: np.ndarray, columns: np.ndarray) -> None:
+    """One shard's file: sizes, keys, large values, their places, and a byte for each value, 255 for a large one."""
+    over = [np.flatnonzero(c >= 255) for c in columns]
+    sizes = np.array([len(keys), *map(len, over)], "<u8")
+    large = [c[o].astype("<u8") for c, o in zip(columns, over, strict=True)]
+    _publish(folder, name, [sizes, keys, *large, *[o.astype("<u4") for o in over], *[np.minimum(c, 255).astype(np.uint8) for c in columns]])
+
+
+def _unshelved(data: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
+    """The columns' values for sorted keys; 0 for keys that the shard lacks."""
+    n, *over = data[: 8 * (columns + 1)].view("<u8").tolist()
+    cuts = np.cumsum([8 * (columns + 1), 8 * n, *[8 * m for m in over], *[4 * m for m in over], *[n] * columns])
+    part = lambda i: data[cuts[i] : cuts[i + 1]]
+    own = part(0).view(U)
+    place = np.minimum(np.searchsorted(own, keys), n - 1)
+    hit = own[place] == keys
+    out = np.zeros((columns, len(keys)), np.int64)
+    for c in range(columns):
+        out[c] = np.where(hit, part(1 + 2 * columns + c)[place], 0)
+        big = np.flatnonzero(out[c] == 255)
+        if len(big):
+            out[c, big] = part(1 + c).view("<u8")[np.searchsorted(part(1 + columns + c).view("<u4"), place[big])]
+    return out
+
 
+def _look_up(folder: str, kind: str, shards: int, keys: np.ndarray, columns: int) -> np.ndarray:
+    """Facts (columns, keys) of keys in any order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.zeros((columns, len(keys)), np.int64)
+    for s, i, j in _runs(shard_of(ordered, shards)):
+        data = _mapped(folder, f"{kind}-{s}")
+        if data is not None:
+            out[:, order[i:j]] = _unshelved(data, ordered[i:j], columns)
+    return out
 
-def _merge_pairs(table: pa.Table, folder: str, shards: int) -> pa.Table:
-    """Writes one shard of pairs; returns counts of counts, and blobs of follower and continuation counts by word."""
+
+def _classes(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((counts == n).sum()) for n in (1, 2, 3, 4)]
+
+
+def _merge_triples(table: pa.Table, folder: str) -> pa.Table:
+    """Writes one shard of triples; returns its counts of counts."""
+    shard = table["shard"][0].as_py()
+    keys, _, (counts,) = _summed(_joined(table, "k", U), _joined(table, "c", "<u4").astype(np.int64)[None])
+    _shelve(folder, f"triples-{shard}", keys, counts[None])
+    return pa.table({"numbers": pa.array([_classes(counts)], pa.list_(pa.int64()))})
+
+
+def _merge_pairs(table: pa.Table, folder: str, shards: int, order: int) -> pa.Table:
+    """Writes one shard of pairs; returns counts of counts, and blobs of the facts that its pairs add to words."""
     shard = table["shard"][0].as_py()
-    join = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
-    contexts, lengths = join("k", U), join("n", "<u4")
-    (u_words, u), (v_words, v) = np.unique(contexts, return_inverse=True), np.unique(join("v", U), return_inverse=True)
-    code, c = _summed(np.repeat(u, lengths) * len(v_words) + v, join("c", "<u4"))
-    u, v = code // len(v_words), code % len(v_words)
-    key = pair_key(u_words[u], v_words[v])
-    order = np.argsort(key)
-    small = np.minimum(c, 255).astype(np.uint8)[order]
-    over = order[c[order] >= 255]
-    _publish(folder, f"pairs-{shard}", [np.array([len(key), len(over)], "<u8"), key[order], key[over], c[over].astype("<u8"), small])
-    rows = []
-    followers = [np.bincount(u[c == n] if n < 3 else u[c >= 3], minlength=len(u_words)) for n in (1, 2, 3)]
-    for kind, words, values in (("u", u_words, followers), ("v", v_words, [np.bincount(v, minlength=len(v_words))])):
-        rows += [(kind, s, words[i:j].tobytes(), b"".join(x[i:j].astype("<u4").tobytes() for x in values), None) for s, i, j in _runs(shard_of(words, shards))]
-    rows.append(("n", shard, None, None, [int((c == n).sum()) for n in (1, 2, 3, 4)]))
-    kind, to, k, c, numbers = zip(*rows, strict=True)
-    return pa.table({"kind": pa.array(kind), "shard": pa.array(to, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
-
-
-def _merge_contexts(table: pa.Table, folder: str) -> pa.Table:
-    """Writes one shard of words: count, continuation count and follower counts; returns its counts of continuation counts."""
+    v, w = _joined(table, "k", U), _joined(table, "v", U)
+    facts = np.concatenate([np.frombuffer(c, np.float64).reshape(PAIR_FACTS, -1) for c in table["c"].to_pylist()], axis=1)
+    keys, first, facts = _summed(pair_key(v, w), facts)
+    v, w, facts = v[first], w[first], np.rint(facts).astype(np.int64)
+    _shelve(folder, f"pairs-{shard}", keys, facts)
+    own = np.flatnonzero(w != BEGIN)  # all but the context in which texts begin
+    v, w, counted, count = v[own], w[own], facts[4 if order == 3 else 0, own], facts[0, own]
+    one = np.zeros((2, WORD_FACTS, len(own)), np.int64)
+    one[0, 0], one[0, 1] = count, 1
+    one[1, 2], one[1, 3], one[1, 4], one[1, 5] = counted, counted == 1, counted == 2, counted >= 3
+    words, _, sums = _summed(np.concatenate([w, v]), np.concatenate(one, axis=1))
+    rows = [(s, words[i:j].tobytes(), np.ascontiguousarray(sums[:, i:j]).tobytes(), None) for s, i, j in _runs(shard_of(words, shards))]
+    to, k, c, numbers = zip(*rows, (shard, None, None, _classes(counted)), strict=True)
+    return pa.table({"shard": pa.array(to, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
+
+
+def _merge_words(table: pa.Table, folder: str) -> pa.Table:
+    """Writes one shard of words; returns its words, tokens, pairs, counts of the numbers of pairs, and how many of these are 3 or more."""
     shard = table["shard"][0].as_py()
-    keys, values = [], []
-    for kind, k, c in zip(table["kind"].to_pylist(), table["k"].to_pylist(), table["c"].to_pylist(), strict=True):
-        h = np.frombuffer(k, U)
-        full = np.zeros((5, len(h)), np.int64)
-        if kind == "w":
-            full[0] = np.frombuffer(c, "<u8")
-        elif kind == "v":
-            full[1] = np.frombuffer(c, "<u4")
-        else:
-            full[2:] = np.frombuffer(c, "<u4").reshape(3, -1)
-        keys.append(h)
-        values.append(full)
-    h, *columns = _summed(np.concatenate(keys), *np.concatenate(values, axis=1))
-    _publish(folder, f"words-{shard}", [np.array([len(h)], "<u8"), h, *[x.astype("<u8") for x in columns]])
-    continued = [int((columns[1] == n).sum()) for n in (1, 2, 3, 4)]
-    numbers = [int(columns[1].sum()), *continued, int((columns[1] >= 3).sum())]
-    return pa.table({"shard": pa.array([shard], pa.int32()), "numbers": pa.array([numbers], pa.list_(pa.int64()))})
+    facts = np.concatenate([np.frombuffer(c, np.int64).reshape(WORD_FACTS, -1) for c in table["c"].to_pylist()], axis=1)
+    keys, _, facts = _summed(_joined(table, "k", U), facts)
+    _shelve(folder, f"words-{shard}", keys, facts)
+    numbers = [int((facts[0] > 0).sum()), int(facts[0].sum()), int(facts[1].sum()), *_classes(facts[1]), int((facts[1] >= 3).sum())]
+    return pa.table({"numbers": pa.array([numbers], pa.list_(pa.int64()))})
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -208,78 +278,52 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 @dataclass
 class Model:
-    """What workers need besides the files. Hot words are at most 4 for each shard, as each holds a fair share of the tokens."""
+    """What workers need besides the files: some numbers, whatever the size of the text."""
 
     folder: str
     shards: int
+    order: int
     tokens: int
     words: int
-    documents: int
-    hot: dict[int, int]
-    pair_discounts: list[float] = field(default_factory=list)
-    word_discounts: list[float] = field(default_factory=list)
-    continuations: int = 0
-    floor: float = 0.0
+    continuations: int
+    floor: float
+    triple_discounts: list[float]
+    pair_discounts: list[float]
+    word_discounts: list[float]
 
     def score(self, held: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """For each text of the portion: tokens, known tokens, base score, score."""
-        starts = np.cumsum([0, *map(len, held)])[:-1]
-        v = np.concatenate(held)
-        u = np.concatenate([[BEGIN], v[:-1]])
-        u[starts] = BEGIN
-        word, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        facts = self._words(word)
-        code, pair = np.unique(at[: len(u)] * len(word) + at[len(u) :], return_inverse=True)
-        iu, iv = code // len(word), code % len(word)
-        d1, dw = np.array(self.pair_discounts), np.array(self.word_discounts)
-        cont = facts[1]
-        low = np.full(len(word), 1.0 / (self.words + 1))
+        p = Portion(held, self.order)
+        words = _look_up(self.folder, "words", self.shards, p.words, WORD_FACTS)
+        keys = p.pair_keys()
+        pairs = _look_up(self.folder, "pairs", self.shards, keys, PAIR_FACTS)
+        low = np.full(len(p.words), 1.0 / (self.words + 1))
         if self.continuations:
-            low = np.maximum(cont - dw[np.minimum(cont, 3)], 0) / self.continuations + self.floor / (self.words + 1)
-        total = np.where(word == BEGIN, self.documents, facts[0])
-        c = self._pairs(word, iu, iv, total[iu] > 0)
-        followed = facts[2:].sum(axis=0) > 0
-        spare = np.where(followed, (facts[2:] * d1[1:, None]).sum(axis=0) / np.maximum(total, 1), 1.0)
-        p = np.maximum(c - d1[np.minimum(c, 3)], 0) / np.maximum(total[iu], 1) + spare[iu] * low[iv]
-        logs = np.log10(p)[pair]
-        count = facts[0][at[len(u) :]]
+            low = _held_back(words[1], self.word_discounts) / self.continuations + self.floor / (self.words + 1)
+        counted = pairs[4] if self.order == 3 else pairs[0]
+        total, spare = words[2][p.v], _spare(words[3:], words[2], self.pair_discounts)[p.v]
+        found = _held_back(counted, self.pair_discounts) / np.maximum(total, 1) + spare * low[p.w]
+        if self.order == 3:
+            count = _look_up(self.folder, "triples", self.shards, p.triple_keys(keys), 1)[0]
+            known = pairs[1:4].sum(axis=0) > 0
+            total, spare = np.where(known, pairs[0], 0)[p.context], _spare(pairs[1:4], pairs[0], self.triple_discounts)[p.context]
+            found = _held_back(count, self.triple_discounts) / np.maximum(total, 1) + spare * found[p.pair]
+            logs = np.log10(found)[p.token_triple]
+        else:
+            logs = np.log10(found)[p.token_pair]
+        count = words[0][p.token_word]
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
-        add = lambda x: np.add.reduceat(x, starts)
-        return np.diff([*starts, len(v)]), add((count > 0).astype(np.int64)), add(base), add(logs)
-
-    def _words(self, word: np.ndarray) -> np.ndarray:
-        out = np.zeros((5, len(word)), np.int64)
-        for s, i, j in _runs(shard_of(word, self.shards)):
-            data = _mapped(self.folder, f"words-{s}")
-            if data is not None:
-                n = int(data[:8].view("<u8")[0])
-                keys, values = data[8 : 8 + 8 * n].view(U), data[8 + 8 * n :].view("<u8").reshape(5, n)
-                place = np.minimum(np.searchsorted(keys, word[i:j]), n - 1)
-                out[:, i:j] = np.where(keys[place] == word[i:j], values[:, place], 0)
-        return out
-
-    def _pairs(self, word: np.ndarray, iu: np.ndarray, iv: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Counts of the pairs; only known contexts are looked up."""
-        out = np.zeros(len(iu), np.int64)
-        hot = np.array([self.hot.get(x, 1) for x in word.tolist()], np.int64) if self.hot else np.ones(len(word), np.int64)
-        ask = np.flatnonzero(known)
-        key = pair_key(word[iu[ask]], word[iv[ask]])
-        to = (shard_of(word, self.shards)[iu[ask]] + (word[iv[ask]] % hot[iu[ask]].astype(U)).astype(np.int64)) % self.shards
-        order = np.lexsort((key, to))
-        key, to, ask = key[order], to[order], ask[order]
-        for s, i, j in _runs(to):
-            data = _mapped(self.folder, f"pairs-{s}")
-            if data is not None:
-                n, m = data[:16].view("<u8").tolist()
-                keys, over, counts, small = np.split(data[16:], np.cumsum([8 * n, 8 * m, 8 * m]))
-                keys, mine = keys.view(U), key[i:j]
-                place = np.minimum(np.searchsorted(keys, mine), n - 1)
-                c = np.where(keys[place] == mine, small[place], 0).astype(np.int64)
-                if m:
-                    big = c == 255
-                    c[big] = counts.view("<u8")[np.searchsorted(over.view(U), mine[big])]
-                out[ask[i:j]] = c
-        return out
+        add = lambda x: np.add.reduceat(x, p.starts)
+        return np.diff([*p.starts, len(count)]), add((count > 0).astype(np.int64)), add(base), add(logs)
+
+
+def _held_back(counts: np.ndarray, discount: list[float]) -> np.ndarray:
+    return np.maximum(counts - np.array(discount)[np.minimum(counts, 3)], 0)
+
+
+def _spare(classes: np.ndarray, total: np.ndarray, discount: list[float]) -> np.ndarray:
+    """Share of a context's probability that its shorter context gets; all of it for a context without followers."""
+    return np.where(classes.sum(axis=0) > 0, (classes * np.array(discount[1:])[:, None]).sum(axis=0) / np.maximum(total, 1), 1.0)
 
 
 _maps: dict[str, np.ndarray | None] = {}
@@ -306,37 +350,30 @@ def _mapped(folder: str, name: str) -> np.ndarray | None:
     return _maps[path]
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of all texts of docs."""
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of order 2 or 3 of all texts of docs."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    size, documents = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = max(6, -(-(size or 0) // SHARD_BYTES))
     folder = new_folder(spark, "model")
     # A task merges a few shards at most, however many there are.
     tasks = max(min(shards, partitions(spark)), -(-shards // SHARDS_OF_TASK))
     by_shard = lambda rows: rows.repartition(tasks, "shard").groupBy("shard")
-    by_word = by_shard(texts.mapInArrow(lambda it: _words(it, shards), BLOBS)).applyInArrow(
-        _merge_words, "shard int, k binary, c binary, words long, tokens long"
-    )
-    by_word = keep(by_word, "words")
-    tokens, words = by_word.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    fair = max(1.0, tokens / (4 * shards))
-    frequent = by_word.select("k", "c").mapInArrow(lambda it: _frequent(it, fair), "h binary, c long").collect()  # at most 4 for each shard
-    counts = {int.from_bytes(r.h, "little"): r.c for r in frequent} | ({int(BEGIN): documents} if documents >= fair else {})
-    hot = {h: min(shards, 1 + int(c / fair)) for h, c in counts.items()}
-    pairs = by_shard(texts.mapInArrow(lambda it: _pairs(it, shards, hot), BLOBS)).applyInArrow(
-        lambda t: _merge_pairs(t, folder, shards), "kind string, shard int, k binary, c binary, numbers array<long>"
-    )
-    pairs = keep(pairs, "pairs")
-    n1, n2, n3, n4 = _total(pairs.where("kind = 'n'"), 4)
-    of_words = pairs.where("kind <> 'n'").select("kind", "shard", "k", "c").unionByName(by_word.select(F.lit("w").alias("kind"), "shard", "k", "c"))
-    merged = keep(by_shard(of_words).applyInArrow(lambda t: _merge_contexts(t, folder), "shard int, numbers array<long>"), "numbers")
-    continuations, m1, m2, m3, m4, m3_up = _total(merged, 6)
-    low = discounts(m1, m2, m3, m4)
-    floor = (low[1] * m1 + low[2] * m2 + low[3] * m3_up) / continuations if continuations else 1.0
-    return Model(folder, shards, tokens, words, documents, hot, discounts(n1, n2, n3, n4), low, continuations, floor)
+    triples = [0] * 4
+    if order == 3:
+        found = by_shard(texts.mapInArrow(lambda it: _triples(it, shards), BLOBS))
+        triples = _total(keep(found.applyInArrow(lambda t: _merge_triples(t, folder), "numbers array<long>"), "triples"), 4)
+    found = by_shard(texts.mapInArrow(lambda it: _pairs(it, shards, folder, order), BLOBS))
+    pairs = keep(found.applyInArrow(lambda t: _merge_pairs(t, folder, shards, order), "shard int, k binary, c binary, numbers array<long>"), "pairs")
+    merged = by_shard(pairs.where("k is not null").select("shard", "k", "c")).applyInArrow(lambda t: _merge_words(t, folder), "numbers array<long>")
+    words, tokens, continuations, *m, m3_up = _total(keep(merged, "words"), 8)
+    low = discounts(*m)
+    floor = (low[1] * m[0] + low[2] * m[1] + low[3] * m3_up) / continuations if continuations else 1.0
+    return Model(folder, shards, order, tokens, words, continuations, floor, discounts(*triples), discounts(*_total(pairs, 4)), low)
 
 
 def _total(rows: DataFrame, n: int) -> list[int]:
@@ -344,14 +381,6 @@ def _total(rows: DataFrame, n: int) -> list[int]:
     return list(rows.agg(*[F.coalesce(F.sum(F.get("numbers", F.lit(i))), F.lit(0)) for i in range(n)]).first())
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], fair: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k, c in zip(b.column(0), b.column(1), strict=True):
-            h, n = np.frombuffer(k.as_py(), U), np.frombuffer(c.as_py(), "<u8")
-            h, n = h[n >= fair], n[n >= fair]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in h], pa.binary()), pa.array(n.astype(np.int64))], ["h", "c"])
-
-
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     rest, held, size = [], [], 0
 

@@ -135,33 +135,40 @@ def test_bpe_random_words():
         assert np.frombuffer(c.ids(found), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def plain_kn(train, texts):
-    """Interpolated modified Kneser-Ney of order two with dictionaries."""
+def plain_kn(train, texts, order=3):
+    """Interpolated modified Kneser-Ney with dictionaries: counts of the longest n-grams, below them numbers of different longer ones."""
     tokens = lambda t: [*(t or "").encode().lower().split(), "END"]
-    uni, pairs = Counter(), Counter()
-    for t in train:
-        uni.update(tokens(t))
-        pairs.update(zip(["BEGIN", *tokens(t)[:-1]], tokens(t), strict=True))
+
+    def grams(t):
+        w = ["BEGIN"] * (order - 1) + tokens(t)
+        return [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+
+    uni, levels = Counter(x for t in train for x in tokens(t)), [Counter(g for t in train for g in grams(t))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels = levels[::-1]  # by length of the n-gram, the shortest first
     n, v = sum(uni.values()), len(uni)
-    cont = Counter(b for _, b in pairs)
-    total, follow = Counter(), defaultdict(Counter)
-    for (a, _), c in pairs.items():
-        total[a] += c
-        follow[a][min(c, 3)] += 1
-    d = kneser_ney.discounts(*(sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)))
-    e = kneser_ney.discounts(*(sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)))
-    s = sum(cont.values())
-    floor = sum(e[min(c, 3)] for c in cont.values()) / s
-    low = lambda b: max(cont[b] - e[min(cont[b], 3)], 0) / s + floor / (v + 1)
+    d = [kneser_ney.discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in levels]
+    total, follow = [Counter() for _ in levels], [defaultdict(Counter) for _ in levels]
+    for i, x in enumerate(levels):
+        for g, c in x.items():
+            total[i][g[:-1]] += c
+            follow[i][g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        i, context = len(g) - 1, g[:-1]
+        if not total[i][context]:
+            return p(g[1:])
+        c = levels[i][g]
+        spare = sum(d[i][k] * m for k, m in follow[i][context].items())
+        return (max(c - d[i][min(c, 3)], 0) + spare * p(g[1:])) / total[i][context]
+
     out = []
     for t in texts:
-        base = score = 0.0
-        for a, b in zip(["BEGIN", *tokens(t)[:-1]], tokens(t), strict=True):
-            base += math.log10((uni[b] + 0.1) / (n + 0.1 * (v + 1)))
-            c = pairs[(a, b)]
-            p = low(b) if not total[a] else max(c - d[min(c, 3)], 0) / total[a] + sum(d[k] * m for k, m in follow[a].items()) / total[a] * low(b)
-            score += math.log10(p)
-        out.append((len(tokens(t)), sum(uni[x] > 0 for x in tokens(t)), n, base, score))
+        base = sum(math.log10((uni[b] + 0.1) / (n + 0.1 * (v + 1))) for b in tokens(t))
+        out.append((len(tokens(t)), sum(uni[x] > 0 for x in tokens(t)), n, base, sum(math.log10(p(g)) for g in grams(t))))
     return out
 
 
@@ -170,7 +177,7 @@ def test_kneser_ney_equals_dictionaries(spark):
     import zlib
 
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
-    want = plain_kn([t for i, t in rows if not held[i]], [t for _, t in rows])
+    want = plain_kn([t for i, t in rows if not held[i]], [t for _, t in rows], kneser_ney.ORDER)
     got = {r.doc_id: r for r in kneser_ney.op10_kneser_ney(spark, SF).collect()}
     for (i, _), (n, known, total, base, score) in zip(rows, want, strict=True):
         r = got[i]
@@ -178,22 +185,26 @@ def test_kneser_ney_equals_dictionaries(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
-def test_kneser_ney_hot_word_and_sums(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_over_many_portions(spark, monkeypatch, order):
+    """Counts over 255, short and empty texts, a frequent word and context, portions that share most n-grams."""
     monkeypatch.setattr(kneser_ney, "PORTION", 500)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 2000)
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["the", "the", f"w{rng.randrange(300)}"]) for _ in range(60)) for _ in range(120)] + [" ".join(["the x"] * 300)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = kneser_ney.train(docs)
-    assert model.hot and max(model.hot.values()) > 1
-    got = [r.score for r in kneser_ney.score(docs, model).orderBy("doc_id").collect()]
-    assert got == pytest.approx([x[4] for x in plain_kn(texts, texts)], rel=1e-9)
+    texts = [" ".join(rng.choice(["the", "the", f"w{rng.randrange(300)}"]) for _ in range(60)) for _ in range(120)] + [" ".join(["the x"] * 300)] + ["", None, "the", "A b", "a B"] * 60
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    model = kneser_ney.train(docs, order)
+    ask = [*texts, "the never-seen the", "w1 w2 w3 never seen", "never"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string")
+    got = [r.score for r in kneser_ney.score(rows, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx([x[4] for x in plain_kn(texts, ask, order)], rel=1e-9)
     # After a known context the probabilities of all words and of one unknown word add up to 1.
-    words = sorted({w for t in texts for w in t.split()})
-    ask = spark.createDataFrame([(i, f"the {w}") for i, w in enumerate([*words, "never-seen"])] + [(-1, "the")], "doc_id long, text string")
-    hashes = [kneser_ney.token_hashes(r.text) for r in ask.collect()]
-    alone = lambda h: [model.score([h[: k + 1]])[3][0] for k in range(2)]
-    p = sum(10 ** (alone(h)[1] - alone(h)[0]) for h in hashes)
-    assert p == pytest.approx(1.0, abs=1e-6)
+    words = sorted({w.lower() for t in texts for w in (t or "").split()})
+    for context in ("the", "the x", "a b"):
+        k = len(context.split())
+        hashes = [kneser_ney.token_hashes(f"{context} {w}") for w in [*words, "never-seen"]] + [kneser_ney.token_hashes(context)]
+        alone = lambda h: 10 ** (model.score([h[: k + 1]])[3][0] - model.score([h[:k]])[3][0])
+        assert sum(map(alone, hashes)) == pytest.approx(1.0, abs=1e-6)
 
 
 def test_kneser_ney_on_odd_rows(odd, odd_rows, empty):
