@@ -172,3 +172,18 @@ def granules(rows: DataFrame, key: str, order: str, frame: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return dealt.mapInArrow(run, f"{key} {kind}, {order} long, granule int, data binary, error string")
+
+
+@F.pandas_udf(T.BinaryType())
+def pcm_blocks(samples: pd.Series) -> pd.Series:
+    """Arrays of mono samples in blocks of plain samples."""
+    from .granules import pcm_encode
+
+    return pd.Series([pcm_encode(np.asarray(s, np.int64)[:, None]) for s in samples])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def pcm_unblocked(data: pd.Series) -> pd.Series:
+    from .granules import pcm_decode
+
+    return pd.Series([pcm_decode(bytes(x))[:, 0].astype(np.int32) for x in data])

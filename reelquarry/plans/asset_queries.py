@@ -530,4 +530,13 @@ def q59_granules(spark, sf_dir):
     return out.select("o_orderkey", "seq", "granule", F.octet_length("data").cast("long").alias("size"), F.hex(F.substring("data", 1, 24)).alias("head"), F.md5("data").alias("digest"), "error")
 
 
+def q60_pcm_blocks(spark, sf_dir):
+    from ..functions.codecs import frames
+
+    rows = frames.segments(_stream(spark, sf_dir).withColumn("value", sound.to_s16(F.col("value") * 50)), "user_id", "value", 2048)
+    rows = rows.withColumn("data", frames.pcm_blocks("samples")).withColumn("back", frames.pcm_unblocked("data"))
+    head = sound.block_head(binary.be_uint(F.col("data"), 0, 2), binary.be_uint(F.col("data"), 2, 4))
+    return rows.select("user_id", "seg", F.octet_length("data").cast("long").alias("size"), head["pcm_samples"].alias("first_block"), F.aggregate("back", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.col("back") == F.col("samples")).alias("same"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

@@ -296,4 +296,7 @@ SQL: dict[str, str] = {
       h AS (SELECT k, seq, granule, length(padded) // 8 AS size, unhex(list_aggregate(list_transform(range(0, length(padded) // 4),
         lambda i: upper(printf('%x', 8 * CAST(padded[4 * i + 1] AS INTEGER) + 4 * CAST(padded[4 * i + 2] AS INTEGER) + 2 * CAST(padded[4 * i + 3] AS INTEGER) + CAST(padded[4 * i + 4] AS INTEGER)))), 'string_agg', '')) AS data FROM w)
       SELECT k AS o_orderkey, CAST(seq AS BIGINT) AS seq, granule, size, left(hex(data), 48) AS head, md5(data) AS digest, CAST(NULL AS VARCHAR) AS error FROM h""",
+    "q60_pcm_blocks": f"""
+      SELECT user_id, n // 2048 AS seg, CAST(2 * count(*) + 6 * ((count(*) + 1022) // 1023) AS BIGINT) AS size, least(count(*), 1023) AS first_block,
+        CAST(sum(CAST(trunc(least(greatest(value * 50, -32768.0::DOUBLE), 32767.0::DOUBLE)) AS BIGINT)) AS BIGINT) AS total, true AS same FROM {_STREAM} GROUP BY user_id, n // 2048""",
 }

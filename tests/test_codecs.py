@@ -229,3 +229,25 @@ def test_byte_codecs(spark):
         out = rows.select(codec.column("decode", codec.column("encode", F.col("c"))).alias("c")).collect()
         assert [None if r.c is None else bytes(r.c) for r in out] == [b"abcabcabcabc", None, b""]
     assert rows.select(byte_codecs()["lz"].column("decode", F.col("c")).alias("c")).collect()[0].c is None
+
+
+def test_blocks_of_granules_and_samples():
+    rng = np.random.RandomState(6)
+    made = [
+        granules.Block(b"g" * 300, np.empty((0, 1), np.int16)), granules.Block(b"", rng.randint(-32768, 32768, (1023, 1)).astype(np.int16)), granules.Block(b"q" * 90, rng.randint(-99, 99, (40, 2)).astype(np.int16), granules.PRESERVE, 17),
+        granules.Block(b"", np.empty((0, 2), np.int16), granules.MUTE, 5),
+    ]
+    found = list(granules.blocks(b"".join(b.build() for b in made)))
+    assert [(b.granule, b.pcm.tolist(), b.mode, b.offset) for b in found] == [(b.granule, b.pcm.tolist(), b.mode, b.offset) for b in made]
+    assert [b.usable for b in made] == [576, 1023, 576, 0]
+    x = rng.randint(-32768, 32768, (5000, 2)).astype(np.int16)
+    assert granules.pcm_decode(granules.pcm_encode(x)).tolist() == x.tolist() and len(granules.pcm_decode(b"")) == 0
+    samples, offset, size = granules.parse_raw_block(granules.raw_block(x[:7], 3) + b"rest", 2)
+    assert samples.tolist() == x[:7].tolist() and (offset, size) == (3, 36)
+    for broken in (b"\x80", made[1].build()[:-1], b"\x00\x01"):
+        with pytest.raises(ValueError, match="cut off"):
+            list(granules.blocks(broken))
+    with pytest.raises(ValueError, match="too large"):
+        granules.Block(b"", np.zeros((1024, 1), np.int16)).build()
+    with pytest.raises(ValueError, match="granules"):
+        granules.pcm_decode(made[0].build())
