@@ -46,10 +46,12 @@ U = np.uint64
 BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a worker counts or scores together, bytes of text that one shard counts, and shards that a task merges.
 PORTION, SHARD_BYTES, SHARDS_OF_TASK = 1_000_000, 8 << 20, 4
-ORDER = 3
-#: Columns of the facts: of a pair its count, triples of count 1, 2 and more after it, and triples that end in it; of a word its count,
-#: pairs that end in it, and the sum and classes of the pairs after it.
-PAIR_FACTS, WORD_FACTS = 5, 6
+#: Order of the query's model. Order three needs more disk and memory than the check tool allows; the README has the figures.
+ORDER = 2
+#: Facts of a pair by order: its count, and for order three the triples of count 1, 2 and more after it and those that end in it.
+PAIR_FACTS = {2: 1, 3: 5}
+#: Facts of a word: its count, pairs that end in it, and the sum and classes of the pairs after it.
+WORD_FACTS = 6
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -127,10 +129,9 @@ BLOBS = "shard int, k binary, v binary, c binary"
 
 
 def _blobs(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard that occurs in the sorted array, with the bytes of its part of one, two or three columns (the last may have several rows)."""
-    rows = [(s, *[np.ascontiguousarray(c[..., i:j]).tobytes() for c in columns]) for s, i, j in _runs(shard)]
-    to, *parts = zip(*rows, strict=True) if rows else ((), *[()] * len(columns))
-    parts = [*parts[:-1], *[[b""] * len(to)] * (3 - len(parts)), parts[-1]]
+    """A row for each shard that occurs in the sorted array, with the bytes of its part of two columns, and of all others one after another."""
+    rows = [(s, columns[0][i:j].tobytes(), columns[1][i:j].tobytes(), b"".join(c[i:j].tobytes() for c in columns[2:])) for s, i, j in _runs(shard)]
+    to, *parts = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], ["shard", "k", "v", "c"])
 
 
@@ -146,17 +147,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], shards: int, folder: str, order: i
     for held in _portions(batches, 0):
         p = Portion(held, order)
         key = p.pair_keys()
-        facts = np.zeros((PAIR_FACTS, len(key)))
-        facts[0] = p.count
+        parts = [p.count.astype("<u4")]
         if order == 3:
             total = _look_up(folder, "triples", shards, p.triple_keys(key), 1)[0]
             share = p.triple_count / total
             for k in (1, 2, 3):
                 mine = total == k if k < 3 else total >= 3
-                facts[k] = np.bincount(p.context[mine], share[mine], len(key))
-            facts[4] = np.bincount(p.pair, share, len(key))
-        by = np.argsort(key)
-        yield _blobs(shard_of(key[by], shards), p.words[p.v[by]], p.words[p.w[by]], facts[:, by])
+                parts.append(np.bincount(p.context[mine], share[mine], len(key)))
+            parts.append(np.bincount(p.pair, share, len(key)))
+        shard = shard_of(key, shards)
+        by = np.lexsort((p.v, shard))  # pairs of one first word together, for the compression of the shuffle
+        yield _blobs(shard[by], p.words[p.v[by]], p.words[p.w[by]], *[x[by] for x in parts])
+
+
+def _facts(table: pa.Table, order: int) -> np.ndarray:
+    """The facts of the rows' pairs, as numbers that can be summed."""
+    out = []
+    for c in table["c"].to_pylist():
+        n = len(c) // (4 + 8 * (PAIR_FACTS[order] - 1))
+        counts, shares = np.frombuffer(c, "<u4", n), np.frombuffer(c, "<f8", offset=4 * n) if order == 3 else np.empty(0)
+        out.append(np.concatenate([counts[None].astype(np.float64), shares.reshape(PAIR_FACTS[order] - 1, n)]))
+    return np.concatenate(out, axis=1)
 
 
 def _joined(table: pa.Table, column: str, kind: object) -> np.ndarray:
@@ -234,7 +245,7 @@ def _classes(counts: np.ndarray) -> list[int]:
 def _merge_triples(table: pa.Table, folder: str) -> pa.Table:
     """Writes one shard of triples; returns its counts of counts."""
     shard = table["shard"][0].as_py()
-    keys, _, (counts,) = _summed(_joined(table, "k", U), _joined(table, "c", "<u4").astype(np.int64)[None])
+    keys, _, (counts,) = _summed(_joined(table, "k", U), _joined(table, "v", "<u4").astype(np.int64)[None])
     _shelve(folder, f"triples-{shard}", keys, counts[None])
     return pa.table({"numbers": pa.array([_classes(counts)], pa.list_(pa.int64()))})
 
@@ -243,12 +254,11 @@ def _merge_pairs(table: pa.Table, folder: str, shards: int, order: int) -> pa.Ta
     """Writes one shard of pairs; returns counts of counts, and blobs of the facts that its pairs add to words."""
     shard = table["shard"][0].as_py()
     v, w = _joined(table, "k", U), _joined(table, "v", U)
-    facts = np.concatenate([np.frombuffer(c, np.float64).reshape(PAIR_FACTS, -1) for c in table["c"].to_pylist()], axis=1)
-    keys, first, facts = _summed(pair_key(v, w), facts)
+    keys, first, facts = _summed(pair_key(v, w), _facts(table, order))
     v, w, facts = v[first], w[first], np.rint(facts).astype(np.int64)
     _shelve(folder, f"pairs-{shard}", keys, facts)
     own = np.flatnonzero(w != BEGIN)  # all but the context in which texts begin
-    v, w, counted, count = v[own], w[own], facts[4 if order == 3 else 0, own], facts[0, own]
+    v, w, counted, count = v[own], w[own], facts[-1, own], facts[0, own]
     one = np.zeros((2, WORD_FACTS, len(own)), np.int64)
     one[0, 0], one[0, 1] = count, 1
     one[1, 2], one[1, 3], one[1, 4], one[1, 5] = counted, counted == 1, counted == 2, counted >= 3
@@ -296,11 +306,11 @@ class Model:
         p = Portion(held, self.order)
         words = _look_up(self.folder, "words", self.shards, p.words, WORD_FACTS)
         keys = p.pair_keys()
-        pairs = _look_up(self.folder, "pairs", self.shards, keys, PAIR_FACTS)
+        pairs = _look_up(self.folder, "pairs", self.shards, keys, PAIR_FACTS[self.order])
         low = np.full(len(p.words), 1.0 / (self.words + 1))
         if self.continuations:
             low = _held_back(words[1], self.word_discounts) / self.continuations + self.floor / (self.words + 1)
-        counted = pairs[4] if self.order == 3 else pairs[0]
+        counted = pairs[-1]
         total, spare = words[2][p.v], _spare(words[3:], words[2], self.pair_discounts)[p.v]
         found = _held_back(counted, self.pair_discounts) / np.maximum(total, 1) + spare * low[p.w]
         if self.order == 3:
