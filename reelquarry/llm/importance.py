@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, keep
+from .shared import aside, bound_batches, keep
 
 BITS = 18
 SIZE = 1 << BITS
@@ -114,7 +114,8 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     few = judged.where(F.col("good") & (F.pmod(F.xxhash64("doc_id"), F.lit(GRAIN)) < share)).select("doc_id")
     target = model(texts.join(F.broadcast(few), "doc_id", "left_semi").select("text"))  # about TARGET ids at most, so no text moves
     ratio = docs.sparkSession.sparkContext.broadcast(target - raw if n_good else np.zeros(SIZE))  # a number for each bucket
-    own = [c for c in docs.columns if c not in ("text", "n_ngrams", "log_weight", "gumbel_key", "kept")]
+    docs, names = aside(docs, "doc_id", "text")
+    own = [new for c, new in names.items() if c not in ("text", "n_ngrams", "log_weight", "gumbel_key", "kept")]
     noise = F.xxhash64("doc_id", "text").alias("__noise")
     rows = docs.select(F.col("text").cast("string").alias("text"), *own, noise)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
@@ -124,7 +125,8 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     n = keyed.count()
     k = min(n, k if k is not None else round(n * n_good / n_judged) if n_judged else n)
     last = kth_largest(keyed, "__key", k) if k else 1 << 60
-    return keyed.select(*own, "n_ngrams", "log_weight", "gumbel_key", (F.col("__key") >= last).alias("kept"))
+    back = {new: c for c, new in names.items()}
+    return keyed.select(*[F.col(new).alias(back[new]) for new in own], "n_ngrams", "log_weight", "gumbel_key", (F.col("__key") >= last).alias("kept"))
 
 
 def op3_importance_resampling(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import hex_number, let
-from .shared import hot_keys, keep, spread_join
+from .shared import aside, hot_keys, keep, spread_join
 
 #: Characters from which a chunk counts as a passage.
 LEAST_CHARS = 40
@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, copies_from: float | None = None) -> DataFrame:
     copies_from: documents that would lose this share of their characters or more stay whole: they are copies of
     documents rather than documents with a passage, and whole copies are for near-duplicate detection to judge.
     """
-    keyed, gone = removals(docs)
+    own, names = aside(docs, "doc_id", "text")
+    keyed, gone = removals(own)
     of_doc = (F.col(KEY) == F.col(OTHER)) & F.col("doc_id").eqNullSafe(F.col(ID))
 
     def rest(lines: Column) -> Column:
@@ -129,7 +130,7 @@ def dedup_lines(docs: DataFrame, copies_from: float | None = None) -> DataFrame:
     if copies_from is not None:
         cut = cut & (total("chars") < copies_from * F.length("text"))
     return keyed.join(gone, of_doc, "left").select(
-        *[F.when(cut, let(lines_of(F.col("text")), rest)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ADDED],
+        *[F.when(cut, let(lines_of(F.col("text")), rest)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(new).alias(c) for c, new in names.items() if c not in ADDED],
         F.coalesce(n_lines(F.col("text")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(cut, total("n")).otherwise(0).cast("long").alias("n_lines_removed"),
         F.when(cut, F.size(GONE)).otherwise(0).cast("long").alias("n_chunks_removed"),

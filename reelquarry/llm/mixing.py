@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import hex_number, word_count
-from .shared import keep
+from .shared import aside, keep
 
 WEIGHTS = (5, 2, 1)
 LEVELS, LEVEL_BITS = 4, 13
@@ -91,13 +91,14 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes the document. Columns of docs with these names are replaced."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    with_sizes = sized(docs)
+    renamed, names = aside(docs, "doc_id", "text", "source")
+    own = {c: new for c, new in names.items() if c not in ("size", "source_size", "target", "copies")}
+    with_sizes = sized(renamed)
     rows = keep(with_sizes.select("source", F.col(SIZE).alias("size"), F.col(HASH).alias("hash")), "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most)
     ends = thresholds(rows, plan).withColumnsRenamed({"source": SOURCE, "rounds": "__rounds", "last": "__last"})
-    joined = with_sizes.select(*own, SIZE, HASH).join(ends, F.col("source").eqNullSafe(F.col(SOURCE)))
-    return joined.select(*own, F.col(SIZE).alias("size"), "source_size", "target", copies(F.col(HASH), F.col(SIZE)).alias("copies"))
+    joined = with_sizes.select(*own.values(), SIZE, HASH).join(ends, F.col("source").eqNullSafe(F.col(SOURCE)))
+    return joined.select(*[F.col(new).alias(c) for c, new in own.items()], F.col(SIZE).alias("size"), "source_size", "target", copies(F.col(HASH), F.col(SIZE)).alias("copies"))
 
 
 def copies(hashed: Column, size: Column) -> Column:
@@ -107,7 +108,7 @@ def copies(hashed: Column, size: Column) -> Column:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with docs' own columns."""
-    own = docs.select(*[F.col(c).alias(f"__{i}") if c not in ("doc_id", "text", "source") else F.col(c) for i, c in enumerate(docs.columns)])
+    own, _ = aside(docs, "doc_id", "text", "source")
     out = mix(own)
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return out.where("copies > 0").select(*own.columns, times.alias("__copy")).drop("__copy").toDF(*docs.columns)

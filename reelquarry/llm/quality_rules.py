@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import SPACES, hex_number, let, words
-from .shared import keep
+from .shared import aside, keep
 
 #: Labelled documents that the toxic words are learned from, on average at most: those whose ids have the smallest hashes.
 LABELLED, GRAIN = 20_000, 1 << 32
@@ -133,10 +133,11 @@ def _found(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def _measured(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
-    """docs with a struct of the measurements; every text is split once."""
+def _measured(docs: DataFrame, vocabulary: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """docs under other names with a struct of the measurements, and the names; every text is split once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = let(_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    docs, names = aside(docs, "text")
     both = docs.withColumns({"__w": let(words(text), lambda w: _word_measures(w, vocabulary)), "__l": n_lines})
     values = {
         "n_words": F.col("__w.n_words"), "word_chars": F.col("__w.word_chars"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
@@ -144,17 +145,18 @@ def _measured(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
         "n_lines": F.col("__l.n").cast("long"), "n_upper": F.regexp_count(text, F.lit("[A-Z]")).cast("long"), "n_shouts": _found(text, "!!"),
         "n_broken": _found(text, "\ufffd"), "n_toxic": F.col("__w.n_toxic"),
     }
-    return both.select(*docs.columns, F.struct(*[v.alias(k) for k, v in values.items()]).alias(MEASURES))
+    measures = F.struct(*[v.alias(k) for k, v in values.items()])
+    return both.select(*docs.columns, measures.alias(MEASURES)), names
 
 
 def measure(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
     """docs with the measurements that the rules use, in place of columns of these names. vocabulary: the toxic words."""
-    return _opened(_measured(docs, vocabulary), docs.columns)
+    return _opened(*_measured(docs, vocabulary))
 
 
-def _opened(rows: DataFrame, own: list[str], *more: str) -> DataFrame:
-    names = rows.schema[MEASURES].dataType.names
-    return rows.select(*[c for c in own if c not in (*names, *more)], f"{MEASURES}.*", *more)
+def _opened(rows: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    found = rows.schema[MEASURES].dataType.names
+    return rows.select(*[F.col(new).alias(c) for c, new in names.items() if c not in (*found, *more)], f"{MEASURES}.*", *more)
 
 
 def _c(name: str) -> Column:
@@ -196,8 +198,8 @@ def _bits() -> Column:
 
 def ledger(docs: DataFrame, vocabulary: Sequence[str] = ()) -> DataFrame:
     """docs with the measurements and `failed_bits`: bit BIT[rule] is set where the document fails the rule. vocabulary: the toxic words."""
-    rows = _measured(docs.drop("failed_bits"), vocabulary).withColumn("failed_bits", _bits())
-    return _opened(rows, [c for c in docs.columns if c != "failed_bits"], "failed_bits")
+    rows, names = _measured(docs, vocabulary)
+    return _opened(rows.withColumn("failed_bits", _bits()), names, "failed_bits")
 
 
 def fails(policy: Policy, bits: str = "failed_bits") -> Column:
@@ -207,7 +209,8 @@ def fails(policy: Policy, bits: str = "failed_bits") -> Column:
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD, vocabulary: Sequence[str] = ()) -> DataFrame:
     """The documents that pass the policy, with their own columns only. vocabulary: the toxic words."""
-    return _measured(docs, vocabulary).withColumn("__bits", _bits()).where(~fails(policy, "__bits")).select(*docs.columns)
+    rows, names = _measured(docs, vocabulary)
+    return rows.withColumn("__bits", _bits()).where(~fails(policy, "__bits")).select(*[F.col(new).alias(c) for c, new in names.items()])
 
 
 def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:

@@ -65,6 +65,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but the needed ones renamed, so that no working column meets them, and the new name of each of docs' columns."""
+    names = {c: c if c in needed else f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 #: Rows of one key that a join leaves to one task, and keys of more rows that are broadcast at most; more of these are joined.
 SPREAD, HOT_KEYS = 512, 200_000
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sqlcheck import check
 
-from reelquarry.llm import catalogue, line_dedup, mixing, quality_rules, shared
+from reelquarry.llm import catalogue, importance, line_dedup, minhash, mixing, quality_rules, shared
 from reelquarry.llm.oracles import SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,3 +185,12 @@ def test_mix_on_odd_rows(odd, odd_rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
     null = empty.unionByName(odd.select(*empty.columns).where("text is null"))
     assert [r.copies * r["size"] for r in mixing.mix(null).collect()] == [0, 0]
+
+
+def test_columns_named_like_working_ones_stay(odd, odd_rows, empty):
+    taken = ["__key", "__chunks", "__gone", "__id", "__other", "__spans", "__size", "__hash", "__source", "__rounds", "__last", "__measures", "__w", "__l", "__bits", "__noise", "__copy", "__own3", "__salt", "__ways", "h", "m", "at", "first"]
+    clash = odd.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"'mine' as `{c}`" for c in taken])
+    labels = odd.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    for out in (line_dedup.dedup_lines(clash), mixing.mix(clash), mixing.mixed_documents(clash), quality_rules.ledger(clash), quality_rules.filter_documents(clash), importance.select(clash, labels), minhash.keep_one(clash)):
+        rows = out.collect()
+        assert set(taken) <= set(out.columns) and rows and all(r[c] == "mine" for r in rows for c in taken)
