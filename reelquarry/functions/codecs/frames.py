@@ -114,39 +114,29 @@ def resampled(x: np.ndarray, old: int, new: int, first: int = 0, last: int | Non
     return ((2 * b - 2 * c + m0 + m1) * f + (3 * c - 3 * b - 2 * m0 - m1)) * f * f + m0 * f + b
 
 
-def resample_streams(rows: DataFrame, key: str, sample: str, old: int, new: int) -> DataFrame:
-    """Streams numbered by n, at another rate: key, seg, samples. Pieces overlap by what the filter reaches, so they join without a seam."""
+def resample_streams(rows: DataFrame, keys: str | list[str], sample: str, old: int | str, new: int) -> DataFrame:
+    """Streams numbered by n, at another rate: keys, seg, samples. `old` is a rate, or a column that has each stream's.
+
+    Pieces of a stream overlap by what the filter reaches, so they join without a seam.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
     halo = TAPS + 4
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     own, place = F.floor(F.col("n") / PIECE).cast("long"), F.pmod("n", F.lit(PIECE))
     near = F.array(own, F.when(place < halo, own - 1), F.when(place >= PIECE - halo, own + 1))
-    dealt = rows.select(key, "n", F.col(sample).cast("double").alias("v"), F.explode(F.array_compact(near)).alias("seg")).where("seg >= 0")
-    dealt = dealt.join(sizes, key).where(F.col("seg") * PIECE < F.col("total"))
-    kind = dict(rows.dtypes)[key]
+    rate = (F.col(old) if isinstance(old, str) else F.lit(old)).cast("long").alias("old")
+    dealt = rows.select(*keys, "n", F.col(sample).cast("double").alias("v"), rate, F.explode(F.array_compact(near)).alias("seg")).where("seg >= 0")
+    dealt = dealt.join(sizes, keys).where(F.col("seg") * PIECE < F.col("total"))
+    kinds = dict(rows.dtypes)
 
     def piece(t: pa.Table) -> pa.Table:
         t = t.sort_by("n")
-        seg, total = t["seg"][0].as_py(), t["total"][0].as_py()
+        seg, total, rate = t["seg"][0].as_py(), t["total"][0].as_py(), t["old"][0].as_py()
         first, last = seg * PIECE, min(total, (seg + 1) * PIECE)
-        found = resampled(t["v"].to_numpy(), old, new, first, last, t["n"][0].as_py(), total)
-        return pa.table({key: t[key].slice(0, 1), "seg": t["seg"].slice(0, 1), "samples": pa.array([found], pa.list_(pa.float64()))})
-
-    return dealt.groupBy(key, "seg").applyInArrow(piece, f"{key} {kind}, seg long, samples array<double>")
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def resample(samples: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([resampled(np.asarray(s, float), int(a), int(b)).tolist() for s, a, b in zip(samples, old, new, strict=True)])
-
-
-def pack_streams(rows: DataFrame, key: str, sample: str) -> DataFrame:
-    """One array of samples per short stream numbered by n, for filters that want one whole."""
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", F.col(sample).alias("v")))).alias("s"))
-    return packed.select(key, F.transform("s", lambda x: x["v"]).alias("samples"))
-
+        found = resampled(t["v"].to_numpy(), rate, new, first, last, t["n"][0].as_py(), total)
+        return pa.table({**{k: t[k].slice(0, 1) for k in keys}, "seg": t["seg"].slice(0, 1), "samples": pa.array([found], pa.list_(pa.float64()))})
 
-def peak(samples: Column) -> Column:
-    return F.array_max(samples)
+    return dealt.groupBy(*keys, "seg").applyInArrow(piece, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seg long, samples array<double>")
 
 
 def granules(rows: DataFrame, key: str, order: str, frame: str) -> DataFrame:

@@ -100,12 +100,14 @@ def _crop(s: Sounds, start: int, length: int) -> Sounds:
 
 
 def _resample(s: Sounds, rate: int) -> Sounds:
-    from ..functions.codecs.frames import resample
-
-    packed = s.frames.groupBy("asset_id", "channel").agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("x"))
-    old = s.meta.select("asset_id", "sample_rate")
-    new = packed.join(old, "asset_id").select("asset_id", "channel", resample(F.transform("x", lambda x: x["sample"]), F.col("sample_rate"), F.lit(rate)).alias("x"))
-    frames = new.select("asset_id", "channel", F.posexplode("x").alias("n", "sample")).withColumn("n", F.col("n").cast("long"))
+    from ..functions.codecs.frames import resample_streams
+    from ..operators.ordered import running_sum
+
+    keys = ["asset_id", "channel"]
+    rows = s.frames.join(s.meta.select("asset_id", F.col("sample_rate").alias("__rate")), "asset_id")
+    pieces = resample_streams(rows, keys, "sample", "__rate", rate).withColumns({"n": F.col("seg"), "size": F.size("samples").cast("long"), "stream": F.concat_ws(":", F.col("channel").cast("string"), F.col("asset_id").cast("string"))})
+    placed = running_sum(pieces, "stream", "size", "upto")  # a piece begins where those before it end
+    frames = placed.select(*keys, (F.col("upto") - F.col("size")).alias("start"), F.posexplode("samples").alias("i", "sample")).select(*keys, (F.col("start") + F.col("i")).alias("n"), "sample")
     counts = frames.where("channel = 0").groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_frames"))
     return Sounds(s.meta.drop("n_frames").join(counts, "asset_id", "left").withColumn("sample_rate", F.lit(rate)), frames)
 

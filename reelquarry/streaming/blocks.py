@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,14 @@ def blocks_of(samples: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes the stream's folder when the driver ends, if the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stream_blocks(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Runs the file through a stream to its end and returns the blocks that were emitted for each user."""
     schema = spark.read.parquet(path).schema
@@ -51,6 +60,7 @@ def stream_blocks(spark: SparkSession, path: str, size: int) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="reelquarry-")
     out = f"{base.rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, out)
     writer = blocks_of(rows, size).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{out}/rows")

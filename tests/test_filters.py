@@ -69,3 +69,24 @@ def test_state_restarts():
     rows["flush"] = rows["ts"] == 4
     out = next(_advance((7,), iter([rows]), state, 3))
     assert out["samples"].tolist()[-1] == [3.0, 4.0, 4.0] and out["n_valid"].tolist()[-1] == 2 and state.new == (1, [])
+
+
+def test_resample_sounds_of_several_rates(spark, monkeypatch):
+    import numpy as np
+
+    from reelquarry.functions.codecs import frames as codec
+
+    monkeypatch.setattr(codec, "PIECE", 700)
+    rng = np.random.RandomState(0)
+    streams = {("a", 0): rng.randn(2000), ("a", 1): rng.randn(2000), ("b", 0): rng.randn(900)}
+    rates = {"a": 44100, "b": 8000}
+    rows = spark.createDataFrame([(k, c, i, float(v)) for (k, c), x in streams.items() for i, v in enumerate(x)], "asset_id string, channel int, n long, sample double")
+    meta = spark.createDataFrame([(k, r, 0) for k, r in rates.items()], "asset_id string, sample_rate int, n_frames long")
+    out = parse_arguments(["-resample", "16000"]).run(Sounds(meta, rows))
+    got = {}
+    for r in out.frames.orderBy("n").collect():
+        got.setdefault((r.asset_id, r.channel), []).append((r.n, r.sample))
+    for k, x in streams.items():
+        want = codec.resampled(x, rates[k[0]], 16000)
+        assert [n for n, _ in got[k]] == list(range(len(want))) and np.allclose([v for _, v in got[k]], want)
+    assert {r.asset_id: r.n_frames for r in out.meta.collect()} == {"a": len(got["a", 0]), "b": len(got["b", 0])}
