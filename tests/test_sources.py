@@ -3,7 +3,7 @@ import pytest
 
 from reelquarry.functions.codecs import lz
 from reelquarry.operators import images
-from reelquarry.sources import archive, chunks, mpeg, player, register, wave
+from reelquarry.sources import archive, chunks, identify, mpeg, player, register, wave
 
 
 @pytest.fixture(scope="module")
@@ -222,3 +222,18 @@ def test_images_load(spark, tmp_path):
     out = images.load(spark, str(tmp_path)).collect()
     assert len(out) == 12 and {(r.capable, r.a) for r in out if r.image_id.endswith("b.png")} == {(False, 255)}
     assert {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in out if r.image_id.endswith("a.png")} == {(x, y): tuple(image[y, x].tolist()) for x in range(3) for y in range(2)}
+
+
+def test_identify_files(sources, tmp_path):
+    x = np.zeros((10, 1), np.int16)
+    head = lambda play: player.build_header(version=0, codec=2, channels=1, sample_rate=8000, play_type=play, n_frames=10, **({"resident": 0} if play == 2 else {}))
+    frame = (0xFFFB9000).to_bytes(4, "big") + b"\0" * 413
+    made = {"a.wav": wave.build(x, 8000), "sub/b.mp3": b"junk" + frame * 8, "d.snr": head(0), "e.snr": head(1), "f.snr": head(1), "f.sns": b"stream", "g.bin": head(0), "h.txt": b"text", "i": b"GSTR" + b"\0" * 60}
+    (tmp_path / "sub").mkdir()
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    out = {r.path.rpartition("/")[2]: (r.source, r.score, r.error) for r in identify(sources, str(tmp_path)).collect()}
+    none = (None, 0, "no format matches")
+    assert out == {
+        "a.wav": ("assetwave", 100, None), "b.mp3": ("assetmpeg", 75, None), "d.snr": ("assetplayer", 90, None), "e.snr": none, "f.snr": ("assetplayer", 90, None), "g.bin": ("assetplayer", 50, None), "h.txt": none, "i": ("assetstream", 100, None),
+    }
