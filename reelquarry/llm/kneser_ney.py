@@ -1,8 +1,10 @@
 """Language-model scoring with an interpolated modified Kneser-Ney model of order two or three.
 
 Counting goes from the longest n-grams down. Workers hash words to 64 bits, count a portion of text at a time, and emit packed
-sorted arrays by shard; Spark shuffles them, and each shard merges its own. Shards are ranges of the n-gram's
-hash, so no word or context, however frequent, makes one of them larger than the others.
+sorted arrays by shard; Spark shuffles them, and each shard merges its own. Triples are dealt by their hash. Pairs are dealt by their first word;
+first words that hold more than a fair share of all tokens, the beginning of texts among them, are dealt over several
+shards by the second word, so no shard grows with one word. Which words these are is read off a sample, as it only
+decides where pairs are counted.
 
 Triples are counted first. The facts of pairs (their count, how many triples of count one, two and more follow, and in how many
 different triples they end) are then counted over the text again, with the triples' counts looked up in the shards
@@ -48,6 +50,8 @@ BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(
 PORTION, SHARD_BYTES, SHARDS_OF_TASK = 1_000_000, 8 << 20, 4
 #: Order of the query's model. Order three needs more disk and memory than the check tool allows; the README has the figures.
 ORDER = 2
+#: Share of the text, and bytes of it, from which frequent words are read at least.
+SAMPLE_SHARE, SAMPLE_BYTES = 2e-4, 16 << 20
 #: Facts of a pair by order: its count, and for order three the triples of count 1, 2 and more after it and those that end in it.
 PAIR_FACTS = {2: 1, 3: 5}
 #: Facts of a word: its count, pairs that end in it, and the sum and classes of the pairs after it.
@@ -84,10 +88,9 @@ def _portions(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[np.nd
 class Portion:
     """The distinct words, pairs and triples of some texts, each as places in the arrays of the shorter ones."""
 
-    def __init__(self, held: list[np.ndarray], order: int):
+    def __init__(self, held: list[np.ndarray], order: int, places: bool = True):
         self.starts = np.cumsum([0, *map(len, held)])[:-1]
-        w = np.concatenate(held)
-        self.words, at = np.unique(np.append(w, BEGIN), return_inverse=True)
+        self.words, at = np.unique(np.concatenate([*held, [BEGIN]]), return_inverse=True)
         begin, at = at[-1], at[:-1]
         before = np.concatenate([[begin], at[:-1]])
         before[self.starts] = begin
@@ -96,9 +99,12 @@ class Portion:
         code = before * size + at
         if order == 3:
             code = np.append(code, begin * size + begin)  # the context in which texts begin
-        pairs, place, count = np.unique(code, return_inverse=True, return_counts=True)
-        self.v, self.w, self.count = pairs // size, pairs % size, count
-        self.token_pair = place[: len(at)]
+        if places or order == 3:
+            pairs, place, self.count = np.unique(code, return_inverse=True, return_counts=True)
+            self.token_pair = place[: len(at)]
+        else:
+            pairs, self.count = np.unique(code, return_counts=True)
+        self.v, self.w = pairs // size, pairs % size
         if order == 3:
             none = place[-1]
             self.count[none] = len(held)
@@ -143,23 +149,54 @@ def _triples(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         yield _blobs(shard_of(key[order], shards), key[order], p.triple_count[order].astype("<u4"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], shards: int, folder: str, order: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], shards: int, hot: dict[int, int], folder: str, order: int) -> Iterator[pa.RecordBatch]:
     for held in _portions(batches, 0):
-        p = Portion(held, order)
-        key = p.pair_keys()
+        p = Portion(held, order, places=False)
         parts = [p.count.astype("<u4")]
         if order == 3:
-            total = _look_up(folder, "triples", shards, p.triple_keys(key), 1)[0]
+            key = p.pair_keys()
+            triples = p.triple_keys(key)
+            total = _look_up(folder, "triples", shard_of(triples, shards), triples, 1)[0]
             share = p.triple_count / total
             for k in (1, 2, 3):
                 mine = total == k if k < 3 else total >= 3
                 parts.append(np.bincount(p.context[mine], share[mine], len(key)))
             parts.append(np.bincount(p.pair, share, len(key)))
-        shard = shard_of(key, shards)
-        by = np.lexsort((p.v, shard))  # pairs of one first word together, for the compression of the shuffle
+        shard = pair_shards(p, shards, hot)
+        by = np.argsort(shard, kind="stable")  # pairs of one first word stay together, which the shuffle compresses
         yield _blobs(shard[by], p.words[p.v[by]], p.words[p.w[by]], *[x[by] for x in parts])
 
 
+def pair_shards(p: Portion, shards: int, hot: dict[int, int]) -> np.ndarray:
+    """Where the pairs of a portion are counted."""
+    ways = np.array([hot.get(x, 1) for x in p.words.tolist()], U) if hot else np.ones(len(p.words), U)
+    return (shard_of(p.words, shards)[p.v] + (p.words[p.w] % ways[p.v]).astype(np.int64)) % shards
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """First words of pairs that are frequent among those of a task, with their counts, and under the number 0 the count of all."""
+    total, found = 0, {}
+    for held in _portions(batches, 0):
+        h, c = np.unique(np.concatenate([*held, [BEGIN] * len(held)]).astype(U), return_counts=True)
+        total += int(c.sum())
+        often = c * (16 * shards) >= c.sum()
+        for x, n in zip(h[often].tolist(), c[often].tolist(), strict=True):
+            found[x] = found.get(x, 0) + n
+    names = [0, *found]
+    yield pa.RecordBatch.from_arrays([pa.array([x.to_bytes(8, "little") for x in names], pa.binary()), pa.array([total, *found.values()], pa.int64())], ["h", "c"])
+
+
+def hot_words(texts: DataFrame, size: int, shards: int) -> dict[int, int]:
+    """First words with more than a fair share of the pairs of a sample, 4 for each shard at most, and over how many shards each is dealt."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(size, 1)))
+    some = texts.sample(share, seed=1) if share < 1 else texts
+    rows = some.mapInArrow(lambda it: _frequent(it, shards), "h binary, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = keep(rows, "frequent")
+    total = rows.where(F.col("h") == F.lit(bytes(8))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    found = rows.where((F.col("h") != F.lit(bytes(8))) & (F.col("c") * (4 * shards) >= total)).collect()
+    return {int.from_bytes(r.h, "little"): min(shards, 1 + 4 * shards * r.c // total) for r in found}
+
+
 def _facts(table: pa.Table, order: int) -> np.ndarray:
     """The facts of the rows' pairs, as numbers that can be summed."""
     out = []
@@ -225,12 +262,12 @@ def _unshelved(data: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
     return out
 
 
-def _look_up(folder: str, kind: str, shards: int, keys: np.ndarray, columns: int) -> np.ndarray:
-    """Facts (columns, keys) of keys in any order."""
-    order = np.argsort(keys)
+def _look_up(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
+    """Facts (columns, keys) of keys in any order, each in its shard."""
+    order = np.lexsort((keys, shard))
     ordered = keys[order]
     out = np.zeros((columns, len(keys)), np.int64)
-    for s, i, j in _runs(shard_of(ordered, shards)):
+    for s, i, j in _runs(shard[order]):
         data = _mapped(folder, f"{kind}-{s}")
         if data is not None:
             out[:, order[i:j]] = _unshelved(data, ordered[i:j], columns)
@@ -259,19 +296,24 @@ def _merge_pairs(table: pa.Table, folder: str, shards: int, order: int) -> pa.Ta
     _shelve(folder, f"pairs-{shard}", keys, facts)
     own = np.flatnonzero(w != BEGIN)  # all but the context in which texts begin
     v, w, counted, count = v[own], w[own], facts[-1, own], facts[0, own]
-    one = np.zeros((2, WORD_FACTS, len(own)), np.int64)
-    one[0, 0], one[0, 1] = count, 1
-    one[1, 2], one[1, 3], one[1, 4], one[1, 5] = counted, counted == 1, counted == 2, counted >= 3
-    words, _, sums = _summed(np.concatenate([w, v]), np.concatenate(one, axis=1))
-    rows = [(s, words[i:j].tobytes(), np.ascontiguousarray(sums[:, i:j]).tobytes(), None) for s, i, j in _runs(shard_of(words, shards))]
-    to, k, c, numbers = zip(*rows, (shard, None, None, _classes(counted)), strict=True)
-    return pa.table({"shard": pa.array(to, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
+    rows = [(shard, None, None, None, _classes(counted))]
+    before = np.stack([counted, counted == 1, counted == 2, counted >= 3]).astype(np.int64)
+    for first, of, values in ((2, v, before), (0, w, np.stack([count, np.ones_like(count)]))):  # facts from `first` on
+        words, _, sums = _summed(of, values)
+        rows += [(s, first, words[i:j].tobytes(), np.ascontiguousarray(sums[:, i:j]).tobytes(), None) for s, i, j in _runs(shard_of(words, shards))]
+    to, first, k, c, numbers = zip(*rows, strict=True)
+    return pa.table({"shard": pa.array(to, pa.int32()), "first": pa.array(first, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
 
 
 def _merge_words(table: pa.Table, folder: str) -> pa.Table:
     """Writes one shard of words; returns its words, tokens, pairs, counts of the numbers of pairs, and how many of these are 3 or more."""
     shard = table["shard"][0].as_py()
-    facts = np.concatenate([np.frombuffer(c, np.int64).reshape(WORD_FACTS, -1) for c in table["c"].to_pylist()], axis=1)
+    facts, at = np.zeros((WORD_FACTS, sum(map(len, table["k"].to_pylist())) // 8), np.int64), 0
+    for first, k, c in zip(table["first"].to_pylist(), table["k"].to_pylist(), table["c"].to_pylist(), strict=True):
+        n = len(k) // 8
+        part = np.frombuffer(c, np.int64).reshape(-1, n)
+        facts[first : first + len(part), at : at + n] = part
+        at += n
     keys, _, facts = _summed(_joined(table, "k", U), facts)
     _shelve(folder, f"words-{shard}", keys, facts)
     numbers = [int((facts[0] > 0).sum()), int(facts[0].sum()), int(facts[1].sum()), *_classes(facts[1]), int((facts[1] >= 3).sum())]
@@ -288,10 +330,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 @dataclass
 class Model:
-    """What workers need besides the files: some numbers, whatever the size of the text."""
+    """What workers need besides the files: some numbers, and the hot words, at most 4 for each shard."""
 
     folder: str
     shards: int
+    hot: dict[int, int]
     order: int
     tokens: int
     words: int
@@ -304,9 +347,9 @@ class Model:
     def score(self, held: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """For each text of the portion: tokens, known tokens, base score, score."""
         p = Portion(held, self.order)
-        words = _look_up(self.folder, "words", self.shards, p.words, WORD_FACTS)
+        words = _look_up(self.folder, "words", shard_of(p.words, self.shards), p.words, WORD_FACTS)
         keys = p.pair_keys()
-        pairs = _look_up(self.folder, "pairs", self.shards, keys, PAIR_FACTS[self.order])
+        pairs = _look_up(self.folder, "pairs", pair_shards(p, self.shards, self.hot), keys, PAIR_FACTS[self.order])
         low = np.full(len(p.words), 1.0 / (self.words + 1))
         if self.continuations:
             low = _held_back(words[1], self.word_discounts) / self.continuations + self.floor / (self.words + 1)
@@ -314,7 +357,8 @@ class Model:
         total, spare = words[2][p.v], _spare(words[3:], words[2], self.pair_discounts)[p.v]
         found = _held_back(counted, self.pair_discounts) / np.maximum(total, 1) + spare * low[p.w]
         if self.order == 3:
-            count = _look_up(self.folder, "triples", self.shards, p.triple_keys(keys), 1)[0]
+            triples = p.triple_keys(keys)
+            count = _look_up(self.folder, "triples", shard_of(triples, self.shards), triples, 1)[0]
             known = pairs[1:4].sum(axis=0) > 0
             total, spare = np.where(known, pairs[0], 0)[p.context], _spare(pairs[1:4], pairs[0], self.triple_discounts)[p.context]
             found = _held_back(count, self.triple_discounts) / np.maximum(total, 1) + spare * found[p.pair]
@@ -367,8 +411,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
-    shards = max(6, -(-(size or 0) // SHARD_BYTES))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(6, -(-size // SHARD_BYTES))
     folder = new_folder(spark, "model")
     # A task merges a few shards at most, however many there are.
     tasks = max(min(shards, partitions(spark)), -(-shards // SHARDS_OF_TASK))
@@ -377,13 +421,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     if order == 3:
         found = by_shard(texts.mapInArrow(lambda it: _triples(it, shards), BLOBS))
         triples = _total(keep(found.applyInArrow(lambda t: _merge_triples(t, folder), "numbers array<long>"), "triples"), 4)
-    found = by_shard(texts.mapInArrow(lambda it: _pairs(it, shards, folder, order), BLOBS))
-    pairs = keep(found.applyInArrow(lambda t: _merge_pairs(t, folder, shards, order), "shard int, k binary, c binary, numbers array<long>"), "pairs")
-    merged = by_shard(pairs.where("k is not null").select("shard", "k", "c")).applyInArrow(lambda t: _merge_words(t, folder), "numbers array<long>")
+    hot = hot_words(texts, size, shards)
+    found = by_shard(texts.mapInArrow(lambda it: _pairs(it, shards, hot, folder, order), BLOBS))
+    pairs = keep(found.applyInArrow(lambda t: _merge_pairs(t, folder, shards, order), "shard int, first int, k binary, c binary, numbers array<long>"), "pairs")
+    merged = by_shard(pairs.where("k is not null").select("shard", "first", "k", "c")).applyInArrow(lambda t: _merge_words(t, folder), "numbers array<long>")
     words, tokens, continuations, *m, m3_up = _total(keep(merged, "words"), 8)
     low = discounts(*m)
     floor = (low[1] * m[0] + low[2] * m[1] + low[3] * m3_up) / continuations if continuations else 1.0
-    return Model(folder, shards, order, tokens, words, continuations, floor, discounts(*triples), discounts(*_total(pairs, 4)), low)
+    return Model(folder, shards, hot, order, tokens, words, continuations, floor, discounts(*triples), discounts(*_total(pairs, 4)), low)
 
 
 def _total(rows: DataFrame, n: int) -> list[int]:

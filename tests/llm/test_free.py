@@ -194,6 +194,7 @@ def test_kneser_ney_over_many_portions(spark, monkeypatch, order):
     texts = [" ".join(rng.choice(["the", "the", f"w{rng.randrange(300)}"]) for _ in range(60)) for _ in range(120)] + [" ".join(["the x"] * 300)] + ["", None, "the", "A b", "a B"] * 60
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     model = kneser_ney.train(docs, order)
+    assert int(kneser_ney.BEGIN) in model.hot and max(model.hot.values()) > 1
     ask = [*texts, "the never-seen the", "w1 w2 w3 never seen", "never"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string")
     got = [r.score for r in kneser_ney.score(rows, model).orderBy("doc_id").collect()]
