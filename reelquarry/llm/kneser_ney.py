@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 
 from .columns import crc_mod
 from .minhash import mix
-from .shared import bound_batches, keep, new_folder, partitions
+from .shared import bound_batches, keep, new_folder
 
 U = np.uint64
 #: A word holds no space, so these can't be words.
 BEGIN, END = U(xxhash.xxh3_64_intdigest(b" begin")), U(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a worker counts or scores together, bytes of text that one shard counts, and shards that a task merges.
 PORTION, SHARD_BYTES, SHARDS_OF_TASK = 1_000_000, 8 << 20, 4
+#: Tasks up to which each shard has one of its own.
+TASKS = 20_000
 #: Order of the query's model. Order three needs more disk and memory than the check tool allows; the README has the figures.
 ORDER = 2
 #: Share of the text, and bytes of it, from which frequent words are read at least.
@@ -300,7 +302,8 @@ def _merge_pairs(table: pa.Table, folder: str, shards: int, order: int) -> pa.Ta
     before = np.stack([counted, counted == 1, counted == 2, counted >= 3]).astype(np.int64)
     for first, of, values in ((2, v, before), (0, w, np.stack([count, np.ones_like(count)]))):  # facts from `first` on
         words, _, sums = _summed(of, values)
-        rows += [(s, first, words[i:j].tobytes(), np.ascontiguousarray(sums[:, i:j]).tobytes(), None) for s, i, j in _runs(shard_of(words, shards))]
+        kind = "<u4" if sums.max(initial=0) < 1 << 32 else "<u8"
+        rows += [(s, first, words[i:j].tobytes(), sums[:, i:j].astype(kind).tobytes(), None) for s, i, j in _runs(shard_of(words, shards))]
     to, first, k, c, numbers = zip(*rows, strict=True)
     return pa.table({"shard": pa.array(to, pa.int32()), "first": pa.array(first, pa.int32()), "k": pa.array(k, pa.binary()), "c": pa.array(c, pa.binary()), "numbers": pa.array(numbers, pa.list_(pa.int64()))})
 
@@ -310,8 +313,8 @@ def _merge_words(table: pa.Table, folder: str) -> pa.Table:
     shard = table["shard"][0].as_py()
     facts, at = np.zeros((WORD_FACTS, sum(map(len, table["k"].to_pylist())) // 8), np.int64), 0
     for first, k, c in zip(table["first"].to_pylist(), table["k"].to_pylist(), table["c"].to_pylist(), strict=True):
-        n = len(k) // 8
-        part = np.frombuffer(c, np.int64).reshape(-1, n)
+        n, rows = len(k) // 8, 2 if first == 0 else 4
+        part = np.frombuffer(c, f"<u{len(c) // (n * rows)}").reshape(rows, n)
         facts[first : first + len(part), at : at + n] = part
         at += n
     keys, _, facts = _summed(_joined(table, "k", U), facts)
@@ -415,7 +418,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     shards = max(6, -(-size // SHARD_BYTES))
     folder = new_folder(spark, "model")
     # A task merges a few shards at most, however many there are.
-    tasks = max(min(shards, partitions(spark)), -(-shards // SHARDS_OF_TASK))
+    tasks = max(min(shards, TASKS), -(-shards // SHARDS_OF_TASK))
     by_shard = lambda rows: rows.repartition(tasks, "shard").groupBy("shard")
     triples = [0] * 4
     if order == 3:
