@@ -10,15 +10,8 @@ def test_query_matches_sql(spark, name):
     check(spark, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_has_rows(spark, name):
-    out = QUERIES[name](spark, SF).toPandas()
-    assert len(out) and out.notna().all().all()
-
-
-def test_codec_quality(spark):
-    for name in ("q31_xas_roundtrip", "q32_xa_roundtrip"):
-        assert QUERIES[name](spark, SF).agg({"snr": "min"}).first()[0] > 8
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_is_the_flagship():
