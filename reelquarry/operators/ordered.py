@@ -230,17 +230,17 @@ def by_magnitude(values: Column) -> Column:
 
 def xa_samples(data: Column, one: Column, two: Column) -> Column:
     """Samples of one coded XA block of 15 bytes after the samples one and two, in built-in expressions."""
-    from ..functions.binary import be_uint
+    def decoded(digits: Column) -> Column:
+        f, shift = F.get(digits, F.lit(0)), F.get(digits, F.lit(1))
+        pick = lambda i: F.get(F.array(*[F.lit(c[i]).cast("long") for c in PREDICTORS]), f)
+        scale = F.get(F.array(*[F.lit(1 << (20 - s)).cast("long") for s in range(13)]), shift)
 
-    head = be_uint(data, 0, 1)
-    f, shift = F.shiftright(head, 4), head.bitwiseAND(F.lit(15).cast("long"))
-    pick = lambda i: F.get(F.array(*[F.lit(c[i]) for c in PREDICTORS]), f.cast("int")).cast("long")
-    nibble = lambda i: F.floor(be_uint(data, F.floor(i / 2).cast("int") + 1, 1) / F.when(i % 2 == 0, 16).otherwise(1)).bitwiseAND(F.lit(15).cast("long"))
+        def step(s: Column, n: Column) -> Column:
+            x = F.when(n > 7, n - 16).otherwise(n) * scale + pick(0) * F.element_at(s, -1) + pick(1) * F.element_at(s, -2)
+            return F.concat(s, F.array(F.least(F.greatest(F.shiftright(x, 8), F.lit(-32768).cast("long")), F.lit(32767).cast("long"))))
 
-    def step(s: Column, i: Column) -> Column:
-        n = nibble(i)
-        x = F.when(n > 7, n - 16).otherwise(n) * F.pow(F.lit(2.0), 20 - shift).cast("long") + pick(0) * F.element_at(s, -1) + pick(1) * F.element_at(s, -2)
-        return F.concat(s, F.array(F.least(F.greatest(F.shiftright(x, 8), F.lit(-32768).cast("long")), F.lit(32767).cast("long"))))
+        return F.slice(F.aggregate(F.slice(digits, 3, 28), F.array(two.cast("long"), one.cast("long")), step), 3, 28)
 
-    all_of = F.aggregate(F.sequence(F.lit(0), F.lit(27)), F.array(two.cast("long"), one.cast("long")), step)
-    return F.slice(all_of, 3, 28)
+    # The block's thirty half bytes: filter, shift, and the samples' nibbles.
+    digits = F.transform(F.split(F.hex(data), ""), lambda x: F.position(x, F.lit("0123456789ABCDEF")) - 1)
+    return F.get(F.transform(F.array(digits), decoded), F.lit(0))

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small input comes in fewer partitions than there are; a large input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _entries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text", "n_chars")
     name = F.lower(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -259,7 +265,7 @@ def q28_tag_overlay(spark, sf_dir):
 def q29_lz_roundtrip(spark, sf_dir):
     from ..functions.codecs.lz import lz_pack, lz_unpack
 
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     back = lz_unpack(lz_pack(F.encode("text", "UTF-8")))
     return docs.select("doc_id", F.decode(back, "UTF-8").alias("text"))
 
@@ -267,7 +273,7 @@ def q29_lz_roundtrip(spark, sf_dir):
 def q30_lz_ratio(spark, sf_dir):
     from ..functions.codecs.lz import lz_pack
 
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), lz_pack(F.encode("text", "UTF-8")).alias("p"))
     packed = F.octet_length("p")
     return sizes.select(
@@ -408,7 +414,7 @@ def q46_codec_registry(spark, sf_dir):
 
 
 def q47_match_finder(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.split("text", "").alias("chars"))
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.split("text", "").alias("chars"))
     found = ordered.matches_before(docs, "doc_id", "chars")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("back").alias("distance"), F.max("back").alias("farthest"))
 
@@ -431,7 +437,7 @@ def q49_scale_deinterleave(spark, sf_dir):
 
 
 def q50_xa_decode(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    rows = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
     head = F.concat(F.hex(F.col("o_orderkey") % 4), F.hex(F.col("o_custkey") % 13))  # filter and shift
     data = F.unhex(F.concat(head, F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 28)))
     samples = ordered.xa_samples(data, F.col("o_custkey") % 4000 - 2000, F.col("o_custkey") % 300)
