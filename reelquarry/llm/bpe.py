@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches
+from .shared import bound_batches, spread
 
 #: Characters of text whose words are encoded together, and distinct words that a worker remembers between such portions.
 PORTION, REMEMBERED = 6_000_000, 300_000
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded")]
     rows = docs.select(F.col("text").cast("string").alias("text"), *rest)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInArrow(lambda it: _encode(it, content.value), ", ".join([*fields, "n_tokens long", "ids binary", "decoded string"]))
+    return spread(rows).mapInArrow(lambda it: _encode(it, content.value), ", ".join([*fields, "n_tokens long", "ids binary", "decoded string"]))
 
 
 def default_tokenizer() -> str:

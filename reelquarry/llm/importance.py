@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aside, bound_batches, keep
+from .shared import aside, bound_batches, keep, spread
 
 BITS = 18
 SIZE = 1 << BITS
@@ -108,7 +108,7 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     bound_batches(docs.sparkSession)
     judged = keep(good_ids(labels.where("doc_id is not null")), "labels")
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = model(texts.select("text"))
+    raw = model(spread(texts.select("text")))
     n_good, n_judged = judged.agg(F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     share = int(min(1.0, TARGET / max(n_good, 1)) * GRAIN)
     few = judged.where(F.col("good") & (F.pmod(F.xxhash64("doc_id"), F.lit(GRAIN)) < share)).select("doc_id")
@@ -119,7 +119,7 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
     noise = F.xxhash64("doc_id", "text").alias("__noise")
     rows = docs.select(F.col("text").cast("string").alias("text"), *own, noise)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    weighed = rows.mapInArrow(lambda it: _weigh(it, ratio.value), ", ".join([*fields, "n_ngrams long", "log_weight double"]))
+    weighed = spread(rows).mapInArrow(lambda it: _weigh(it, ratio.value), ", ".join([*fields, "n_ngrams long", "log_weight double"]))
     uniform = (F.shiftrightunsigned("__noise", 12) + F.lit(0.5)) / F.lit(2.0**52)
     keyed = keep(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).withColumn("__key", _ordered(F.col("gumbel_key"))), "weighed")
     n = keyed.count()

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .columns import crc_mod
 from .minhash import mix
-from .shared import bound_batches, keep, new_folder
+from .shared import bound_batches, keep, new_folder, spread
 
 U = np.uint64
 #: A word holds no space, so these can't be words.
@@ -413,7 +413,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = spread(docs.select(F.col("text").cast("string").alias("text")))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-size // SHARD_BYTES))
     folder = new_folder(spark, "model")
@@ -470,7 +470,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
     rows = docs.select(F.col("text").cast("string").alias("text"), *own)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInArrow(lambda it: _score(it, shared.value), ", ".join([*fields, "n_tokens long", "n_known long", "base_score double", "score double"]))
+    return spread(rows).mapInArrow(lambda it: _score(it, shared.value), ", ".join([*fields, "n_tokens long", "n_known long", "base_score double", "score double"]))
 
 
 def op10_kneser_ney(spark, sf_dir: str) -> DataFrame:

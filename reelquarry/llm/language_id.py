@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import crc_mod
-from .shared import bound_batches
+from .shared import bound_batches, spread
 
 BITS, ORDERS = 15, 3
 SIZE = 1 << BITS
@@ -132,7 +132,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple:
     """Languages, weights, temperature and inverse document frequencies, from docs (text, lang)."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    seen = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    seen = spread(rows.select("text")).mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = {r.feature: r.n for r in seen.collect()}  # a row for each feature, 32,769 at most
     n = found.pop(-1, 0)
     df = np.zeros(SIZE)
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     rows = docs.select(F.col("text").cast("string").alias("text"), *own)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInArrow(lambda it: _predict(it, shared.value), ", ".join([*fields, "lang_pred string", "score double"]))
+    return spread(rows).mapInArrow(lambda it: _predict(it, shared.value), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

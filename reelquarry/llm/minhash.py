@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bound_batches, hot_keys, keep, spread_join
+from .shared import bound_batches, hot_keys, keep, spread, spread_join
 
 PERMUTATIONS, BANDS, PLANES, WIDTH = 128, 32, 4, 5
 ROWS = PERMUTATIONS // BANDS
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     raw = keep(
-        texts.mapInArrow(_sketches, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, planes array<long>"),
+        spread(texts).mapInArrow(_sketches, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, planes array<long>"),
         "sketches",
     )
     known = raw.where("n_shingles > 0 and doc_id is not null")

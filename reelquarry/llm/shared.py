@@ -100,6 +100,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small input comes in fewer partitions than there are, for work in Python; a large input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Bytes and rows of one Arrow batch that Python workers get; a batch holds at least one whole row.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 
