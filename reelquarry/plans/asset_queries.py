@@ -353,9 +353,9 @@ def q39_tag_kinds(spark, sf_dir):
 
 def q40_codebooks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("c"), F.octet_length("text").alias("size"))
+    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("c"))
     at = (F.col("doc_id") % 10).cast("int")
-    raw = raw.where("size >= 50").select("doc_id", binary.codebook(F.col("c"), at, True).alias("b"), binary.codebook(F.col("c"), at, False).alias("l"), binary.sideband(F.col("c"), at, F.lit(9)).alias("s"), binary.scaling_table(F.col("c"), at, F.lit(20)).alias("t"))
+    raw = raw.select("doc_id", binary.codebook(F.col("c"), at, True).alias("b"), binary.codebook(F.col("c"), at, False).alias("l"), binary.sideband(F.col("c"), at, F.lit(9)).alias("s"), binary.scaling_table(F.col("c"), at, F.lit(20)).alias("t"))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x).cast("long")
     return raw.select("doc_id", total("b").alias("big"), total("l").alias("little"), F.hex("s").alias("sideband"), F.hex(F.substring("t", 1, 4)).alias("scaling"))
 

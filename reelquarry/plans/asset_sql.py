@@ -207,11 +207,11 @@ SQL: dict[str, str] = {
         CASE WHEN n = 0 THEN '' WHEN n < 255 THEN left('14' || lpad(hex(n), 2, '0') || repeat('78', n), 14) ELSE '14FF' || lpad(hex(n), 8, '0') || '78' END AS blob_head,
         CAST(CASE WHEN n = 0 THEN 0 ELSE n + head END AS BIGINT) AS blob_size, 'FF' AS "end" FROM v""",
     "q40_codebooks": """
-      WITH h AS (SELECT doc_id, doc_id % 10 AS at0, hex(encode(text)) AS x, strlen(text) AS size FROM documents WHERE strlen(text) >= 50),
-      b AS (SELECT *, list_transform(range(0, 32), lambda i: CAST('0x' || substr(x, 2 * (at0 + i) + 1, 2) AS BIGINT)) AS v FROM h)
-      SELECT doc_id, CAST(list_sum(list_transform(range(1, 17), lambda i: ((v[2 * i - 1] * 256 + v[2 * i]) + 32768) % 65536 - 32768)) AS BIGINT) AS big,
-        CAST(list_sum(list_transform(range(1, 17), lambda i: ((v[2 * i] * 256 + v[2 * i - 1]) + 32768) % 65536 - 32768)) AS BIGINT) AS little,
-        substr(x, 2 * at0 + 1, 18) AS sideband, CASE WHEN size >= at0 + 16 + 128 THEN substr(x, 2 * (at0 + 16) + 1, 8) END AS scaling FROM b""",
+      WITH h AS (SELECT doc_id, doc_id % 10 AS at0, hex(encode(text)) AS x, strlen(text) AS size FROM documents),
+      b AS (SELECT *, list_transform(range(0, 32), lambda i: TRY_CAST('0x' || substr(x, 2 * (at0 + i) + 1, 2) AS BIGINT)) AS v FROM h)
+      SELECT doc_id, CASE WHEN size >= at0 + 32 THEN CAST(list_sum(list_transform(range(1, 17), lambda i: ((v[2 * i - 1] * 256 + v[2 * i]) + 32768) % 65536 - 32768)) AS BIGINT) END AS big,
+        CASE WHEN size >= at0 + 32 THEN CAST(list_sum(list_transform(range(1, 17), lambda i: ((v[2 * i] * 256 + v[2 * i - 1]) + 32768) % 65536 - 32768)) AS BIGINT) END AS little,
+        CASE WHEN size >= at0 + 9 THEN substr(x, 2 * at0 + 1, 18) END AS sideband, CASE WHEN size >= at0 + 16 + 128 THEN substr(x, 2 * (at0 + 16) + 1, 8) END AS scaling FROM b""",
     "q41_block_heads": """
       WITH w AS (SELECT o_orderkey, o_orderkey * 40503 % 65536 AS s, CAST((o_orderkey * 2654435761 + o_custkey) % 4294967296 AS BIGINT) AS l FROM orders),
       f AS (SELECT *, s >= 32768 AS extended, s // 16384 % 2 + 1 AS channels, s % 4096 AS size, CASE WHEN s >= 32768 THEN l % 1024 ELSE s % 4096 - 2 END AS granule_size, CASE WHEN s >= 32768 THEN l // 1024 % 1024 ELSE 0 END AS pcm_samples FROM w)
