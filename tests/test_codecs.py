@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +153,46 @@ def test_lz_looks_at_all_places(data):
     assert len(lz.encode(data)) == plain_lz_size(data)
 
 
+def test_lz_codes_texts_together(monkeypatch):
+    rng = np.random.RandomState(5)
+    texts = [b"".join(rng.choice([b"ab", b"abc", b"the ", b"x", b"yz" * 30], size=n)) for n in (0, 400, 1, 0, 90, 700, 2, 0)]
+    alone = [lz.encode(t) for t in texts]
+    assert [lz.decode(p) for p in alone] == texts
+    for portion in (1, 300, 1 << 16):
+        monkeypatch.setattr(lz, "PORTION", portion)
+        assert lz.encode_many(texts) == alone
+    assert lz.encode_many([]) == [] and lz.lz_pack.func(pd.Series([None, texts[1], None])).tolist() == [None, alone[1], None]
+
+
+def test_lz_longer_copies_from_far():
+    """A copy of eleven bytes from far back takes two bytes more than one of ten from near by; one of twelve is worth them."""
+    for more, want in ((b"", (10, 19)), (b"L", (12, 20031))):
+        far = b"ABCDEFGHIJK" + more
+        noise = np.random.RandomState(2).randint(128, 256, 20000).astype(np.uint8).tobytes()
+        data = far + noise + b"ABCDEFGHIJ" + b"012345678" + far
+        at, size, back = lz._parse(np.frombuffer(data, np.uint8), np.array([len(data)]))
+        found = {i: (k, b) for i, k, b in zip(at.tolist(), size.tolist(), back.tolist(), strict=True)}
+        assert found[len(data) - len(far)] == want
+        assert lz.decode(lz.encode(data)) == data
+
+
+def test_lz_time_of_a_long_text():
+    """Coding takes a few times as long as decoding, however often three bytes occur."""
+    rng = np.random.RandomState(1)
+    words = [rng.randint(97, 105, rng.randint(2, 9)).astype(np.uint8).tobytes() for _ in range(500)]
+    data = b" ".join(words[i] for i in rng.randint(0, 500, 60000))
+
+    def least(f, x):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f(x)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lz.encode, data) < 10 * least(lz.decode, lz.encode(data))
+
+
 @pytest.mark.parametrize(("old", "new"), [(44100, 22050), (44100, 16000), (8000, 11025)])
 def test_resampled_pieces_join(spark, monkeypatch, old, new):
     monkeypatch.setattr(frames, "PIECE", 700)
