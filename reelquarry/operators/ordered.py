@@ -210,12 +210,78 @@ def seek_table(df: DataFrame, key: str, size: str, points: int = 100) -> DataFra
     return rows.where(last >= first).select(key, point, value.alias("position"))
 
 
+#: Keys of several rows that are broadcast; if there are more, they are joined.
+SEVERAL = 200_000
+
+
+def earlier_places(codes: np.ndarray, span: int, width: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of whole numbers below `span` at which `width` of them are found that an earlier place within the window holds, and the distance to the nearest one."""
+    places = max(len(codes) - (width - 1), 0)
+    group, most = codes[:places].astype(np.int64), span
+    for j in range(1, width):
+        if most * span >= 1 << 63:
+            group, most = np.unique(group, return_inverse=True)[1], max(places, 1)
+        group, most = group * span + codes[j : j + places], most * span
+    order = np.argsort(group, kind="stable")
+    back = np.diff(order)
+    found = (np.diff(group[order]) == 0) & (back <= window)
+    return order[1:][found], back[found]
+
+
+def _matches_of_rows(df: DataFrame, key: str, kind: str, values: str, text: bool, width: int, window: int, portion: int = 1 << 18) -> DataFrame:
+    """matches_before where each row is a stream; nothing is shuffled, and a row and `portion` of its matches are held."""
+    rows = df.select(key, F.col(values).cast("binary") if text else F.transform(values, lambda x: F.xxhash64(x)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(keys: pa.Array, rows: list[int], n: list[np.ndarray], back: list[np.ndarray]) -> pa.RecordBatch:
+            columns = [keys.take(pa.array(np.repeat(rows, [len(x) for x in n]))), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(back).astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, [key, "n", "back"])
+
+        for b in batches:
+            keys, content = b.columns
+            kept: tuple[list, list, list] = ([], [], [])
+            held = 0
+            for i, x in enumerate(content):
+                if not x.is_valid:
+                    continue
+                if text:
+                    codes, span = np.frombuffer(x.as_py().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), 0x110000
+                else:
+                    known, codes = np.unique(x.values.to_numpy(zero_copy_only=False), return_inverse=True)
+                    span = max(len(known), 1)
+                n, back = earlier_places(codes, span, width, window)
+                for at in range(0, len(n), portion):
+                    for to, part in zip(kept, (i, n[at : at + portion], back[at : at + portion]), strict=True):
+                        to.append(part)
+                    held += len(kept[1][-1])
+                    if held >= portion:
+                        yield batch(keys, *kept)
+                        kept, held = ([], [], []), 0
+            if held:
+                yield batch(keys, *kept)
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, n long, back long")
+
+
 def matches_before(df: DataFrame, key: str, values: str, width: int = 3, window: int = 131071) -> DataFrame:
-    """Places of an array column at which `width` values are found that an earlier place within the window holds: key, n, back (the distance to the nearest one)."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(values) - (width - 1)), lambda i: F.xxhash64(F.slice(values, i, F.lit(width))))).alias("n", "h")
-    rows = df.where(F.size(values) >= width).select(key, at)
+    """Places of an array column, or of a text's characters, at which `width` values are found that an earlier place within the window holds: key, n, back (the distance to the nearest one).
+
+    Rows are read where they are. Only those that share their key with another, so that their places count together, go by windows over all of them.
+    """
+    kinds = dict(df.dtypes)
+    text = kinds[values] == "string"
+    alone = lambda rows: _matches_of_rows(rows, key, kinds[key], values, text, width, window)
+    several = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__k")
+    n_several = several.limit(SEVERAL + 1).count()
+    if not n_several:
+        return alone(df)
+    several = F.broadcast(several) if n_several <= SEVERAL else several
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    rows = df.join(several, same, "left_semi").select(key, (F.split(values, "") if text else F.col(values)).alias("__v")).where(F.size("__v") >= width)
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__v") - (width - 1)), lambda i: F.xxhash64(F.slice("__v", i, F.lit(width))))).alias("n", "h")
     back = F.col("n") - F.lag("n").over(Window.partitionBy(key, "h").orderBy("n"))
-    return rows.withColumn("back", back).where(F.col("back") <= window).select(key, F.col("n").cast("long").alias("n"), F.col("back").cast("long").alias("back"))
+    shared = rows.select(key, at).withColumn("back", back).where(F.col("back") <= window)
+    return alone(df.join(several, same, "left_anti")).unionByName(shared.select(key, F.col("n").cast("long").alias("n"), F.col("back").cast("long").alias("back")))
 
 
 def kth_smallest(values: Column, k: Column) -> Column:

@@ -414,8 +414,7 @@ def q46_codec_registry(spark, sf_dir):
 
 
 def q47_match_finder(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.split("text", "").alias("chars"))
-    found = ordered.matches_before(docs, "doc_id", "chars")
+    found = ordered.matches_before(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("back").alias("distance"), F.max("back").alias("farthest"))
 
 

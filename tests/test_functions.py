@@ -116,6 +116,33 @@ def test_match_distances(spark):
     assert ordered.matches_before(df, "k", "v", window=2).where("k = 1").count() == 0
 
 
+def test_matches_shuffle_no_places(spark, monkeypatch):
+    """Rows alone with their key are read where they are; those that share a key count together, as windows over all places have it."""
+    texts = [(1, "abcabcabd"), (2, "ab"), (3, None), (4, "\U0001f600é\U0001f600é\U0001f600é" * 3), (5, "x" * 40 + "y" * 9 + "x" * 5), (6, "")]
+    again = [(7, "abcabc"), (7, "zabc"), (None, "xyzxyz"), (None, "xyz")]
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    plan = ordered.matches_before(make(texts), "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+    def want(rows, window):
+        out = []
+        for k in {k for k, _ in rows}:
+            at = {}
+            for n, gram in sorted((n, v[n : n + 3]) for key, v in rows if key == k and v for n in range(len(v) - 2)):
+                if gram in at and n - at[gram] <= window:
+                    out.append((k, n, n - at[gram]))
+                at[gram] = n
+        return sorted(out, key=repr)
+
+    for most in (200_000, 1):  # keys of several rows are broadcast or joined
+        monkeypatch.setattr(ordered, "SEVERAL", most)
+        for window in (131071, 8):
+            found = ordered.matches_before(make(texts + again), "k", "v", window=window).collect()
+            assert sorted(((r.k, r.n, r.back) for r in found), key=repr) == want(texts + again, window)
+    n, back = ordered.earlier_places(np.array([5, 9, 9, 5, 9, 9, 5, 9]), 1 << 40, 3, 99)  # numbers that don't fit side by side
+    assert sorted(zip(n.tolist(), back.tolist(), strict=True)) == [(3, 3), (4, 3), (5, 3)]
+
+
 def test_textures_in_columns(spark):
     pixels = spark.createDataFrame([(1, x, y, x * 30, y * 30, 0, 255) for x in range(8) for y in range(4)] + [(2, x, 0, 1, 1, 1, 1) for x in range(3)], "image_id long, x int, y int, r int, g int, b int, a int")
     kinds = spark.createDataFrame([(1, "DXT1"), (2, "DXT5")], "image_id long, format string")
