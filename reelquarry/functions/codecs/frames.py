@@ -139,13 +139,19 @@ def resample_streams(rows: DataFrame, keys: str | list[str], sample: str, old: i
     return dealt.groupBy(*keys, "seg").applyInArrow(piece, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seg long, samples array<double>")
 
 
-def granules(rows: DataFrame, key: str, order: str, frame: str) -> DataFrame:
-    """Layer-3 frames of streams to granules: key, order, granule, data. A stream is read in its order with its bit reservoir carried over; broken frames have an error."""
+def granules(rows: DataFrame, key: str, order: str, frame: str | Column, shares: int | None = None) -> DataFrame:
+    """Layer-3 frames of streams to granules: key, order, granule, data. A stream is read in its order with its bit reservoir carried over; broken frames have an error.
+
+    A frame that is an expression is computed from its row once the rows are dealt and sorted, so that tasks sort only what it is made of. As such rows
+    are small, `shares` says over how many tasks they are dealt; without it the planner joins shares by their bytes.
+    """
     from .granules import Remux
 
     kind = dict(rows.dtypes)[key]
     schema = pa.schema([(key, rows.select(key).limit(0).toArrow().schema.field(0).type), (order, pa.int64()), ("granule", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
-    dealt = rows.select(key, F.col(order).cast("long").alias(order), frame).repartition(key).sortWithinPartitions(key, order)
+    dealt = rows.withColumn(order, F.col(order).cast("long"))
+    dealt = (dealt.repartition(shares, key) if shares else dealt.repartition(key)).sortWithinPartitions(key, order)
+    dealt = dealt.select(key, order, (F.col(frame) if isinstance(frame, str) else frame).alias("__frame"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, remux = object(), Remux()

@@ -523,7 +523,9 @@ def q59_granules(spark, sf_dir):
 
     # Two mono frames of each order; the second one's main data begins in the first.
     key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    shares = max(spark.sparkContext.defaultParallelism, 8 * orders.rdd.getNumPartitions())  # they grow with the input, so that tasks don't
+    rows = orders.select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
     digits = lambda name, n: F.substring(F.repeat(F.md5(F.concat(F.lit(name), key.cast("string"), F.lit("-"), F.col("seq").cast("string"))), 25), 1, n)
     width = lambda c, n: F.lpad(F.bin(c.cast("long")), n, "0")
     back = F.when(F.col("seq") == 1, key % 60 + 1).otherwise(0)
@@ -531,7 +533,7 @@ def q59_granules(spark, sf_dir):
     side = F.concat(width(back, 9), F.lit("00000"), F.substring(fill, 1, 4), width(key % 1000 + 100, 12), F.substring(fill, 5, 47), width(key % 1500 + 50, 12), F.substring(fill, 50, 47))
     side = F.concat(*[F.lpad(F.conv(F.substring(side, 8 * i + 1, 8), 2, 16), 2, "0") for i in range(17)])
     content = F.unhex(F.concat(F.lit("FFFB90C0"), side, digits("m", 792)))
-    out = frames.granules(rows.select("o_orderkey", "seq", content.alias("frame")), "o_orderkey", "seq", "frame")
+    out = frames.granules(rows, "o_orderkey", "seq", content, shares)
     return out.select("o_orderkey", "seq", "granule", F.octet_length("data").cast("long").alias("size"), F.hex(F.substring("data", 1, 24)).alias("head"), F.md5("data").alias("digest"), "error")
 
 

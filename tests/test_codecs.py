@@ -274,6 +274,26 @@ def test_byte_codecs(spark):
     assert rows.select(byte_codecs()["lz"].column("decode", F.col("c")).alias("c")).collect()[0].c is None
 
 
+def test_granules_deal_what_frames_are_made_of(spark):
+    """q59's shuffle carries keys and places, not frames, over no fewer tasks than there are cores; frames that are columns give the same."""
+    from reelquarry.plans.asset_queries import QUERIES
+
+    lines = QUERIES["q59_granules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert "md5" in "".join(lines[:at]) and "md5" not in "".join(lines[at:])
+    assert "REPARTITION_BY_NUM" in lines[at] and int(lines[at].split("), REPARTITION")[0].split(", ")[-1]) >= spark.sparkContext.defaultParallelism
+    rng, parts = np.random.RandomState(7), []
+    for k in range(3):
+        held = ""
+        for n in range(4):
+            frame, _, held = frame_of(rng, True, True, held)
+            parts.append((k, n, bytearray(frame)))
+    rows = spark.createDataFrame(parts, "k long, n int, frame binary")
+    once = frames.granules(rows, "k", "n", "frame").collect()
+    apart = frames.granules(rows.select("k", "n", F.hex("frame").alias("digits")), "k", "n", F.unhex("digits"), 5).collect()
+    assert len(once) == 24 and sorted(map(str, once)) == sorted(map(str, apart)) and not any(r.error for r in once)
+
+
 def test_blocks_of_granules_and_samples():
     rng = np.random.RandomState(6)
     made = [
