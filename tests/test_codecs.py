@@ -164,6 +164,18 @@ def test_lz_codes_texts_together(monkeypatch):
     assert lz.encode_many([]) == [] and lz.lz_pack.func(pd.Series([None, texts[1], None])).tolist() == [None, alone[1], None]
 
 
+def test_lz_small_texts():
+    """Texts of a batch are coded together, so that small ones don't pay for rounds of their own."""
+    texts = [b"some words of entry %d, %d" % (i, i * i) for i in range(2000)]
+    codec = byte_codecs()["lz"]
+    began = time.process_time()
+    packed = codec.encode_many(texts)
+    took = time.process_time() - began
+    began = time.process_time()
+    assert [lz.encode(t) for t in texts] == packed
+    assert took < (time.process_time() - began) / 3
+
+
 def test_lz_longer_copies_from_far():
     """A copy of eleven bytes from far back takes two bytes more than one of ten from near by; one of twelve is worth them."""
     for more, want in ((b"", (10, 19)), (b"L", (12, 20031))):
